@@ -20,6 +20,11 @@ _WS_NO_NL = (
 _WS = r"\n" + _WS_NO_NL
 WS = f"[{_WS}]"
 NOT_WS = f"[^{_WS}]"
+# The same code points as one string, for the native trim functions.
+WS_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 # ASCII word boundaries before / after a word character.
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -36,11 +41,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim(c: Column) -> Column:
     """Strip any Unicode whitespace from both ends."""
-    return F.regexp_replace(c, rf"^{WS}++|(?<!{WS}){WS}++\z", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def trim_end(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?<!{WS}){WS}++\z", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def collapse(c: Column) -> Column:

@@ -64,24 +64,24 @@ _HOST_OK = r"""^(?:\[[0-9a-f:.]+\]|[^\s#%/:<>?@\[\\\]^|]+)\z"""
 def _with_parts(raw: Column, body: Callable[[UrlParts], Column]) -> Column:
     """``body`` over the pieces of an absolute URL, split once."""
 
-    def split(s: Column) -> Column:
-        names = ("scheme", "credentials", "hostname", "port", "path", "query")
-        return F.struct(*[
-            F.regexp_extract(s, _URL, i).alias(n) for i, n in enumerate(names, start=1)])
-
-    def tidy(p: Column) -> Column:
-        scheme, hostname = F.lower(p["scheme"]), F.lower(p["hostname"])
+    def tidy(pieces: Column) -> Column:
+        raw_scheme, credentials, raw_host, raw_port, path, query = (
+            F.get(pieces, F.lit(i)) for i in range(6))
+        scheme, hostname = F.lower(raw_scheme), F.lower(raw_host)
         default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
         web = scheme.isin("http", "https")
         return F.struct(
             scheme.alias("scheme"), hostname.alias("hostname"),
-            p["credentials"].alias("credentials"), p["path"].alias("path"),
-            F.when(p["port"] == default, F.lit("")).otherwise(p["port"]).alias("port"),
-            F.substring(p["query"], 2, 1 << 30).alias("query"), web.alias("web"),
-            ((scheme != "") & (~web | F.regexp_like(hostname, F.lit(_HOST_OK)))).alias("ok"))
-
-    text = F.regexp_replace(trim(raw), r"[\t\n\r]", "")
-    return let(let(let(text, split), tidy), lambda p: body(UrlParts(p)))
+            credentials.alias("credentials"), path.alias("path"),
+            F.when(raw_port == default, F.lit("")).otherwise(raw_port).alias("port"),
+            F.substring(query, 2, 1 << 30).alias("query"), F.coalesce(web, F.lit(False)).alias("web"),
+            ((F.size(pieces) == 6)
+             & (~web | F.regexp_like(hostname, F.lit(_HOST_OK)))).alias("ok"))
+
+    # One match per link: the groups come back joined by a mark no URL contains.
+    text = F.translate(trim(raw), "\t\n\r\x01", "")
+    marked = F.regexp_replace(text, _URL, "\x01".join(f"${i}" for i in range(1, 7)))
+    return let(let(F.split(marked, "\x01"), tidy), lambda p: body(UrlParts(p)))
 
 
 class UrlParts:

@@ -30,14 +30,28 @@ def attach(
         .select(*keys, F.lit(True).alias("_hot"))
     )
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts))
+    # Rows without a key match nothing; they are spread as well.
+    keyless = F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), F.lit(True))
     left = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")).drop("_hot")
+        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(F.lit(0)).cast("int"),
+    ).drop("_hot")
     copies = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
     right = per_key.join(F.broadcast(hot), keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), copies))).drop("_hot", weight)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Even out a scan that yields fewer partitions than there are cores.
+
+    Meant in front of work that is heavy per row. A scan with enough splits is
+    left alone, so at scale this costs nothing.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows if parts >= cores else rows.repartition(cores)
+
+
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row with the greatest ``order`` per key.
 

@@ -274,5 +274,5 @@ def with_views(sql: str) -> str:
         head, rest = ("WITH RECURSIVE ", body[len("WITH RECURSIVE "):]) if body.upper().startswith(
             "WITH RECURSIVE ") else ("WITH ", body[5:] if body.upper().startswith("WITH ") else "")
         body = head + ",\n".join(ctes) + (",\n" + rest if rest else "\n" + body)
-    return re.sub(r"@(\w+)", r"\1", body) if "@type" not in body else re.sub(
-        "@(" + "|".join(sorted(TABLES | set(VIEWS))) + r")\b", r"\1", body)
+    names = "|".join(sorted(TABLES | set(VIEWS)))
+    return re.sub(rf"@({names})\b", r"\1", body)
