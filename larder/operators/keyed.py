@@ -52,6 +52,16 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if parts >= cores else rows.repartition(cores)
 
 
+def pin(rows: DataFrame) -> DataFrame:
+    """Rows whose expensive columns are computed once, whatever is filtered on later.
+
+    A filter is normally pushed below the projection that feeds it, which would
+    write a costly expression out a second time. Generated columns stop that.
+    """
+    whole = F.explode_outer(F.array(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    return rows.select(whole.alias("_row")).select("_row.*")
+
+
 def latest_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The row with the greatest ``order`` per key.
 
