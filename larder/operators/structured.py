@@ -11,7 +11,8 @@ from larder.functions.ingredients import parse_ingredient_line
 from larder.functions.text import let, trim
 from larder.operators.keyed import pin, spread
 
-_ENTRIES = "array<struct<path:array<int>,node:variant>>"
+# Fields that hold tags.
+TAG_KEYS = ("recipeCategory", "recipeCuisine", "keywords")
 
 
 def _walk(df: DataFrame, start: Column, children, levels: int, prefix: str) -> tuple[DataFrame, list[str]]:
@@ -80,19 +81,22 @@ def extract_recipes(pages: DataFrame, page_id: str = "page_id", html: str = "htm
         "servings": ("recipeYield", "yield"), "author": ("author",),
         "total": ("totalTime",), "prep": ("prepTime",), "cook": ("cookTime",),
     }
-    # All fields pass through one text-cleaning expression, held as an array of leaf lists.
-    fields = ", ".join(J.leaves(J.first_of(n, keys), J.TEXT_KEYS) for keys in raw.values())
+    # All fields pass through one unwrapping and one cleaning expression, held as an array.
+    fields = ", ".join([*(J.first_of(n, keys) for keys in raw.values()),
+                        *(J.field(n, k) for k in TAG_KEYS)])
     numeric = ", ".join(J.is_number(J.field(n, k)) for k in ("totalTime", "prepTime", "cookTime"))
     raw_fields = found.select(
-        page_id, html, "node", F.expr(f"array({fields})").alias("_fields"),
-        tag_leaves(n).alias("_tags"), ingredient_lines(
+        page_id, html, "node", F.expr(
+            f"transform(array({fields}), f -> {J.leaves('f', J.TEXT_KEYS)})").alias("_fields"),
+        ingredient_lines(
             J.first_of(n, ("recipeIngredient", "ingredients"))).alias("_lines"),
         F.expr(f"array({numeric})").alias("_num"),
         F.expr(J.leaves(J.field(n, "image"), J.IMAGE_KEYS)).alias("_images"))
-    mapped = raw_fields.withColumns({
+    cleaned = raw_fields.withColumn("_fields", F.transform("_fields", J.clean_texts))
+    mapped = cleaned.withColumns({
         "_texts": F.transform("_fields", lambda parts: F.nullif(
-            F.array_join(J.clean_texts(parts), ", "), F.lit(""))),
-        "_tags": J.clean_texts(F.col("_tags")),
+            F.array_join(parts, ", "), F.lit(""))),
+        "_tags": F.flatten(F.slice("_fields", len(raw) + 1, len(TAG_KEYS))),
         "_image": F.get(F.filter(F.transform("_images", trim), lambda u: u != ""), F.lit(0)),
     }).drop("_fields", "_images")
     stepped = instruction_steps(mapped, J.field(n, "recipeInstructions"))
@@ -127,9 +131,9 @@ def ingredient_lines(value: str) -> Column:
 
 
 def tag_leaves(node: str) -> Column:
-    return F.expr("concat(" + ", ".join(
-        J.leaves(J.field(node, k), J.TEXT_KEYS)
-        for k in ("recipeCategory", "recipeCuisine", "keywords")) + ")")
+    """Raw texts of everything a node is tagged with."""
+    fields = ", ".join(J.field(node, k) for k in TAG_KEYS)
+    return F.expr(f"flatten(transform(array({fields}), f -> {J.leaves('f', J.TEXT_KEYS)}))")
 
 
 def recipe_tags(texts: Column) -> Column:

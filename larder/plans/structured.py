@@ -68,10 +68,10 @@ SELECT page_id, {TEXT('$.name')} AS title, v ->> '$.author.name' AS author,
   CASE WHEN json_type(v, '$.recipeYield') = 'ARRAY' THEN array_to_string(CAST(v -> '$.recipeYield' AS VARCHAR[]), ', ') ELSE v ->> '$.recipeYield' END AS servings FROM r""")
 def _(src):
     found = S.with_recipe_node(src("ld_pages_v")).where(F.col("node").isNotNull())
-    fields = ", ".join(
-        J.leaves(J.field("node", k), J.TEXT_KEYS) for k in ("name", "author", "recipeYield"))
+    fields = ", ".join(J.field("node", k) for k in ("name", "author", "recipeYield"))
     texts = F.transform(F.col("f"), lambda p: F.nullif(F.array_join(J.clean_texts(p), ", "), F.lit("")))
-    return found.select("page_id", F.expr(f"array({fields})").alias("f")).select("page_id", texts.alias("t")).select(
+    return found.select("page_id", F.expr(
+        f"transform(array({fields}), v -> {J.leaves('v', J.TEXT_KEYS)})").alias("f")).select("page_id", texts.alias("t")).select(
         "page_id", F.get("t", F.lit(0)).alias("title"), F.get("t", F.lit(1)).alias("author"),
         F.get("t", F.lit(2)).alias("servings"))
 
