@@ -250,8 +250,13 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A base table or adapter view as a lazy DataFrame."""
     if name in TABLES:
         return read_table(spark, folder, name)
+    return view_over(
+        spark, name, {ref: view(spark, folder, ref) for ref in _references(VIEWS[name])})
+
+
+def view_over(spark: SparkSession, name: str, inputs: dict[str, DataFrame]) -> DataFrame:
+    """An adapter view over given frames, for instance over streams."""
     sql = VIEWS[name].replace("{", "{{").replace("}", "}}")
-    inputs = {ref: view(spark, folder, ref) for ref in _references(VIEWS[name])}
     for ref in inputs:
         sql = re.sub(rf"@{ref}\b", "{" + ref + "}", sql)
     return spark.sql(sql, **inputs)

@@ -80,10 +80,14 @@ def _(src):
     return C.web_texts(src("pages").drop("url"))[0].select("page_id", "text", "tier")
 
 
-@query("f8_too_little_text", f"WITH {WEB} SELECT page_id, length(text) AS n FROM w WHERE length(text) < 80")
+LD_WEB = WEB.replace("FROM pages", "FROM @ld_pages_v")
+
+
+@query("f8_too_little_text", f"WITH {LD_WEB} SELECT page_id, length(text) AS n, 'no readable text' AS reason FROM w WHERE length(text) < 80")
 def _(src):
-    return C.web_texts(src("pages").drop("url"))[1].select(
-        "page_id", F.char_length("text").cast("long").alias("n"))
+    # These pages carry structured data only: their readable text is the title.
+    return C.web_texts(src("ld_pages_v"))[1].select(
+        "page_id", F.char_length("text").cast("long").alias("n"), "reason")
 
 
 @query("x1_document_scores", f"WITH {SCORED('documents', 'doc_id')} SELECT doc_id, floor(raw * 100 + 0.5) / 100 AS score, raw >= 4.0::DOUBLE AS is_recipe FROM s")
