@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import html as H
 from larder.functions import scoring as S
 from larder.functions.text import non_blank, normalise_text
-from larder.operators.keyed import pin, spread
+from larder.operators.keyed import pin
 
 # Thresholds of the gates.
 MIN_WEB_CHARS = 80
@@ -24,7 +24,7 @@ TRANSCRIPT_MARK = "--- transcript ---"
 def page_texts(pages: DataFrame, html: str = "html", scan_chars: int | None = None) -> DataFrame:
     """Pages with title and readable body; whole pages unless ``scan_chars`` bounds them."""
     c = F.col(html)
-    return pin(spread(pages).withColumns({
+    return pin(pages.withColumns({
         "title": H.page_title(c), "body": H.html_to_text(c, scan_chars)}))
 
 
@@ -37,7 +37,7 @@ def web_texts(pages: DataFrame, html: str = "html", scan_chars: int | None = Non
         body = F.substring(body, 1, body_chars)
     heading = F.concat_ws("\n", H.page_title(c), H.meta_content(c, "og:description"))
     text = normalise_text(F.concat(heading, F.lit("\n\n"), body))
-    built = pin(spread(pages).select(
+    built = pin(pages.select(
         *[k for k in pages.columns if k != html], text.alias("text"),
         H.meta_content(c, "og:site_name").alias("author"),
         H.meta_content(c, "og:image").alias("thumbnail_url"),
@@ -49,7 +49,7 @@ def web_texts(pages: DataFrame, html: str = "html", scan_chars: int | None = Non
 
 def scored(rows: DataFrame, text: str = "text") -> DataFrame:
     """Rows with their recipe score and the gate, which compares the unrounded score."""
-    raw = pin(spread(rows).withColumn("_raw", S.raw_score(F.col(text))))
+    raw = pin(rows.withColumn("_raw", S.raw_score(F.col(text))))
     return raw.withColumns({
         "score": S.round_score(F.col("_raw")), "is_recipe": S.is_recipe(F.col("_raw")),
     }).drop("_raw")

@@ -41,17 +41,6 @@ def attach(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Even out a scan that yields fewer partitions than there are cores.
-
-    Meant in front of work that is heavy per row. A scan with enough splits is
-    left alone, so at scale this costs nothing.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = rows._jdf.queryExecution().toRdd().getNumPartitions()
-    return rows if parts >= cores else rows.repartition(cores)
-
-
 def pin(rows: DataFrame) -> DataFrame:
     """Rows whose expensive columns are computed once, whatever is filtered on later.
 

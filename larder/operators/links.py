@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from larder.functions import urls as U
 from larder.functions.text import trim
-from larder.operators.keyed import attach, earliest_per_key, pin, spread
+from larder.operators.keyed import attach, earliest_per_key, pin
 
 
 def with_identity_key(rows: DataFrame, url: str = "url", key: str = "identity_key") -> DataFrame:
-    return pin(spread(rows).withColumn(key, U.canonical_url(F.col(url))))
+    return pin(rows.withColumn(key, U.canonical_url(F.col(url))))
 
 
 def classify_links(rows: DataFrame, url: str = "url") -> DataFrame:
     c = F.col("_c")
-    return pin(spread(rows).withColumn("_c", U.classify(F.col(url)))).select(
+    return pin(rows.withColumn("_c", U.classify(F.col(url)))).select(
         *rows.columns, c["ok"].alias("ok"), c["platform"].alias("platform"),
         c["canonical_url"].alias("canonical_url"), c["host"].alias("host"),
         c["id"].alias("post_id"), c["reason"].alias("reason"))

@@ -40,13 +40,14 @@ def consolidate(
     so a chunk in the middle of a key is summarised by where each fractional
     part (and the owner's own quantity, if nothing merged yet) would end up.
     """
-    c = Chunked(
-        lines.withColumns({
-            "_qty": Q.leading_quantity(F.col(text)), "_rest": Q.after_quantity(F.col(text))}),
-        [owner, key], order, chunks)
+    c = Chunked(lines, [owner, key], order, chunks)
+    # Quantities are read off the text after the cut: finding the cuts reads the rows once more.
+    split = {"_qty": Q.leading_quantity(F.col(text)), "_rest": Q.after_quantity(F.col(text))}
     own = F.struct(*order, text, "_qty", "_rest")
-    rows = c.rows.withColumn("_head", F.first(own).over(c.running))
-    heads = c.summaries(c.rows, F.min_by(own, F.struct(*order)).alias("_h")).groupBy(
+    rows = c.rows.withColumns(split).withColumn("_head", F.first(own).over(c.running))
+    first = c.summaries(c.rows, F.min_by(F.struct(*order, text), F.struct(*order)).alias("_f"))
+    heads = first.select(owner, key, CHUNK, "_f.*").withColumns(split).withColumn(
+        "_h", own).groupBy(
         owner, key).agg(F.min_by("_h", CHUNK).alias("_key_head"), F.min(CHUNK).alias("_first"))
     rows = rows.join(F.broadcast(heads), [owner, key], "left").withColumn(
         "_head", F.coalesce("_key_head", "_head")).drop("_key_head")

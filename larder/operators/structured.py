@@ -9,7 +9,7 @@ from larder.functions import html as H
 from larder.functions import jsonld as J
 from larder.functions.ingredients import parse_ingredient_line
 from larder.functions.text import let, trim
-from larder.operators.keyed import pin, spread
+from larder.operators.keyed import pin
 
 # Fields that hold tags.
 TAG_KEYS = ("recipeCategory", "recipeCuisine", "keywords")
@@ -35,7 +35,7 @@ def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes") -> Data
             F.array(i).alias("path"), F.try_parse_json(b).alias("node"))),
         lambda e: e["node"].isNotNull())
     keep = [F.col(c) for c in pages.columns]
-    walked, levels = _walk(spread(pages), blocks, J.nested_children, J.MAX_DEPTH, "_level")
+    walked, levels = _walk(pages, blocks, J.nested_children, J.MAX_DEPTH, "_level")
     objects = F.expr(f"filter(concat({', '.join(levels)}), e -> {J.is_object('e.node')})")
     return walked.select(*keep, objects.alias(out))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.text import WS, cap, js_round, let, trim
-from larder.operators.keyed import pin, spread
+from larder.operators.keyed import pin
 from larder.schemas import WRITABLE_RECIPE_FIELDS
 
 # Ranges of whole-number fields.
@@ -129,7 +129,7 @@ def coerce_parsed(rows: DataFrame, value: str = "value") -> DataFrame:
                 f"try_variant_get({v}, '$', 'double') END")
 
     at = lambda k: f"try_variant_get(_v, '$.{k}', 'variant')"
-    raw = spread(rows).withColumn("_v", F.try_parse_json(value)).select(
+    raw = rows.withColumn("_v", F.try_parse_json(value)).select(
         *[c for c in rows.columns if c != value],
         *[F.expr(text_of(at(k))).alias(f"_{k}") for k in ("title", "description", "servings", "notes")],
         F.expr(number_of(at("totalMinutes"))).alias("_minutes"),

@@ -11,7 +11,6 @@ from larder.operators import changes as M
 from larder.operators import corpus as C
 from larder.operators import links as L
 from larder.operators import validate as V
-from larder.operators.keyed import spread
 from larder.plans import duck as D
 from larder.plans.registry import query
 from larder.sources import tables as R
@@ -44,23 +43,23 @@ def _(src):
 
 @query("t1_normalised_documents", f"SELECT doc_id, {D.normalise('text')} AS text FROM documents")
 def _(src):
-    return spread(src("documents")).select("doc_id", T.normalise_text(F.col("text")).alias("text"))
+    return src("documents").select("doc_id", T.normalise_text(F.col("text")).alias("text"))
 
 
 @query("t2_decoded_pages", f"SELECT page_id, md5({D.decode('html')}) AS digest, length({D.decode('html')}) AS n FROM pages")
 def _(src):
-    rows = spread(src("pages")).select("page_id", H.decode_entities(F.col("html")).alias("t"))
+    rows = src("pages").select("page_id", H.decode_entities(F.col("html")).alias("t"))
     return rows.select("page_id", F.md5("t").alias("digest"), F.char_length("t").cast("long").alias("n"))
 
 
 @query("t3_without_non_text", f"SELECT page_id, {D.drop_non_text('html')} AS html FROM pages")
 def _(src):
-    return spread(src("pages")).select("page_id", H.drop_non_text(F.col("html")).alias("html"))
+    return src("pages").select("page_id", H.drop_non_text(F.col("html")).alias("html"))
 
 
 @query("t4_html_to_text", f"SELECT page_id, {D.html_text('html')} AS text FROM pages")
 def _(src):
-    return spread(src("pages")).select("page_id", H.html_to_text(F.col("html")).alias("text"))
+    return src("pages").select("page_id", H.html_to_text(F.col("html")).alias("text"))
 
 
 @query("t5_page_metadata", f"""SELECT page_id, {D.title('html')} AS title, 'https://i.example.com/' || CAST(page_id AS VARCHAR) || '.jpg' AS image FROM @ld_pages_v
@@ -107,7 +106,7 @@ def _(src):
 
 @query("a4_distinct_verbs", f"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all({CLEAN}, {D.q(D.VERB)}), lambda v: lower(v)))) AS INTEGER) AS verbs FROM documents")
 def _(src):
-    return spread(src("documents")).select(
+    return src("documents").select(
         "doc_id", S.distinct_verbs(S.score_text(F.col("text"))).alias("verbs"))
 
 
@@ -157,7 +156,7 @@ tr AS (SELECT doc_id, {D.normalise("array_to_string(list_filter(l, lambda x, i:
 
 @query("s6_transcripts", f"WITH {VTT} SELECT doc_id, transcript FROM tr")
 def _(src):
-    return R.scan_transcripts(spread(src("vtt_v")))
+    return R.scan_transcripts(src("vtt_v"))
 
 
 @query("x2_tier_routing", f"""WITH {SCORED('@gathered_v', 'id')}

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from larder.functions import display as D
 from larder.operators import ledger as L
 from larder.operators import links as K
-from larder.operators.keyed import spread
 from larder.operators.ordered import floored_counter
 from larder.plans import duck as Q
 from larder.plans.catalog import DECODED, recipes
@@ -196,7 +195,7 @@ SELECT p_partkey, hash, ['#b4472a', '#8a5a2b', '#4f6d3a', '#2f6b6b', '#7a3f63',
   upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) AS initials FROM h""")
 def _(src):
     n = F.col("p_name")
-    return spread(src("part")).select("p_partkey", D.fnv1a(n).alias("hash"), D.monogram_color(n).alias("color"),
+    return src("part").select("p_partkey", D.fnv1a(n).alias("hash"), D.monogram_color(n).alias("color"),
                                       D.monogram_initials(n).alias("initials"))
 
 

@@ -8,7 +8,6 @@ from larder.functions import ingredients as I
 from larder.functions import quantity as Q
 from larder.functions import text as T
 from larder.operators import shopping as S
-from larder.operators.keyed import spread
 from larder.plans import duck as D
 from larder.plans.adapters import LINE_ORDER, LIST_ORDER
 from larder.plans.registry import query
@@ -115,7 +114,7 @@ def _(src):
 
 def _consolidated(src, chunks=None):
     line = F.struct("quantity", "unit", "item", "note")
-    lines = spread(src("lines_v")).select(
+    lines = src("lines_v").select(
         "list_owner", *LIST_ORDER, Q.ingredient_line(line).alias("text"),
         Q.merge_key(F.col("item")).alias("key"))
     return S.consolidate(lines, "list_owner", LIST_ORDER, chunks=chunks)

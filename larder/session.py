@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Plain JVM case mapping: the ICU tables take each executor seconds to set up.
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
@@ -48,7 +50,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages read files, not recomputed lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write to the shared folder and read back: later stages do not recompute lineage.
+
+    A columnar table rather than a checkpoint, so each consumer reads only the
+    columns it uses.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -32,7 +32,7 @@ def use_state_store(spark: SparkSession) -> None:
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema: str,
-                 max_bytes: str = "1g") -> DataFrame:
+                 max_bytes: int = 1 << 30) -> DataFrame:
     """Files of one table as a stream; ``max_bytes`` bounds a trigger and so any one key in it."""
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
