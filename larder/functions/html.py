@@ -133,8 +133,8 @@ def html_to_text(c: Column, scan_chars: int | None = None) -> Column:
     s = strip_comments(drop_non_text(c))
     s = F.regexp_replace(s, r"(?i)<br\s*/?>", "\n")
     s = F.regexp_replace(s, BLOCK_CLOSERS, "\n")
-    s = F.regexp_replace(s, rf"(?i)<li{WORD_END}[^>]*>", "\n- ")
-    s = strip_tags(s)
+    s = _before_last(s, ">", lambda t: F.regexp_replace(
+        F.regexp_replace(t, rf"(?i)<li{WORD_END}[^>]*>", "\n- "), r"<[^>]+>", " "))
     return normalise_text(F.regexp_replace(decode_entities(s), r"[ \t]{2,}", " "))
 
 
