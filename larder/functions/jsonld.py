@@ -114,7 +114,7 @@ def duration_minutes(text: Column) -> Column:
         total = parts[0] * 1440 + parts[1] * 60 + parts[2] + parts[3] / 60
         return F.when(F.regexp_like(s, F.lit(pattern)), total)
 
-    return let(let(trim(text), minutes), lambda m: F.when(m > 0, js_round(m).cast("int")))
+    return let(let(trim(text), minutes), lambda m: F.when(m > 0, js_round(m).try_cast("int")))
 
 
 def step_children(level: str) -> Column:

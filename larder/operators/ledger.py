@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import first_line, let, non_blank, trim
+from larder.functions.text import first_line, let, trim
 from larder.functions.urls import extract_urls
 from larder.operators.ordered import previous_value, replay_states
 
@@ -192,7 +192,3 @@ def enqueue(submitted: DataFrame, saved: DataFrame, jobs: DataFrame, key: str, s
     return joined.select(*submitted.columns, F.when(F.col(key).isNull(), "rejected").when(
         F.col("_saved"), "saved").when(F.col("_open").isNotNull(), "attached").when(
         F.col("_first") == F.col(row_id), "created").otherwise("attached").alias("outcome"))
-
-
-def has_words(c: Column) -> Column:
-    return non_blank(c).isNotNull()

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import urls as U
-from larder.functions.text import trim
 from larder.operators.keyed import attach, earliest_per_key, pin
 
 
@@ -114,7 +113,3 @@ def links_in_text(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
 
 def private_addresses(rows: DataFrame, ip: str = "ip") -> DataFrame:
     return rows.withColumn("is_private", U.is_private_ip(F.col(ip)))
-
-
-def blank_to_null(rows: DataFrame, *names: str) -> DataFrame:
-    return rows.withColumns({n: F.nullif(trim(F.col(n)), F.lit("")) for n in names})

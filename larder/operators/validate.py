@@ -70,7 +70,7 @@ def validate_writes(rows: DataFrame, body: str = "body", require_title: bool = F
     lists = lambda f: F.filter(F.transform(get(f, "array<string>"), trim), lambda x: x != "")
     values = {
         "title": text("title"), **{SNAKE[f]: text(f) for f in NULLABLE_TEXT},
-        **{SNAKE[f]: get(f, "double").cast("int") for f in INT_RANGES},
+        **{SNAKE[f]: get(f, "double").try_cast("int") for f in INT_RANGES},
         "favorite": get("favorite", "boolean"), "steps": lists("steps"), "tags": lists("tags"),
         "ingredients": clean_ingredients("_v"),
     }
@@ -160,7 +160,7 @@ def coerce_parsed(rows: DataFrame, value: str = "value") -> DataFrame:
         F.coalesce(capped(F.col("_title"), MAX_CHARS["title"]), F.lit(UNTITLED)).alias("title"),
         capped(F.col("_description"), MAX_CHARS["description"]).alias("description"),
         capped(F.col("_servings"), MAX_CHARS["servings"]).alias("servings"),
-        F.nullif(F.greatest(F.lit(0), js_round(F.col("_minutes")).cast("int")), F.lit(0)).alias("total_minutes"),
+        F.nullif(F.greatest(F.lit(0), js_round(F.col("_minutes")).try_cast("int")), F.lit(0)).alias("total_minutes"),
         F.coalesce(ingredients, F.array().cast(none_struct)).alias("ingredients"),
         F.coalesce(steps, F.array().cast("array<string>")).alias("steps"),
         F.coalesce(tags, F.array().cast("array<string>")).alias("tags"),

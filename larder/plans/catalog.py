@@ -11,7 +11,7 @@ from larder.operators.keyed import latest_per_key, newest_n_per_key
 from larder.plans import duck as D
 from larder.plans.registry import query
 from larder.sources import sinks
-from larder.sources.tables import decode_nested, read_stored_recipes  # noqa: F401
+from larder.sources.tables import decode_nested
 
 
 def recipes(src):
@@ -262,13 +262,9 @@ for _sort in ORDER_SQL:
     _top(_sort)
 
 
-@query("o5_folder_order", "SELECT name, row_number() OVER (ORDER BY name) AS place FROM @folders_v")
+@query("o5_folder_order", "SELECT id, name FROM @folders_v ORDER BY name")
 def _(src):
-    # The list of folder names is the report itself; its rank is counted per name.
-    names = C.folder_order(src("folders_v").select("name").distinct())
-    from pyspark.sql import Window
-
-    return names.select("name", F.row_number().over(Window.orderBy("name")).cast("long").alias("place"))
+    return C.folder_order(src("folders_v").select("id", "name"))
 
 
 @query("o6_recent_jobs", "SELECT id, status FROM @jobs_v ORDER BY created_at DESC, id DESC LIMIT 20")
@@ -282,7 +278,6 @@ def _(src):
 
 
 def _paged(sort):
-    first = f"SELECT * FROM @recipes_v ORDER BY {ORDER_SQL[sort]} LIMIT 50"
     second = f"SELECT id, row_number() OVER (ORDER BY {ORDER_SQL[sort]}) AS n FROM @recipes_v"
 
     @query(f"o8_second_page_{sort}", f"""WITH n AS ({second})
@@ -292,8 +287,6 @@ SELECT id, (SELECT id FROM n WHERE n = 100) AS next_cursor FROM n WHERE n BETWEE
         cursor = C.page(rows, sort, 50).select("next_cursor").first()[0]
         return C.page(rows, sort, 50, cursor).select("id", "next_cursor")
 
-    return first
-
 
 for _sort in ORDER_SQL:
     _paged(_sort)

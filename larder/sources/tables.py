@@ -97,7 +97,7 @@ def scan_video_meta(rows: DataFrame, value: str = "value") -> DataFrame:
         "description": m["description"],
         "author": F.coalesce(m["uploader"], m["channel"]),
         "thumbnail_url": m["thumbnail"],
-        "duration_seconds": F.floor(m["duration"] + F.lit(0.5)).cast("int"),
+        "duration_seconds": F.floor(m["duration"] + F.lit(0.5)).try_cast("int"),
         "webpage_url": m["webpage_url"],
         "caption_url": _caption_url(m),
     }).drop("_m", value)

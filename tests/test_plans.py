@@ -30,3 +30,11 @@ def test_row_wise_jobs_do_not_shuffle_by_key(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_folder_orders(spark):
+    from larder.operators.catalog import folder_order
+
+    names = spark.createDataFrame([("b",), ("Batch",), ("a",), ("é",)], "name string")
+    assert [r["name"] for r in folder_order(names).collect()] == ["Batch", "a", "b", "é"]
+    assert [r["name"] for r in folder_order(names, by_bytes=False).collect()] == ["a", "b", "Batch", "é"]
