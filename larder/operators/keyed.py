@@ -7,38 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# At most this many keys are split; any other key holds less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 1000
-HOT_ROWS = 200_000
-SALTS = 64
+# Rows of one key that a single task may receive.
+ROWS_PER_TASK = 1_000_000
 
 
 def attach(
     rows: DataFrame, per_key: DataFrame, keys: Sequence[str], weight: str,
-    how: str = "left", hot_rows: int = HOT_ROWS, salts: int = SALTS,
+    how: str = "left", rows_per_task: int = ROWS_PER_TASK, spread: Sequence[str] = (),
 ) -> DataFrame:
     """Join one-row-per-key facts back to all rows of the key.
 
     ``weight`` names the column of ``per_key`` with the number of rows per key.
-    The heaviest keys are found with a bounded top-k (never more than HOT_KEYS
-    rows, hence safe to broadcast); their rows are spread over ``salts`` copies
-    of the fact row, so no task receives more than a sliver of a hot key.
+    A key with more than ``rows_per_task`` rows is dealt over
+    ``ceil(weight / rows_per_task)`` copies of its fact row, so a task gets
+    about ``rows_per_task`` of it however heavy it is. There are at most
+    (all rows / rows_per_task) such keys; that bounds what is broadcast. Rows
+    are dealt by the columns ``spread``, by default all that can be hashed.
+    Rows without a key match nothing and go round the join.
     """
     keys = list(keys)
-    hot = (
-        per_key.orderBy(F.desc(weight)).limit(HOT_KEYS).where(F.col(weight) >= hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts))
-    # Rows without a key match nothing; they are spread as well.
-    keyless = F.array_contains(F.array(*[F.col(k).isNull() for k in keys]), F.lit(True))
-    left = rows.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(F.lit(0)).cast("int"),
-    ).drop("_hot")
-    copies = F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
+    hashable = list(spread) or [
+        f.name for f in rows.schema.fields
+        if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    hot = per_key.where(F.col(weight) > rows_per_task).select(
+        *keys, F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int").alias("_salts"))
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    left = rows.where(~keyless).join(F.broadcast(hot), keys, "left").withColumn(
+        "_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in hashable]), salts).cast("int"),
+    ).drop("_salts")
     right = per_key.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), copies))).drop("_hot", weight)
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+        "_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", weight)
+    joined = left.join(right, [*keys, "_salt"], how).drop("_salt")
+    if how != "left":
+        return joined
+    return joined.unionByName(rows.where(keyless), allowMissingColumns=True)
 
 
 def pin(rows: DataFrame) -> DataFrame:

@@ -11,16 +11,8 @@ from larder.functions.text import non_blank, normalise_text
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder, read by at least as many tasks as there are cores.
-
-    A file with a single row group is one split, which would leave all but one
-    core idle in front of text-heavy work. A scan with enough splits, the normal
-    case at scale, is left alone.
-    """
-    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
-    return rows if splits >= cores else rows.repartition(cores)
+    """One Parquet table of a data folder, file or folder of part files."""
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def read_stored_recipes(spark: SparkSession, path: str) -> DataFrame:

@@ -112,7 +112,7 @@ def test_attach_keeps_every_row(spark, hot_rows):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 < 2, F.lit("hot")).when(
         F.col("id") % 30 == 2, F.lit(None)).otherwise((F.col("id") % 40).cast("string")).alias("k"))
     facts = rows.groupBy("k").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    got = keyed.attach(rows, facts, ["k"], "n", hot_rows=hot_rows, salts=8)
+    got = keyed.attach(rows, facts, ["k"], "n", rows_per_task=hot_rows)
     assert got.count() == 3000
     want = {r["k"]: r["first"] for r in facts.collect()}
     assert all(r["first"] == (want[r["k"]] if r["k"] else None) for r in got.collect())
