@@ -64,8 +64,20 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
 _shipped: set[str] = set()
 
 
+# What a Python function is handed at a time, which bounds the memory of a Python worker.
+ARROW = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable for Python functions on the executors, once per application."""
+    """Make this package importable for Python functions on the executors, once per application.
+
+    Functions over texts get small batches, as a batch may hold long texts.
+    """
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
