@@ -139,65 +139,80 @@ def tree(vocab: Vocabulary, parts: list[np.ndarray], window: int = WINDOW) -> np
     return parts[0]
 
 
-def _encoder(path: str):
-    def encode(texts: pa.Array) -> pa.Array:
-        vocab = vocabulary(path)
-        return pa.array([vocab.encode(t.as_py()).tobytes() for t in texts], pa.binary())
+def _ids(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(data.as_py(), IDS)
 
-    return F.arrow_udf(encode, "binary")
 
+def _text(vocab: Vocabulary, ids: np.ndarray) -> str:
+    """Decoded text; characters of which tokens hold a part only are replaced."""
+    return vocab.decode(ids).decode("utf-8", "replace")
 
-def _decoder(path: str):
-    def decode(ids: pa.Array) -> pa.Array:
-        vocab = vocabulary(path)
-        # Tokens that end inside a character are only whole together; what stays broken is replaced.
-        return pa.array([vocab.decode(np.frombuffer(i.as_py(), IDS)).decode("utf-8", "replace") if i.is_valid else None
-                         for i in ids], pa.string())
 
-    return F.arrow_udf(decode, "string")
+def _coder(path: str, back: bool):
+    """Column function: UTF-8 text to its tokens and, if ``back``, the text decoded from them."""
+
+    def code(texts: pa.Array) -> pa.Array:
+        vocab, ids, decoded = vocabulary(path), [], []
+        for text in texts:
+            found = vocab.encode(text.as_py())
+            ids.append(found.tobytes())
+            decoded.append(_text(vocab, found) if back else None)
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+    return F.arrow_udf(code, "ids binary, decoded string")
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None) -> DataFrame:
     """``rows`` with the text of their tokens; null tokens give a null text."""
-    return rows.withColumn(out, _decoder(path or default_vocabulary())(F.col(ids)))
+    path = path or default_vocabulary()
+
+    def texts(coded: pa.Array) -> pa.Array:
+        vocab = vocabulary(path)
+        return pa.array([_text(vocab, _ids(i)) if i.is_valid else None for i in coded], pa.string())
+
+    return rows.withColumn(out, F.arrow_udf(texts, "string")(F.col(ids)))
 
 
 def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, window: int = WINDOW,
-           keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and ``ids``, the tokens of every whole text."""
+           back: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, ``ids`` (the tokens of every whole text) and ``decoded``.
+
+    ``decoded`` is the text the tokens decode to, made beside them where ``back``
+    asks for it, else null.
+    """
     path = path or default_vocabulary()
-    body, row, nth = fresh(docs.select(*keep), "body", "row", "nth")
-    texts = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias(body))
-    short = texts.where(F.octet_length(body) <= leaf).select(
-        *[F.col(f"`{c}`") for c in keep], _encoder(path)(F.col(body)).alias("ids"))
+    body, row, nth, coded = fresh(docs.select(*keep), "body", "row", "nth", "coded")
+    kept = [F.col(f"`{c}`") for c in keep]
+    numbered = docs.select(*kept, utf8().alias(body), F.monotonically_increasing_id().alias(row))
+    short = numbered.where(F.octet_length(body) <= leaf).select(*kept, _coder(path, back)(F.col(body)).alias(coded)).select(
+        *kept, f"{coded}.ids", f"{coded}.decoded")
 
     def cut(batches):
         vocab = vocabulary(path)
         for batch in batches:
-            for i in range(batch.num_rows):
-                parts = vocab.leaves(batch.column(body)[i].as_py(), leaf)
-                yield pa.record_batch([pa.array([batch.column(row)[i].as_py()] * len(parts), pa.int64()),
+            for number, text in zip(batch.column(row).to_pylist(), batch.column(body)):
+                parts = vocab.leaves(text.as_py(), leaf)
+                yield pa.record_batch([pa.array([number] * len(parts), pa.int64()),
                                        pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], [row, nth, body])
 
     def grow(table: pa.Table) -> pa.Table:
-        table = table.sort_by(nth)
-        parts = [np.frombuffer(i.as_py(), IDS) for i in table.column("ids")]
-        ids = tree(vocabulary(path), parts, window)
-        return pa.table([table.column(row)[:1], pa.array([ids.tobytes()], pa.binary())], [row, "ids"])
-
-    numbered = docs.select(*[F.col(f"`{c}`") for c in keep], utf8().alias(body),
-                           F.monotonically_increasing_id().alias(row)).where(F.octet_length(body) > leaf)
-    leaves = numbered.select(row, body).mapInArrow(cut, f"`{row}` long, `{nth}` long, `{body}` binary")
+        table, vocab = table.sort_by(nth), vocabulary(path)
+        ids = tree(vocab, [_ids(i) for i in table.column("ids")], window)
+        return pa.table([table.column(row)[:1], pa.array([ids.tobytes()], pa.binary()),
+                         pa.array([_text(vocab, ids) if back else None], pa.string())], [row, "ids", "decoded"])
+
+    long = numbered.where(F.octet_length(body) > leaf)
+    leaves = long.select(row, body).mapInArrow(cut, f"`{row}` long, `{nth}` long, `{body}` binary")
     # Dealt by leaf, not by text: the leaves of one long text are encoded in parallel.
-    tokens = leaves.repartition(row, nth).select(row, nth, _encoder(path)(F.col(body)).alias("ids"))
-    long = tokens.groupBy(row).applyInArrow(grow, f"`{row}` long, ids binary").join(
-        numbered.drop(body), row).select(*[F.col(f"`{c}`") for c in keep], "ids")
-    return short.unionByName(long)
+    tokens = leaves.repartition(row, nth).select(row, nth, _coder(path, False)(F.col(body)).alias(coded)).select(
+        row, nth, f"{coded}.ids")
+    grown = tokens.groupBy(row).applyInArrow(grow, f"`{row}` long, ids binary, decoded string")
+    return short.unionByName(grown.join(long.drop(body), row).select(*kept, "ids", "decoded"))
 
 
 def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
-    coded = decode(encode(docs, path, leaf), path=path)
+    coded = encode(docs, path, leaf, back=True)
     return coded.select(
         "doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

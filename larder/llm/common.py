@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+# For ``bytes.translate``: ASCII letters in lower case, digits and bytes of other characters
+# stay, everything else parts words.
+LETTERS = bytes(
+    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32
+    for c in range(256))
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")

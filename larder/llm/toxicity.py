@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larder.llm.common import utf8
+from larder.llm.common import LETTERS, utf8
 
 SLOTS = 1 << 20
 FOLDS = 5
@@ -36,10 +36,6 @@ REMEMBER = 1 << 18
 # Words of a text that are turned into features at a time.
 BLOCK = 1 << 17
 
-# ASCII letters in lower case, digits, and bytes of other characters stay.
-_CLEAN = bytes(
-    c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32
-    for c in range(256))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -56,7 +52,7 @@ _words = _Words()
 
 def features(text: bytes, slots: int = SLOTS) -> np.ndarray:
     """Distinct feature slots of one UTF-8 text, ascending."""
-    words = text.translate(_CLEAN).split()
+    words = text.translate(LETTERS).split()
     parts = [np.empty(0, np.uint32)]
     for at in range(0, len(words), BLOCK):
         block = words[at:at + BLOCK + 2]
