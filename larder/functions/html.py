@@ -96,6 +96,12 @@ def _before_last(c: Column, closer: str, rewrite) -> Column:
     return let(c, parts)
 
 
+def _up_to(s: Column, pattern: str, rewrite) -> Column:
+    """Rewrite what a pattern that starts at the beginning finds; keep what follows it."""
+    return let(F.regexp_extract(s, pattern, 0), lambda head: F.concat(
+        rewrite(head), F.substring(s, F.char_length(head) + 1, F.char_length(s))))
+
+
 def drop_non_text(c: Column) -> Column:
     """Remove non-text elements whole; an unclosed one swallows the rest."""
     per_tag = "|".join(
@@ -139,25 +145,50 @@ def html_to_text(c: Column, scan_chars: int | None = None) -> Column:
 
 
 def page_title(c: Column) -> Column:
-    raw = F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return trim(collapse(decode_entities(F.nullif(raw, F.lit("")))))
+    """Content of the first title element.
+
+    Only the text in front of the last closer is looked at, and an opening tag
+    only counts where a ``>`` still follows: the first attempt is then the match.
+    """
+    head = F.regexp_extract(c, r"(?is)\A(.*)</title>", 1)
+
+    def content(s: Column) -> Column:
+        closed = F.substring(s, F.lit(1), F.char_length(s) - F.char_length(F.substring_index(s, ">", -1)))
+        found = F.regexp_extract(
+            F.concat(s, F.lit("</title>")), r"(?is)<title[^>]*+>(.*?)</title>", 1)
+        return F.when(F.regexp_like(closed, F.lit("(?i)<title")), found).otherwise(F.lit(""))
+
+    return trim(collapse(decode_entities(F.nullif(let(head, content), F.lit("")))))
 
 
 def meta_content(c: Column, prop: str) -> Column:
-    """Quoted ``content`` of the first meta tag with this property or name."""
-    tag = F.regexp_extract(
-        c, rf"""(?i)<meta[^>]+(?:property|name)\s*=\s*["']{prop}["'][^>]*>""", 0)
-    value = F.regexp_extract(tag, r"""(?i)content\s*=\s*["']([^"']*)["']""", 1)
-    return trim(decode_entities(F.nullif(value, F.lit(""))))
+    """Quoted ``content`` of the first meta tag with this property or name.
+
+    Tags are taken out whole first, each in one attempt, and tested apart.
+    """
+    named = rf"""(?i)\A<meta[^>]+(?:property|name)\s*=\s*["']{prop}["']"""
+
+    def first(tags: Column) -> Column:
+        return F.get(F.filter(tags, lambda t: F.regexp_like(t, F.lit(named))), F.lit(0))
+
+    tag = F.coalesce(first(F.regexp_extract_all(c, F.lit(r"(?i)<meta[^>]++(?:>|\z)"), F.lit(0))), F.lit(""))
+
+    def value(t: Column) -> Column:
+        closed = F.when(F.endswith(t, F.lit(">")), t).otherwise(F.lit(""))
+        return F.regexp_extract(closed, r"""(?i)content\s*=\s*["']([^"']*)["']""", 1)
+
+    return trim(decode_entities(F.nullif(let(tag, value), F.lit(""))))
 
 
 def json_ld_blocks(c: Column) -> Column:
     """Bodies of every ld+json script, CDATA wrappers removed, blanks dropped."""
-    found = F.regexp_extract_all(
-        c,
-        F.lit(r"""(?is)<script[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>"""),
+    # A tag that is no ld+json script is passed over whole; behind the last closer nothing can match.
+    closed = F.regexp_extract(c, r"(?is)\A.*</script>", 0)
+    found = F.filter(F.regexp_extract_all(
+        closed,
+        F.lit(r"""(?is)<script(?:[^>]*?type\s*=\s*["']?application/ld\+json["']?[^>]*+>(.*?)</script>|[^>]*+>)"""),
         F.lit(1),
-    )
+    ), lambda b: b.isNotNull())
 
     def unwrap(block: Column) -> Column:
         block = F.regexp_replace(block, r"^\s*<!\[CDATA\[", "")
@@ -170,7 +201,8 @@ def embed_caption(c: Column) -> Column:
     """Caption text inside embed markup, or NULL when the marker is missing."""
     after = F.regexp_extract(c, r'(?s)<div class="Caption"[\s>].*', 0)
     inner = F.substring_index(after, '<div class="CaptionComments"', 1)
-    inner = F.regexp_replace(inner, r'(?is)\A(.*?)<a class="CaptionUsername".*?</a>', "$1")
+    inner = let(inner, lambda s: _up_to(s, r"(?is)\A.*</a>", lambda t: F.regexp_replace(
+        t, r'(?is)\A(.*?)<a class="CaptionUsername".*?</a>', "$1")))
     s = F.regexp_replace(inner, r"(?i)<br\s*/?>", "\n")
     s = strip_tags(F.regexp_replace(s, r"(?i)</(?:p|div)\s*>", "\n"), "")
     s = normalise_text(decode_entities(s))
@@ -180,10 +212,14 @@ def embed_caption(c: Column) -> Column:
 
 def embed_author(c: Column) -> Column:
     name = F.regexp_extract(c, r'(?i)<span class="UsernameText">([^<]+)</span>', 1)
-    link = F.regexp_extract(c, r'(?i)<a class="CaptionUsername"[^>]*>([^<]+)</a>', 1)
+    links = F.regexp_extract_all(c, F.lit(
+        r'(?i)<a class="CaptionUsername"(?:[^>]*+>([^<]++)</a>|[^>]*+(?:>|\z))'), F.lit(1))
+    link = F.coalesce(F.get(F.filter(links, lambda t: t != ""), F.lit(0)), F.lit(""))
     return trim(decode_entities(F.coalesce(F.nullif(name, F.lit("")), F.nullif(link, F.lit("")))))
 
 
 def embed_thumbnail(c: Column) -> Column:
-    src = F.regexp_extract(c, r'(?i)<img[^>]+class="EmbeddedMediaImage"[^>]+src="([^"]+)"', 1)
-    return decode_entities(F.nullif(src, F.lit("")))
+    found = F.regexp_extract_all(c, F.lit(
+        r'(?i)<img(?:(?>[^>]+?class="EmbeddedMediaImage")[^>]+src="([^"]++)"|[^>]*+(?:>|\z))'), F.lit(1))
+    src = F.get(F.filter(found, lambda t: t != ""), F.lit(0))
+    return decode_entities(src)
