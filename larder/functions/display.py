@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from itertools import chain
 
 from pyspark.sql import Column
@@ -118,10 +120,11 @@ def relative_time(at: Column, now: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the code points of the text, as a BIGINT."""
-    points = F.transform(F.filter(F.split(text, ""), lambda ch: ch != ""), lambda ch: F.conv(
-        F.hex(F.encode(ch, "UTF-32")), 16, 10).cast("long"))
-    return F.aggregate(points, F.lit(FNV_OFFSET).cast("long"), lambda h, c: (
+    """32-bit FNV-1a over the UTF-16 units of the text, as a BIGINT."""
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    units = F.transform(F.regexp_extract_all(digits, F.lit("...."), F.lit(0)), lambda unit: F.conv(
+        unit, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(FNV_OFFSET).cast("long"), lambda h, c: (
         h.bitwiseXOR(c) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
@@ -129,11 +132,16 @@ def monogram_color(seed: Column) -> Column:
     return F.get(F.array(*[F.lit(c) for c in PALETTE]), (fnv1a(seed) % len(PALETTE)).cast("int"))
 
 
+def _folded() -> tuple[str, str]:
+    """Latin letters that decompose into an ASCII letter and marks, and those letters."""
+    bare = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)))}
+    pairs = [(c, b) for c, b in bare.items() if b.isascii()]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
 def monogram_initials(title: Column) -> Column:
-    """Up to two letters; accents are folded by dropping the combining marks."""
-    plain = F.translate(
-        title, "àáâãäåèéêëìíîïòóôõöùúûüýçñÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÝÇÑ",
-        "aaaaaaeeeeiiiiooooouuuuycnAAAAAAEEEEIIIIOOOOOUUUUYCN")
+    """Up to two letters; accents are folded, combined or not."""
+    plain = F.translate(F.regexp_replace(title, r"[\x{0300}-\x{036F}]+", ""), *_folded())
     words = F.filter(F.split(plain, "[^A-Za-z0-9]+"), lambda w: w != "")
 
     def initials(w: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import WORD_END, WORD_START, js_round, let, normalise_text
+from larder.functions.text import NOT_WS, WORD_END, WORD_START, WS, js_round, let, normalise_text
 
 # Vocabulary and weights of the score.
 UNITS = (
@@ -13,7 +13,7 @@ UNITS = (
     r"|slices?|sticks?|cans?|tins?|pints?|quarts?|mins?|minutes?|hrs?|hours?|scoops?|sprigs?"
     r"|bunch|dash|pkg|packets?)"
 )
-NUMBER = r"(?:\d+(?:[.,]\d+)?(?:\s*/\s*\d+)?|\d+\s+\d+\s*/\s*\d+|[½⅓⅔¼¾⅛⅜⅝⅞])"
+NUMBER = (rf"(?:\d+(?:[.,]\d+)?(?:{WS}*/{WS}*\d+)?|\d+{WS}+\d+{WS}*/{WS}*\d+|[½⅓⅔¼¾⅛⅜⅝⅞])")
 VERBS = (
     r"preheat|bake|baked|baking|mix|stir|whisk|fold|chop|dice|diced|mince|minced|fry"
     r"|air[- ]?fry|boil|simmer|roast|grill|blend|marinate|season|drain|knead|pour|combine"
@@ -26,12 +26,14 @@ HEADINGS = (
 )
 THRESHOLD = 4.0
 
-_NUMBER_UNIT = rf"(?i)(?:\A|[\s(\[]){NUMBER}\s*-?\s*{UNITS}{WORD_END}"
-_QUANTITY_LINE = rf"^\s*(?:[-*•–—·▪\x{{FE0F}}>]|\d+[.)])?\s*{NUMBER}\s*\S"
+# What may stand in front of a quantity in a list.
+BULLETS = r"[-*•–—·▪\x{FE0F}>]"
+_NUMBER_UNIT = rf"(?i)(?:\A|{WS}|[(\[]){NUMBER}{WS}*-?{WS}*{UNITS}{WORD_END}"
+_QUANTITY_LINE = rf"^{WS}*(?:{BULLETS}|\d+[.)])?{WS}*{NUMBER}{WS}*{NOT_WS}"
 # An accented final letter is no ASCII word character, so its boundary is on the other side.
 _VERB = rf"(?i){WORD_START}(?:(?:{VERBS}|saute){WORD_END}|saut[éÉ](?=[A-Za-z0-9_]))"
 _HEADING = rf"(?i){WORD_START}(?:{HEADINGS}){WORD_END}"
-_HASHTAG = r"(?:\A|\s)#[\p{L}\p{N}_]+"
+_HASHTAG = rf"(?:\A|{WS})#[\p{{L}}\p{{N}}_]+"
 
 
 def score_text(text: Column) -> Column:

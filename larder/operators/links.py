@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import urls as U
-from larder.operators.keyed import attach, earliest_per_key, pin
+from larder.operators.keyed import attach, pin
+from larder.session import materialise
 
 
 def with_identity_key(rows: DataFrame, url: str = "url", key: str = "identity_key") -> DataFrame:
@@ -30,12 +31,16 @@ def split_unsafe(rows: DataFrame, url: str = "url") -> tuple[DataFrame, DataFram
 def unique_by_identity(rows: DataFrame, key: str, row_id: str, *first: str) -> DataFrame:
     """One row per identity key, the earliest; rows without a key are never merged.
 
-    The winner is an aggregate with a partial step on every input task, so a
-    link copied into a third of all rows is reduced before it is shuffled.
+    Only keys and ids are aggregated and compared; the few rows that lose are
+    written down and taken out by id, so the wide rows are neither sorted nor
+    shuffled while the losers fit a broadcast.
     """
-    order = [F.col(c) for c in (*first, row_id)]
-    keyed = earliest_per_key(rows.where(F.col(key).isNotNull()), [key], order)
-    return keyed.select(*rows.columns).unionByName(rows.where(F.col(key).isNull()))
+    narrow = rows.where(F.col(key).isNotNull()).select(key, row_id, *first)
+    winners = narrow.groupBy(key).agg(
+        F.min_by(row_id, F.struct(*first, row_id)).alias("_winner"), F.count("*").alias("_n"))
+    shared = attach(narrow.select(key, row_id), winners.where("_n > 1"), [key], "_n")
+    losers = materialise(shared.where(F.col("_winner") != F.col(row_id)).select(row_id), "losers")
+    return rows.join(losers, row_id, "left_anti").select(*rows.columns)
 
 
 def link_to_winner(rows: DataFrame, key: str, row_id: str, *first: str) -> DataFrame:

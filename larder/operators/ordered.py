@@ -19,6 +19,24 @@ from pyspark.sql import functions as F
 from larder.session import materialise
 
 CHUNK = "_chunk"
+# Rows of a chunk: their number follows the data.
+ROWS_PER_CHUNK = 100_000
+
+
+def numbered(rows: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Every row with its place, from one, in a total order over all rows.
+
+    Rows are range-partitioned and sorted; a place is the place inside the
+    partition plus the rows of the partitions before it, of which there is one
+    short count each. No task sees more than its partition.
+    """
+    ranged = materialise(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(
+        out, F.col("_before") + inside + 1).drop("_at", "_part", "_before")
 
 
 class Chunked:
@@ -26,9 +44,8 @@ class Chunked:
 
     def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str],
                  chunks: int | None = None):
-        spark = rows.sparkSession
         self.keys, self.order = list(keys), list(order)
-        chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        chunks = chunks or max(1, -(-rows.count() // ROWS_PER_CHUNK))
         ranged = rows.repartitionByRange(chunks, *self.keys, *self.order)
         # Written out once: chunk numbers must not change if a task is run again.
         self.rows = materialise(ranged.withColumn(CHUNK, F.spark_partition_id()))

@@ -162,8 +162,9 @@ def clean_items(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn(text, clean_line(F.col(text))).where(F.col(text) != "")
 
 
-def in_list_order(items: DataFrame, *created: str) -> DataFrame:
-    return items.orderBy(F.asc("checked"), *[F.asc(c) for c in created])
+def list_order(*created: str) -> list[Column]:
+    """Open lines first, then by age."""
+    return [F.asc("checked"), *[F.asc(c) for c in created]]
 
 
 def clear_checked(items: DataFrame, checked: bool | None) -> DataFrame:

@@ -144,7 +144,7 @@ SELECT o_orderkey AS id, CASE o_orderkey % 6
     '2. Whisk, fry and drain.' || nl || 'Serve.' || nl || '#easy #food' || c
   WHEN 1 THEN 'You asked and I delivered' || nl || nl || 'Full recipe is in my bio!! Link in bio' || nl || '#food #foodie' || c || ' #yum'
   WHEN 2 THEN 'Went to the new place on Lane ' || c || ' last night and honestly? Best tacos I have had, no notes.'
-  WHEN 3 THEN 'Pasta: ' || c || ' g spaghetti, 2 cloves garlic, 1/2 cup oil, 1 1/2 tsp salt. Boil, drain and toss.'
+  WHEN 3 THEN 'Pasta: ' || c || '\u2009g spaghetti, 2\u2009cloves garlic, 1/2 cup oil, 1\u20091/2\u2009tsp salt. Boil, drain and toss.\u2009#pasta'
   WHEN 4 THEN '' END AS text
 FROM (SELECT o_orderkey, CAST(o_custkey % 40 AS STRING) AS c, chr(10) AS nl FROM @orders) o""",
     "ld_pages_v": """

@@ -249,13 +249,13 @@ ORDER_SQL = {"recent": "created_at DESC, id DESC", "title": "title ASC, id ASC",
 
 def _top(sort):
     @query(f"o_order_{sort}", f"""SELECT id, title, row_number() OVER (ORDER BY {ORDER_SQL[sort]}) AS place
-FROM @recipes_v ORDER BY {ORDER_SQL[sort]} LIMIT 100""")
+FROM @recipes_v""")
     def _(src):
-        from pyspark.sql import Window
+        from larder.operators.ordered import numbered
 
-        top = C.top(src("recipes_v"), sort, 100)
-        w = Window.orderBy(*C.sort_columns(sort))
-        return top.select("id", "title", F.row_number().over(w).cast("long").alias("place"))
+        order = C.sort_columns(sort)
+        recipes = src("recipes_v").select("id", "title", "cooked_count", "last_cooked_at", "created_at")
+        return numbered(recipes, order, "place").select("id", "title", "place")
 
 
 for _sort in ORDER_SQL:

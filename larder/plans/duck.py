@@ -195,7 +195,7 @@ def cap(x: str, n: int) -> str:
             f"{sub(f'substr({x}, 1, {n - 1})', rf'{WS}+$')} || '…' END")
 
 
-NUM = r"(?:\d+(?:[.,]\d+)?(?:\s*/\s*\d+)?|\d+\s+\d+\s*/\s*\d+|[½⅓⅔¼¾⅛⅜⅝⅞])"
+NUM = rf"(?:\d+(?:[.,]\d+)?(?:{WS}*/{WS}*\d+)?|\d+{WS}+\d+{WS}*/{WS}*\d+|[½⅓⅔¼¾⅛⅜⅝⅞])"
 UNIT = (r"(?:g|kg|ml|l|oz|lb|lbs|cup|cups|tsp|tbsp|teaspoons?|tablespoons?|cloves?|pinch|handful|slices?|sticks?"
         r"|cans?|tins?|pints?|quarts?|mins?|minutes?|hrs?|hours?|scoops?|sprigs?|bunch|dash|pkg|packets?)")
 VERB = (r"(?i)\b(?:preheat|bake|baked|baking|mix|stir|whisk|fold|chop|dice|diced|mince|minced|saut[ée]|fry"
@@ -207,14 +207,14 @@ HEADING = (r"(?i)\b(?:ingredients?|method|directions?|instructions?|steps?|you(?
 
 
 def clean_for_score(x: str) -> str:
-    return sub(normalise(x), r"(^|\s)#[\p{L}\p{N}_]+", " ")
+    return sub(normalise(x), rf"(^|{WS})#[\p{{L}}\p{{N}}_]+", " ")
 
 
 def score_of_clean(c: str) -> str:
     return f"""CASE WHEN coalesce(length({c}), 0) < 40 THEN 0.0::DOUBLE ELSE
-  least(len(regexp_extract_all({c}, {q(rf"(?i)(?:^|[\s(\[]){NUM}\s*-?\s*{UNIT}\b")})), 8) * 0.9::DOUBLE
+  least(len(regexp_extract_all({c}, {q(rf"(?i)(?:^|{WS}|[(\[]){NUM}{WS}*-?{WS}*{UNIT}\b")})), 8) * 0.9::DOUBLE
   + least(len(list_filter(string_split({c}, chr(10)), lambda l: regexp_matches(l,
-      {q(rf"^\s*(?:[-*•–—·▪\x{{FE0F}}>]|\d+[.)])?\s*{NUM}\s*\S")}))), 8) * 0.6::DOUBLE
+      {q(rf"^{WS}*(?:[-*•–—·▪\x{{FE0F}}>]|\d+[.)])?{WS}*{NUM}{WS}*[^\n{_WS_BODY}]")}))), 8) * 0.6::DOUBLE
   + least(len(list_distinct(list_transform(regexp_extract_all({c}, {q(VERB)}), lambda v: lower(v)))), 8) * 0.45::DOUBLE
   + least(len(regexp_extract_all({c}, {q(HEADING)})), 3) * 1.2::DOUBLE
   + CASE WHEN length({c}) > 350 THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END END"""

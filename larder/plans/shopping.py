@@ -162,18 +162,12 @@ def _(src):
 
 @query("o4_list_order", """
 SELECT list_owner, id, checked, row_number() OVER (ORDER BY checked, created_at, recipe_id, line_no, part_id, supp_id, price) AS place
-FROM @grocery_v ORDER BY checked, created_at, recipe_id, line_no, part_id, supp_id, price LIMIT 200""")
+FROM @grocery_v""")
 def _(src):
-    top = S.in_list_order(src("grocery_v"), *LIST_ORDER).limit(200)
-    return _placed(top.select("list_owner", "id", "checked", *LIST_ORDER), ["checked", *LIST_ORDER]).drop(*LIST_ORDER)
+    from larder.operators.ordered import numbered
 
-
-def _placed(top, order):
-    """Number the rows of a bounded report."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(*order)
-    return top.withColumn("place", F.row_number().over(w).cast("long"))
+    lines = src("grocery_v").select("list_owner", "id", "checked", *LIST_ORDER)
+    return numbered(lines, S.list_order(*LIST_ORDER), "place").drop(*LIST_ORDER)
 
 
 @query("a3_list_progress", """

@@ -88,26 +88,27 @@ def _(src):
     return S.run_to_table(fresh, "append", "enqueue").select("identity_key").distinct()
 
 
-@query("s8_partition_overwrite", "SELECT lang, count(*) AS documents FROM documents GROUP BY lang")
+@query("s8_partition_overwrite", "SELECT doc_id, lang, source FROM documents")
 def _(src):
     path = scratch_path(src.spark, "by-lang")
-    rows = src("documents").select("doc_id", "lang")
+    rows = src("documents").select("doc_id", "lang", "source")
     sinks.overwrite_partitions(rows, path, "lang")
     # Writing the same partitions again replaces them.
     sinks.overwrite_partitions(rows, path, "lang")
-    return src.spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("documents"))
+    return src.spark.read.parquet(path).select("doc_id", "lang", "source")
 
 
-@query("s9_published_tables", """SELECT (SELECT count(*) FROM @folder_links_v) AS links, (SELECT count(*) FROM @grocery_v WHERE NOT checked) AS open_lines""")
+@query("s9_published_tables", """SELECT 'link' AS kind, CAST(recipe_id AS VARCHAR) AS row_id, folder_id AS value FROM @folder_links_v
+UNION ALL SELECT 'line', id, text FROM @grocery_v WHERE NOT checked""")
 def _(src):
     root = scratch_path(src.spark, "published")
-    sinks.publish_tables({
-        "links": src("folder_links_v"),
-        "grocery": src("grocery_v").where(~F.col("checked")).select("id", "text")}, root)
-    links, lines = (sinks.read_published(src.spark, root, t) for t in ("links", "grocery"))
-    counts = links.agg(F.count("*").alias("links"), F.lit(0).cast("long").alias("open_lines")).unionByName(
-        lines.agg(F.lit(0).cast("long").alias("links"), F.count("*").alias("open_lines")))
-    return counts.agg(F.sum("links").alias("links"), F.sum("open_lines").alias("open_lines"))
+    lines = src("grocery_v").where(~F.col("checked")).select("id", "text")
+    sinks.publish_tables({"links": src("folder_links_v").limit(0), "grocery": lines.limit(0)}, root)
+    sinks.publish_tables({"links": src("folder_links_v"), "grocery": lines}, root)
+    now = sinks.read_published(src.spark, root, "links", "grocery")
+    links = now["links"].select(F.lit("link").alias("kind"), F.col("recipe_id").cast("string").alias("row_id"), F.col("folder_id").alias("value"))
+    return links.unionByName(now["grocery"].select(
+        F.lit("line").alias("kind"), F.col("id").alias("row_id"), F.col("text").alias("value")))
 
 
 @query("s7_content_addressed_files", "SELECT DISTINCT substr(sha256(text), 1, 20) || '.txt' AS name FROM documents")

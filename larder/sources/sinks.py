@@ -49,13 +49,21 @@ def publish_tables(tables: dict[str, DataFrame], root: str) -> str:
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{root}/{name}/{version}")
     spark.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("published_at"),
+        F.lit(version).alias("version"), F.array(*[F.lit(n) for n in tables]).alias("names"),
+        F.current_timestamp().alias("published_at"),
     ).write.mode("append").parquet(f"{root}/_published")
     return version
 
 
-def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Current version of a published table."""
+def read_published(spark: SparkSession, root: str, *names: str) -> dict[str, DataFrame]:
+    """The tables of the newest published version.
+
+    The version is looked up once, so tables read together belong together even
+    if another version appears meanwhile.
+    """
     newest = spark.read.parquet(f"{root}/_published").agg(
-        F.max_by("version", "published_at").alias("version")).first()
-    return spark.read.parquet(f"{root}/{name}/{newest['version']}")
+        F.max_by(F.struct("version", "names"), F.struct("published_at", "version")).alias("v")).first()["v"]
+    missing = sorted(set(names) - set(newest["names"]))
+    if missing:
+        raise KeyError(f"not in the newest version: {', '.join(missing)}")
+    return {n: spark.read.parquet(f"{root}/{n}/{newest['version']}") for n in names or newest["names"]}
