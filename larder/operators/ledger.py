@@ -19,9 +19,12 @@ MAX_ERROR_CHARS = 400
 GENERIC_ERROR = "Something went wrong while importing that link."
 RETRYABLE = (429, 500, 503, 504)
 
-# States of a job are numbered status * 4 + attempts.
+# States of a job are numbered status * base + attempts. Three attempts are the most without
+# leases; a lease that runs out gives a job back without using them up, so that their number is
+# only bounded by the base, at which it stays.
 STATUSES = ("none", "pending", "running", "done", "not_recipe", "failed")
-STATES = len(STATUSES) * 4
+BASE, LEASED_BASE = 4, 64
+STATES = len(STATUSES) * BASE
 
 
 def cooldown_seconds(attempts: Column) -> Column:
@@ -91,41 +94,46 @@ def stage_changes(events: DataFrame, job: str, order: list[str], chunks: int | N
     return seen.where(~F.col("stage").eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def transition(state: Column, event: Column) -> Column:
+def transition(state: Column, event: Column, base: int = BASE) -> Column:
     """Next state of a job.
 
     A finished job is only left by a new submission, which starts over. A failed
     attempt is retried until the attempts are used up or the failure is permanent.
     """
-    attempts = state % 4
-    is_ = lambda name: F.floor(state / F.lit(4)) == STATUSES.index(name)
-    to = lambda name: F.lit(STATUSES.index(name) * 4)
+    attempts = state % base
+    is_ = lambda name: F.floor(state / F.lit(base)) == STATUSES.index(name)
+    to = lambda name: F.lit(STATUSES.index(name) * base)
     idle = ~(is_("pending") | is_("running"))
     retry = F.when(attempts >= MAX_ATTEMPTS, to("failed") + attempts).otherwise(to("pending") + attempts)
     nxt = (
         F.when((event == "submit") & idle, to("pending"))
-        .when((event == "claim") & is_("pending"), to("running") + attempts + 1)
+        .when((event == "claim") & is_("pending"), to("running") + F.least(attempts + 1, F.lit(base - 1)))
         .when((event == "succeed") & is_("running"), to("done") + attempts)
         .when((event == "not_recipe") & is_("running"), to("not_recipe") + attempts)
         .when((event == "fail") & is_("running"), retry)
         .when((event == "fail_permanent") & is_("running"), to("failed") + attempts)
+        .when((event == "expire") & is_("running"), to("pending") + attempts)
+        # A stored state taken up again.
+        .when(F.startswith(event, F.lit("was:")), F.substring_index(event, ":", -1).try_cast("int"))
         .otherwise(state))
     return nxt.cast("int")
 
 
+def replay_step(state: Column, event: Column, base: int = BASE) -> Column:
+    return let(state, lambda s: transition(s, event, base))
+
+
 def replay(events: DataFrame, job: str, order: list[str], event: str = "event",
            chunks: int | None = None) -> DataFrame:
     """Current status and attempts of every job from its whole event history."""
-    final = replay_states(
-        events, [job], order, event, STATES,
-        lambda s, e: let(s, lambda v: transition(v, e)), chunks)
+    final = replay_states(events, [job], order, event, STATES, replay_step, chunks)
     return final.select(job, *decode_state(F.col("state")), "events")
 
 
-def decode_state(state: Column) -> tuple[Column, Column]:
+def decode_state(state: Column, base: int = BASE) -> tuple[Column, Column]:
     names = F.array(*[F.lit(s) for s in STATUSES])
-    return (F.get(names, F.floor(state / F.lit(4)).cast("int")).alias("status"),
-            (state % 4).cast("int").alias("attempts"))
+    return (F.get(names, F.floor(state / F.lit(base)).cast("int")).alias("status"),
+            (state % base).cast("int").alias("attempts"))
 
 
 def classify_failures(rows: DataFrame) -> DataFrame:

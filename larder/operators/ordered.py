@@ -138,11 +138,20 @@ def replay_states(
     per chunk is bounded by the chunk, and what is gathered per key is one short
     table per chunk.
     """
-    c = Chunked(rows, keys, order, chunks)
+    composed = _exit_tables(Chunked(rows, keys, order, chunks), event, states, step).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(CHUNK, "_exit"))).alias("_tables"),
+        F.sum("events").alias("events"))
+    final = F.aggregate(
+        F.col("_tables"), F.lit(0), lambda s, t: F.get(t["_exit"], s))
+    return composed.select(*keys, final.alias("state"), "events")
+
+
+def _exit_tables(c: Chunked, event: str, states: int, step) -> DataFrame:
+    """Per chunk of a key its events in order and its exit state for every entry state."""
     firsts = c.rows.join(F.broadcast(c.split_keys), c.keys, "left_semi").groupBy(
         *c.keys).agg(F.min(CHUNK).alias("_first"))
     per_chunk = c.rows.groupBy(*c.keys, CHUNK).agg(F.array_sort(F.collect_list(
-        F.struct(*order, event))).alias("_events"), F.count("*").alias("events"))
+        F.struct(*c.order, event))).alias("_events"), F.count("*").alias("events"))
     per_chunk = per_chunk.join(F.broadcast(firsts), c.keys, "left")
 
     def fold(start: Column) -> Column:
@@ -151,11 +160,30 @@ def replay_states(
     entry = F.when(
         F.coalesce(F.col("_first"), F.col(CHUNK)) == F.col(CHUNK), F.array(F.lit(0)),
     ).otherwise(F.sequence(F.lit(0), F.lit(states - 1)))
-    table = per_chunk.select(
-        *c.keys, CHUNK, "events", F.transform(entry, fold).alias("_exit"))
-    composed = table.groupBy(*c.keys).agg(
-        F.array_sort(F.collect_list(F.struct(CHUNK, "_exit"))).alias("_tables"),
-        F.sum("events").alias("events"))
-    final = F.aggregate(
-        F.col("_tables"), F.lit(0), lambda s, t: F.get(t["_exit"], s))
-    return composed.select(*c.keys, final.alias("state"), "events")
+    return per_chunk.select(*c.keys, CHUNK, "_events", "events", F.transform(entry, fold).alias("_exit"))
+
+
+def states_at(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], event: str,
+    states: int, step, which: str, chunks: int | None = None,
+) -> DataFrame:
+    """Key, order and state before every event named ``which``, replayed as by ``replay_states``."""
+    c = Chunked(rows, keys, order, chunks)
+    tables = _exit_tables(c, event, states, step)
+    entries = tables.groupBy(*c.keys).agg(
+        F.array_sort(F.collect_list(F.struct(CHUNK, "_exit"))).alias("_tables")).select(
+        *c.keys, F.explode(F.transform(F.col("_tables"), lambda t, i: F.struct(
+            t[CHUNK].alias(CHUNK), F.aggregate(
+                F.slice("_tables", F.lit(1), i), F.lit(0), lambda s, b: F.get(b["_exit"], s)).alias("_entry")))).alias("_e"),
+    ).select(*c.keys, "_e.*")
+    met = F.struct(*[F.col(f"_events.{o}")[0].alias(o) for o in c.order], F.lit(0).alias("state"))
+    start = F.struct(F.col("_entry").alias("s"), F.filter(F.array(met), lambda _: F.lit(False)).alias("met"))
+
+    def walk(acc: Column, e: Column) -> Column:
+        now = F.struct(*[e[o].alias(o) for o in c.order], acc["s"].alias("state"))
+        return F.struct(step(acc["s"], e[event]).alias("s"), F.when(
+            e[event] == which, F.concat(acc["met"], F.array(now))).otherwise(acc["met"]).alias("met"))
+
+    walked = tables.where(F.exists("_events", lambda e: e[event] == which)).join(entries, [*c.keys, CHUNK]).select(
+        *c.keys, F.explode(F.aggregate(F.col("_events"), start, walk)["met"]).alias("_m"))
+    return walked.select(*c.keys, "_m.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions.urls import canonical_url
-from larder.operators.keyed import latest_per_key
+from larder.operators.links import with_identity_key
 from larder.plans import duck as Q
 from larder.plans.ledger import SQL_EVENTS, job_events
 from larder.plans.registry import ORACLES, query
@@ -29,9 +29,8 @@ def _job_stream(src):
 
 @query("l2_job_states_stream", ORACLES["l2_job_states"].replace(", n AS events FROM r QUALIFY", " FROM r QUALIFY"))
 def _(src):
-    out = S.run_to_table(S.job_states(_job_stream(src)), "append", "job-states")
-    last = latest_per_key(out.where(F.col("kind") == "state"), ["job"], [F.col("batch_id")])
-    return last.select(F.col("job").alias("user_id"), "status", "attempts")
+    state, _ = S.job_states(_job_stream(src)).run().result()
+    return S.current(state).withColumnRenamed("job", "user_id")
 
 
 @query("l4_reclaimed_leases_stream", f"""WITH RECURSIVE {SQL_EVENTS.replace("AS n FROM events", "AS n, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events")},
@@ -47,9 +46,8 @@ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, 'none' AS status, 0 AS at
   FROM r JOIN ev e ON e.user_id = r.user_id AND e.n = r.n + 1) s) t)
 SELECT user_id, attempts, CAST(epoch_us(reclaimed_at) AS BIGINT) AS at_micros FROM r WHERE reclaimed_at IS NOT NULL""")
 def _(src):
-    out = S.run_to_table(S.job_states(_job_stream(src), S.LEASE_SECONDS), "append", "leases")
-    return out.where(F.col("kind") == "reclaimed").select(
-        F.col("job").alias("user_id"), "attempts", F.unix_micros("at").alias("at_micros"))
+    _, out = S.job_states(_job_stream(src), S.LEASE_SECONDS).run().result()
+    return out.select(F.col("job").alias("user_id"), "attempts", F.unix_micros("at").alias("at_micros"))
 
 
 @query("l8_stage_changes_stream", """WITH j AS (SELECT event_id, user_id, ts, CASE event_id % 4 WHEN 0 THEN 'fetching' WHEN 1 THEN 'transcribing' WHEN 2 THEN 'structuring' END AS stage
@@ -60,7 +58,7 @@ def _(src):
     staged = _events(src)("events").where(F.col("event_type") == "view").select(
         F.col("user_id").alias("job"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.when(k == 0, "fetching").when(k == 1, "transcribing").when(k == 2, "structuring").alias("stage"))
-    out = S.run_to_table(S.stage_changes(staged), "append", "stages")
+    _, out = S.stage_changes(staged).run().result()
     return out.select("event_id", F.col("job").alias("user_id"), "stage")
 
 
@@ -72,20 +70,21 @@ def _(src):
 
     d = deltas(_events(src)).select(
         F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "d")
-    out = S.run_to_table(S.floored_counts(d), "update", "counters")
-    last = latest_per_key(out, ["job"], [F.col("batch_id")])
+    last, _ = S.floored_counts(d).run().result()
     return last.select(F.col("job").alias("user_id"), "cooked_count", F.unix_micros("last_cooked_at").alias("last_micros"))
 
 
-@query("l1_enqueue_stream", f"WITH {Q.identity_key('@links_v', 'url', 'identity_key')} " + """
-SELECT DISTINCT identity_key FROM u_key WHERE identity_key IS NOT NULL AND identity_key NOT IN (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NULL)""")
+@query("l1_enqueue_stream", f"WITH {Q.identity_key('@links_v', 'url', 'identity_key')}" + """,
+o AS (SELECT DISTINCT regexp_replace(replace(url, 'www.', ''), '/$', '') AS k FROM @jobs_v WHERE status IN ('pending', 'running'))
+SELECT DISTINCT identity_key FROM u_key WHERE identity_key IS NOT NULL AND identity_key NOT IN (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NULL)
+  AND identity_key NOT IN (SELECT k FROM o)""")
 def _(src):
     from larder.plans.adapters import view_over
 
     links = view_over(src.spark, "links_v", {"events": _events(src)("events")})
-    keyed = links.select(F.col("submitted_at").cast("timestamp").alias("ts"), canonical_url(F.col("url")).alias("identity_key"))
-    fresh = S.new_keys(keyed, src("recipes_v"), "identity_key", "source_url")
-    return S.run_to_table(fresh, "append", "enqueue").select("identity_key").distinct()
+    keyed = links.select(canonical_url(F.col("url")).alias("identity_key"))
+    jobs = with_identity_key(src("jobs_v"), "url", "job_key")
+    return S.enqueue(keyed, src("recipes_v"), jobs, "identity_key", "source_url", "job_key")
 
 
 @query("s8_partition_overwrite", "SELECT doc_id, lang, source FROM documents")

@@ -1,192 +1,223 @@
-"""Keyed state over event streams: job states, leases, stage changes, floored counters.
-
-State per key is a few numbers, kept in RocksDB. Events of one trigger are
-applied in event order; the source bounds a trigger by bytes, which also bounds
-what one key can bring to a task.
+"""Event streams folded in order: job states, leases, stage changes, counters, enqueue.
+
+Each trigger is a batch of the operators that also run over whole histories, so
+hot keys are cut into chunks here as well and nothing runs row by row in Python.
+Events wait until the watermark has passed them and are applied in event order,
+whatever order they arrived in; events older than what has been applied go to a
+table of rejects. State, waiting events and outputs are tables numbered by
+trigger in the shared folder: a trigger that runs again replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from larder.operators import ledger as L
+from larder.operators.ordered import floored_counter, previous_value, replay_states, states_at
 from larder.session import scratch_path
 
-LEASE_SECONDS = 15 * 60
-# Events later than the lease cannot change anything that is still open.
-WATERMARK = "15 minutes"
-STATE_STORE = (
-    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-JOB_OUTPUT = "job BIGINT, kind STRING, status STRING, attempts INT, at TIMESTAMP"
-STATUSES = ("none", "pending", "running", "done", "not_recipe", "failed")
-MAX_ATTEMPTS = 3
+LEASE_SECONDS = L.LEASE_SECONDS
+# How long events wait for earlier ones.
+DELAY_SECONDS = 15 * 60
+ORDER = ["ts", "event_id"]
+# A stored state comes before every event that follows it.
+STORED = -(1 << 63)
+LAST = (1 << 63) - 1
 
-
-def use_state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+# (state so far, events in reach, watermark) -> (new state, output)
+Fold = Callable[[DataFrame, DataFrame, object], tuple[DataFrame, DataFrame]]
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema: str,
                  max_bytes: int = 1 << 30) -> DataFrame:
-    """Files of one table as a stream; ``max_bytes`` bounds a trigger and so any one key in it."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-        .option("maxBytesPerTrigger", max_bytes).parquet(folder))
-
+    """One table as a stream, be it a file or a folder of part files; a trigger takes about ``max_bytes``."""
+    # A pattern, as a stream takes a plain path for a folder.
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes).parquet(
+        f"{folder.rstrip('/')}/{name}[.]parquet")
+
+
+class OrderedStream:
+    """A fold over an event stream, with its tables."""
+
+    def __init__(self, events: DataFrame, fold: Fold, state: str, output: str,
+                 delay_seconds: int = DELAY_SECONDS, label: str = "stream"):
+        self.spark, self.events, self.fold = events.sparkSession, events, fold
+        self.state_schema, self.output_schema = state, output
+        self.delay, self.root = delay_seconds, scratch_path(self.spark, label)
+
+    def _table(self, kind: str, number: int, schema) -> DataFrame:
+        if number < 0:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}/trigger={number}")
+
+    def _write(self, rows: DataFrame, kind: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/{kind}/trigger={number}")
+
+    def _mark(self, number: int):
+        """Watermark after a trigger: one value."""
+        return self._table("mark", number, "mark timestamp").agg(F.max("mark")).first()[0]
+
+    def _trigger(self, batch: DataFrame, number: int) -> None:
+        # What this trigger reads must not change if the source is read twice.
+        self._write(batch, "arrived", number)
+        schema = batch.schema
+        arrived, before = self._table("arrived", number, schema), self._mark(number - 1)
+        late = F.col("ts") <= F.lit(before) if before is not None else F.lit(False)
+        reach = F.max("ts") - F.expr(f"INTERVAL {self.delay} SECOND")
+        mark = arrived.agg(F.greatest(reach, F.lit(before).cast("timestamp")).alias("mark"), F.lit(number).alias("number"))
+        self._write(mark, "mark", number)
+        mark = self._mark(number)
+        self._write(arrived.where(late), "rejects", number)
+        known = self._table("waiting", number - 1, schema).unionByName(arrived.where(~late))
+        ready = F.col("ts") <= F.lit(mark) if mark is not None else F.lit(False)
+        self._write(known.where(~ready), "waiting", number)
+        state, out = self.fold(self._table("state", number - 1, self.state_schema), known.where(ready), mark)
+        self._write(state, "state", number)
+        self._write(out, "output", number)
+
+    def run(self) -> "OrderedStream":
+        """Process everything that is available."""
+        query = (
+            self.events.writeStream.foreachBatch(self._trigger)
+            .option("checkpointLocation", f"{self.root}/progress").trigger(availableNow=True).start())
+        query.awaitTermination()
+        return self
+
+    def _all(self, kind: str, schema) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{kind}").drop("trigger")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
+    def result(self) -> tuple[DataFrame, DataFrame]:
+        """(state, all outputs) as if the stream ended here: what still waits is applied as well."""
+        marks = self._all("mark", "mark timestamp, number int")
+        last = marks.agg(F.max("number")).first()[0]
+        last = -1 if last is None else last
+        done = self._all("output", self.output_schema)
+        if last < 0:
+            return self.spark.createDataFrame([], self.state_schema), done
+        waiting = self._table("waiting", last, self.events.schema)
+        state, out = self.fold(self._table("state", last, self.state_schema), waiting, self._mark(last))
+        return state, done.unionByName(out)
+
+    def rejects(self) -> DataFrame:
+        """Events that came after their time had been applied."""
+        return self._all("rejects", self.events.schema)
+
+
+JOB_STATE = "job BIGINT, ts TIMESTAMP, code INT"
+JOB_OUTPUT = "job BIGINT, attempts INT, at TIMESTAMP"
+
+
+def _job_fold(lease_seconds: int | None, chunks: int | None) -> Fold:
+    base = L.LEASED_BASE
+    states = len(L.STATUSES) * base
+
+    def step(state, event):
+        return L.replay_step(state, event, base)
+
+    def fold(state: DataFrame, events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
+        stored = state.select("job", "ts", F.lit(STORED).alias("event_id"), F.concat(F.lit("was:"), F.col("code")).alias("event"))
+        known = stored.unionByName(events.select("job", "ts", "event_id", "event"))
+        since = known.groupBy("job").agg(F.max("ts").alias("ts"))
+        out = known.sparkSession.createDataFrame([], JOB_OUTPUT)
+        if lease_seconds is not None:
+            lease = F.expr(f"INTERVAL {lease_seconds} SECOND")
+            gaps = previous_value(known, ["job"], ORDER, "ts", "before", chunks)
+            expired = gaps.where(F.col("ts") - F.col("before") > lease).select(
+                "job", (F.col("before") + lease).alias("ts"), "event_id", F.lit("expire").alias("event"))
+            ended = since.where(F.col("ts") + lease <= F.lit(mark)).select(
+                "job", (F.col("ts") + lease).alias("ts"), F.lit(LAST).alias("event_id"), F.lit("expire").alias("event"))
+            known = known.unionByName(expired).unionByName(ended)
+            met = states_at(known, ["job"], ORDER, "event", states, step, "expire", chunks)
+            status, attempts = L.decode_state(F.col("state"), base)
+            out = met.where(status == "running").select("job", attempts, F.col("ts").alias("at"))
+        final = replay_states(known, ["job"], ORDER, "event", states, step, chunks)
+        return final.join(since, "job").select("job", "ts", F.col("state").cast("int").alias("code")), out
+
+    return fold
+
+
+def current(state: DataFrame) -> DataFrame:
+    """Status and attempts of every job."""
+    return state.select("job", *L.decode_state(F.col("code"), L.LEASED_BASE))
+
+
+def job_states(events: DataFrame, lease_seconds: int | None = None, delay_seconds: int = DELAY_SECONDS,
+               chunks: int | None = None) -> OrderedStream:
+    """Job states from (job, ts, event_id, event); output: leases that ran out.
+
+    A lease runs out between two events more than the lease apart, or once the
+    watermark is past it.
+    """
+    return OrderedStream(events, _job_fold(lease_seconds, chunks), JOB_STATE, JOB_OUTPUT, delay_seconds, "job-states")
 
-def run_to_table(stream: DataFrame, mode: str, label: str) -> DataFrame:
-    """Process everything available into a table of the shared folder and read it back.
 
-    Each trigger writes its own partition, so a repeated trigger replaces its
-    output instead of adding to it.
-    """
-    spark = stream.sparkSession
-    out = scratch_path(spark, label)
+def stage_changes(events: DataFrame, delay_seconds: int = DELAY_SECONDS, chunks: int | None = None) -> OrderedStream:
+    """Output: the events (job, ts, event_id, stage) that announce a new stage."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    def fold(state: DataFrame, events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
+        stored = state.withColumn("event_id", F.lit(STORED))
+        known = stored.unionByName(events.where(F.col("stage").isNotNull()).select("job", "ts", "stage", "event_id"))
+        seen = previous_value(known, ["job"], ORDER, "stage", "before", chunks)
+        changed = seen.where((F.col("event_id") != STORED) & ~F.col("stage").eqNullSafe(F.col("before")))
+        last = known.groupBy("job").agg(F.max_by(F.struct("ts", "stage"), F.struct(*ORDER)).alias("last"))
+        return last.select("job", "last.ts", "last.stage"), changed.select("job", "event_id", "stage", "ts")
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start())
-    query.awaitTermination()
-    return spark.read.option("basePath", out).parquet(out)
+    return OrderedStream(events, fold, "job BIGINT, ts TIMESTAMP, stage STRING",
+                         "job BIGINT, event_id BIGINT, stage STRING, ts TIMESTAMP", delay_seconds, "stages")
 
 
-def in_order(frames: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """The events one key received in this trigger, in event order."""
-    return pd.concat(list(frames), ignore_index=True).sort_values(by, kind="stable")
+def floored_counts(events: DataFrame, delay_seconds: int = DELAY_SECONDS, chunks: int | None = None) -> OrderedStream:
+    """State: floored counter and time of its last rise per job, from (job, ts, event_id, d)."""
 
+    def fold(state: DataFrame, events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
+        stored = state.select("job", F.col("last_cooked_at").alias("ts"), F.lit(STORED).alias("event_id"),
+                              F.col("cooked_count").cast("int").alias("d"))
+        known = stored.unionByName(events.select("job", "ts", "event_id", F.col("d").cast("int").alias("d")))
+        counted = floored_counter(known, ["job"], ORDER, "d", "ts", chunks)
+        last = counted.groupBy("job").agg(F.max_by(F.struct("cooked_count", "last_cooked_at"), F.struct(*ORDER)).alias("last"))
+        return last.select("job", "last.*"), events.sparkSession.createDataFrame([], "job BIGINT")
 
-def next_status(status: str, attempts: int, event: str) -> tuple[str, int]:
-    if event == "submit" and status not in ("pending", "running"):
-        return "pending", 0
-    if event == "claim" and status == "pending":
-        return "running", attempts + 1
-    if status == "running":
-        if event in ("succeed", "not_recipe", "fail_permanent"):
-            return {"succeed": "done", "fail_permanent": "failed"}.get(event, event), attempts
-        if event == "fail":
-            return ("failed" if attempts >= MAX_ATTEMPTS else "pending"), attempts
-    return status, attempts
+    return OrderedStream(events, fold, "job BIGINT, cooked_count BIGINT, last_cooked_at TIMESTAMP", "job BIGINT",
+                         delay_seconds, "counters")
 
 
-class JobProcessor(StatefulProcessor):
-    """Job state machine with an optional lease on running jobs.
+def enqueue(links: DataFrame, saved: DataFrame, jobs: DataFrame, key: str, saved_key: str, job_key: str,
+            label: str = "enqueue") -> DataFrame:
+    """Keys to enqueue, each once: not saved, no open job, and not enqueued by an earlier trigger.
 
-    A lease that ran out between two events is noticed when the second one is
-    applied; one that ran out at the end of the stream, by the timer.
+    A trigger compares with what the stream itself has written, so it makes no
+    difference when or how often a link comes.
     """
-
-    def __init__(self, lease_seconds: int | None = None):
-        self.lease = pd.Timedelta(seconds=lease_seconds) if lease_seconds else None
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", "status STRING, attempts INT, since TIMESTAMP")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        status, attempts, since = self.state.get() if self.state.exists() else ("none", 0, None)
-        since = pd.Timestamp(since) if since is not None else None
-        reclaimed = []
-        for e in in_order(rows, ["ts", "event_id"]).itertuples():
-            if self.lease is not None and status == "running" and e.ts - since > self.lease:
-                reclaimed.append((key[0], "reclaimed", "pending", attempts, since + self.lease))
-                status = "pending"
-            status, attempts = next_status(status, attempts, e.event)
-            since = e.ts
-        self.state.update((status, attempts, since.to_pydatetime()))
-        if self.lease is not None:
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            if status == "running":
-                self.handle.registerTimer(int((since + self.lease).timestamp() * 1000))
-        reclaimed.append((key[0], "state", status, attempts, since))
-        yield pd.DataFrame(reclaimed, columns=["job", "kind", "status", "attempts", "at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, attempts, since = self.state.get()
-        if status == "running":
-            at = pd.Timestamp(since) + self.lease
-            self.state.update(("pending", attempts, since))
-            yield pd.DataFrame([(key[0], "reclaimed", "pending", attempts, at)],
-                               columns=["job", "kind", "status", "attempts", "at"])
-
-    def close(self) -> None:
-        pass
-
-
-def job_states(events: DataFrame, lease_seconds: int | None = None) -> DataFrame:
-    """Stream of job states, and of leases that ran out, from (job, ts, event_id, event)."""
-    use_state_store(events.sparkSession)
-    return events.withWatermark("ts", WATERMARK).groupBy("job").transformWithStateInPandas(
-        JobProcessor(lease_seconds), JOB_OUTPUT, outputMode="Append", timeMode="EventTime")
-
-
-class StageProcessor(StatefulProcessor):
-    """Lets an event through only when it announces a new stage."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("stage", "stage STRING")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = in_order(rows, ["ts", "event_id"])
-        before = self.last.get()[0] if self.last.exists() else None
-        changed = events[events["stage"] != events["stage"].shift(fill_value=before or "")]
-        self.last.update((events["stage"].iloc[-1],))
-        yield changed[["job", "event_id", "stage", "ts"]]
-
-    def close(self) -> None:
-        pass
-
-
-def stage_changes(events: DataFrame) -> DataFrame:
-    use_state_store(events.sparkSession)
-    staged = events.where(F.col("stage").isNotNull())
-    return staged.groupBy("job").transformWithStateInPandas(
-        StageProcessor(), "job BIGINT, event_id BIGINT, stage STRING, ts TIMESTAMP",
-        outputMode="Append", timeMode="None")
-
-
-class CounterProcessor(StatefulProcessor):
-    """Floor-at-zero counter with the time of its last rise."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("counter", "count BIGINT, last_up TIMESTAMP")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        count, last_up = self.state.get() if self.state.exists() else (0, None)
-        events = in_order(rows, ["ts", "event_id"])
-        total = events["d"].cumsum()
-        # Closed form of "add, but never below zero", starting from the stored count.
-        floor = min(0, count + int(total.min()))
-        count = count + int(total.iloc[-1]) - floor
-        ups = events.loc[events["d"] > 0, "ts"]
-        last_up = ups.iloc[-1] if len(ups) else last_up
-        last_up = pd.Timestamp(last_up) if count > 0 else pd.NaT
-        self.state.update((count, None if last_up is pd.NaT else last_up.to_pydatetime()))
-        yield pd.DataFrame({"job": [key[0]], "cooked_count": [count], "last_cooked_at": [last_up],
-                            "at": [events["ts"].iloc[-1]]})
-
-    def close(self) -> None:
-        pass
-
-
-def floored_counts(events: DataFrame) -> DataFrame:
-    use_state_store(events.sparkSession)
-    return events.groupBy("job").transformWithStateInPandas(
-        CounterProcessor(),
-        "job BIGINT, cooked_count BIGINT, last_cooked_at TIMESTAMP, at TIMESTAMP",
-        outputMode="Update", timeMode="None")
-
-
-def new_keys(links: DataFrame, saved: DataFrame, key: str, saved_key: str) -> DataFrame:
-    """Idempotent enqueue: each new key once per watermark window, saved keys never."""
-    stored = saved.select(F.col(saved_key).alias(key)).where(F.col(key).isNotNull()).distinct()
-    fresh = links.where(F.col(key).isNotNull()).withWatermark("ts", WATERMARK)
-    return fresh.dropDuplicatesWithinWatermark([key]).join(stored, key, "left_anti")
+    spark = links.sparkSession
+    root = scratch_path(spark, label)
+    taken = saved.select(F.col(saved_key).alias(key)).unionByName(
+        jobs.where(F.col("status").isin("pending", "running")).select(F.col(job_key).alias(key)))
+    taken = taken.where(F.col(key).isNotNull()).distinct()
+    schema = f"`{key}` STRING"
+
+    def written() -> DataFrame:
+        try:
+            return spark.read.schema(f"{schema}, trigger INT").parquet(f"{root}/out")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], f"{schema}, trigger INT")
+
+    def trigger(batch: DataFrame, number: int) -> None:
+        before = written().where(F.col("trigger") < number).select(key)
+        fresh = batch.where(F.col(key).isNotNull()).select(key).distinct()
+        fresh.join(taken, key, "left_anti").join(before, key, "left_anti").write.mode("overwrite").parquet(
+            f"{root}/out/trigger={number}")
+
+    links.writeStream.foreachBatch(trigger).option("checkpointLocation", f"{root}/progress").trigger(
+        availableNow=True).start().awaitTermination()
+    return written().select(key)
