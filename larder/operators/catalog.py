@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import clean_line
 from larder.schemas import JOB_STATUSES
+from larder.operators.keyed import lookup
 
 # Sort orders are total: every one ends in the id.
 ORDERS = {
@@ -160,14 +161,14 @@ def jobs_with_recipes(jobs: DataFrame, recipes: DataFrame, links: DataFrame) ->
     """Jobs with the recipe they produced and that recipe's folders."""
     read = with_folder_ids(recipes, links).select(
         F.col("id").alias("recipe_id"), F.col("title").alias("recipe_title"), "folder_ids")
-    return jobs.join(read, "recipe_id", "left")
+    return lookup(jobs, read, ["recipe_id"])
 
 
 def job_read(jobs: DataFrame, recipes: DataFrame) -> DataFrame:
     """Single-job view: the recipe rides along only once the job is done."""
     read = recipes.select(F.col("id").alias("_rid"), F.col("title").alias("recipe_title"))
-    match = (F.col("recipe_id") == F.col("_rid")) & (F.col("status") == "done")
-    return jobs.join(read, match, "left").drop("_rid")
+    asked = jobs.withColumn("_rid", F.when(F.col("status") == "done", F.col("recipe_id")))
+    return lookup(asked, read, ["_rid"]).drop("_rid")
 
 
 def jobs_by_status(jobs: DataFrame, status: str | None) -> DataFrame:
@@ -198,13 +199,14 @@ def unknown_ids(requested: DataFrame, known: DataFrame, column: str) -> DataFram
 
 def keep_known(rows: DataFrame, ids: str, known: DataFrame, known_id: str = "id") -> DataFrame:
     """Drop ids from an array column when their folder no longer exists, order kept."""
-    exploded = rows.select("id", F.posexplode_outer(ids).alias("_pos", known_id + "_x"))
-    live = known.select(F.col(known_id).alias(known_id + "_x")).distinct()
-    kept = exploded.join(live, known_id + "_x", "left_semi").groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("_pos", known_id + "_x"))).alias("_kept"))
-    joined = rows.drop(ids).join(kept, "id", "left")
-    return joined.select(*[c for c in rows.columns if c != ids], F.coalesce(
-        F.col("_kept")[known_id + "_x"], F.array().cast("array<string>")).alias(ids))
+    rest = [c for c in rows.columns if c not in ("id", ids)]
+    exploded = rows.select("id", F.struct(F.lit(1), *rest).alias("_rest"), F.posexplode_outer(ids).alias("_pos", "_id"))
+    live = known.select(F.col(known_id).alias("_id"), F.lit(True).alias("_live")).distinct()
+    kept = F.when(F.col("_live"), F.struct("_pos", "_id"))
+    whole = lookup(exploded, live, ["_id"]).groupBy("id").agg(
+        F.any_value("_rest").alias("_rest"), F.array_sort(F.collect_list(kept)).alias("_kept"))
+    column = {"id": F.col("id"), ids: F.col("_kept")["_id"].alias(ids)}
+    return whole.select(*[column.get(c, F.col(f"_rest.{c}")) for c in rows.columns])
 
 
 def content_counts(recipes: DataFrame) -> DataFrame:

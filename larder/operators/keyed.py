@@ -46,6 +46,18 @@ def attach(
     return joined.unionByName(rows.where(keyless), allowMissingColumns=True)
 
 
+def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with a one-row-per-key table; rows without a key go round the join.
+
+    Otherwise all of them would meet in one task, as nulls hash alike.
+    """
+    keyless = F.lit(False)
+    for k in keys:
+        keyless = keyless | F.col(k).isNull()
+    joined = rows.where(~keyless).join(per_key, list(keys), "left")
+    return joined.unionByName(rows.where(keyless), allowMissingColumns=True)
+
+
 def pin(rows: DataFrame) -> DataFrame:
     """Rows whose expensive columns are computed once, whatever is filtered on later.
 

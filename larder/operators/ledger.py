@@ -161,6 +161,8 @@ def route_messages(messages: DataFrame, failed: DataFrame, allowed_chat: str) ->
 
     A reply to a known failed import wins over the links it may contain.
     """
+    from larder.operators.keyed import lookup
+
     known = failed.select(F.col("message_id").alias("reply_to_bot_msg"), F.lit(True).alias("_known"))
     text = F.coalesce(trim(F.col("text")), F.lit(""))
     head = F.lower(F.substring_index(F.regexp_extract(text, r"^/\S*", 0), "@", 1))
@@ -175,7 +177,7 @@ def route_messages(messages: DataFrame, failed: DataFrame, allowed_chat: str) ->
         .when(F.size(urls) > 0, "import")
         .when(F.col("reply_to_bot_msg").isNotNull(), "lost_context")
         .otherwise("nudge"))
-    joined = messages.join(known, "reply_to_bot_msg", "left")
+    joined = lookup(messages, known, ["reply_to_bot_msg"])
     return joined.select(
         *messages.columns, action.alias("action"),
         F.nullif(head, F.lit("")).alias("command"), F.get(urls, F.lit(0)).alias("first_url"))

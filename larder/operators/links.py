@@ -53,31 +53,33 @@ def link_to_winner(rows: DataFrame, key: str, row_id: str, *first: str) -> DataF
         "is_winner", F.col("winner_id") == F.col(row_id))
 
 
-def already_saved(links: DataFrame, saved: DataFrame, url: str, key: str, saved_url: str,
+def already_saved(links: DataFrame, saved: DataFrame, row_id: str, url: str, key: str, saved_url: str,
                   how: str = "left_semi") -> DataFrame:
-    """Links whose identity key or raw spelling is stored (``left_anti``: is not).
+    """Links whose identity key or raw spelling is stored (``left_anti``: is not), told apart by ``row_id``.
 
     Both spellings become rows of one column, so this is one equi join rather
     than a join on ``a OR b``, which Spark can only run as a nested loop.
     """
     stored = saved.select(F.col(saved_url).alias("_seen")).where(
         F.col("_seen").isNotNull()).distinct()
-    probes = links.select("*", F.explode(F.array_distinct(F.array(key, url))).alias("_seen"))
-    hits = probes.join(stored, "_seen", "left_semi").drop("_seen").dropDuplicates()
-    if how == "left_semi":
-        return hits
-    row = links.columns[0]
-    return links.join(hits.select(row).distinct(), row, "left_anti")
+    probes = links.select(row_id, F.explode(F.array_distinct(F.array(key, url))).alias("_seen"))
+    hits = probes.where(F.col("_seen").isNotNull()).join(stored, "_seen", "left_semi").select(row_id).distinct()
+    return links.join(hits, row_id, how)
 
 
-def save_if_absent(new: DataFrame, saved: DataFrame, key: str, row_id: str, saved_key: str,
+def save_if_absent(new: DataFrame, saved: DataFrame, key: str, url: str, row_id: str, saved_key: str,
                    saved_id: str, *first: str) -> DataFrame:
     """Each new row with the id it is stored under and whether it creates that id.
 
-    A stored row beats every new one; among new rows the earliest wins.
+    A stored row beats every new one, be it stored under the identity or under
+    the spelling in which one of the rows of that identity was submitted; among
+    new rows the earliest wins.
     """
-    stored = saved.where(F.col(saved_key).isNotNull()).groupBy(
-        F.col(saved_key).alias(key)).agg(F.min(saved_id).alias("_stored"))
+    known = saved.where(F.col(saved_key).isNotNull()).groupBy(
+        F.col(saved_key).alias("_seen")).agg(F.min(saved_id).alias("_id"))
+    spellings = new.where(F.col(key).isNotNull()).select(
+        key, F.explode(F.array_distinct(F.array(key, url))).alias("_seen")).distinct()
+    stored = spellings.join(known, "_seen").groupBy(key).agg(F.min("_id").alias("_stored"))
     winners = new.groupBy(key).agg(
         F.min_by(row_id, F.struct(*first, row_id)).alias("_winner"), F.count("*").alias("_n"))
     facts = winners.join(stored, key, "left")

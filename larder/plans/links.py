@@ -84,13 +84,15 @@ def _(src):
     return src("links_v").select("id", U.host_of(F.col("url")).alias("host"))
 
 
-@query("u6_resolved_shares", "WITH " + D.classified("@links_v", "url") + ", " +
-       D.classified("@redirects_v", "final_url", "t") + """,
-j AS (SELECT l.id, l.platform, l.post_id AS own, l.canonical_url AS own_url,
+RESOLVED = "WITH " + D.classified("@links_v", "url") + ", " + D.classified("@redirects_v", "final_url", "t") + """,
+j AS (SELECT l.id, l.url, l.submitted_at, l.platform, l.post_id AS own, l.canonical_url AS own_url,
   l.post_id IS NULL AND l.platform <> 'web' AS needs, coalesce(t.ok AND t.platform = l.platform AND t.post_id IS NOT NULL, false) AS found,
   t.post_id AS tid, t.canonical_url AS turl FROM c_cls l LEFT JOIN t_cls t ON t.url = l.canonical_url WHERE l.ok),
 f AS (SELECT *, CASE WHEN needs THEN CASE WHEN found THEN turl END ELSE own_url END AS final FROM j),
-""" + D.identity_key("f", "final", "identity_key", "k") + """
+""" + D.identity_key("f", "final", "identity_key", "k")
+
+
+@query("u6_resolved_shares", RESOLVED + """
 SELECT id, platform, CASE WHEN needs AND found THEN tid ELSE own END AS post_id, identity_key,
   needs AND NOT found AS unresolved FROM k_key""")
 def _(src):
@@ -114,7 +116,7 @@ SAVED = "saved AS (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NUL
   OR url IN (SELECT source_url FROM saved)""")
 def _(src):
     keyed = L.with_identity_key(src("links_v"))
-    return L.already_saved(keyed, src("recipes_v"), "url", "identity_key", "source_url").select(
+    return L.already_saved(keyed, src("recipes_v"), "id", "url", "identity_key", "source_url").select(
         "id", "identity_key")
 
 
@@ -124,17 +126,18 @@ def _(src):
 def _(src):
     keyed = L.with_identity_key(src("links_v"))
     return L.already_saved(
-        keyed, src("recipes_v"), "url", "identity_key", "source_url", "left_anti").select("id")
+        keyed, src("recipes_v"), "id", "url", "identity_key", "source_url", "left_anti").select("id")
 
 
-@query("m4_save_if_absent", KEYED_LINKS + """,
-s AS (SELECT source_url, min(id) AS stored FROM @recipes_v WHERE source_url IS NOT NULL GROUP BY source_url),
-w AS (SELECT u.id, u.identity_key, s.stored, CASE WHEN u.identity_key IS NULL THEN u.id ELSE
-  first_value(u.id) OVER (PARTITION BY u.identity_key ORDER BY u.submitted_at, u.id) END AS winner
-  FROM u_key u LEFT JOIN s ON s.source_url = u.identity_key)
-SELECT id, identity_key, coalesce(stored, winner) AS saved_as, stored IS NULL AND winner = id AS created FROM w""")
+@query("m4_save_if_absent", RESOLVED + """,
+sp AS (SELECT identity_key AS k, unnest([identity_key, url]) AS spelling FROM k_key WHERE identity_key IS NOT NULL),
+st AS (SELECT k, min(r.id) AS stored FROM sp JOIN @recipes_v r ON r.source_url = sp.spelling GROUP BY k),
+w AS (SELECT id, identity_key, CASE WHEN identity_key IS NULL THEN id ELSE
+  first_value(id) OVER (PARTITION BY identity_key ORDER BY submitted_at, id) END AS winner FROM k_key)
+SELECT id, identity_key, coalesce(stored, winner) AS saved_as, stored IS NULL AND winner = id AS created
+FROM w LEFT JOIN st ON st.k = w.identity_key""")
 def _(src):
-    keyed = L.with_identity_key(src("links_v"))
+    resolved = L.resolve_shares(src("links_v"), src("redirects_v"))
     return L.save_if_absent(
-        keyed, src("recipes_v"), "identity_key", "id", "source_url", "id", "submitted_at",
-    ).drop("url", "submitted_at")
+        resolved, src("recipes_v"), "identity_key", "url", "id", "source_url", "id", "submitted_at",
+    ).select("id", "identity_key", "saved_as", "created")
