@@ -86,12 +86,6 @@ def js_round(c: Column) -> Column:
     return F.floor(c + F.lit(0.5))
 
 
-def number_text(c: Column) -> Column:
-    """A DOUBLE as its shortest text: ``2`` rather than ``2.0``."""
-    whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e15))
-    return F.when(whole, F.floor(c).cast("string")).otherwise(c.cast("string"))
-
-
 def digest_name(content: Column, extension: str = "") -> Column:
     """Content address: first 20 hex digits of SHA-256, plus an extension."""
     return F.concat(F.substring(F.sha2(content, 256), 1, 20), F.lit(extension))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import NOT_WS, let, trim
+from larder.functions.text import NOT_WS, WS, let, trim
 
 # Hosts whose path alone identifies the content.
 PATH_IDENTIFIED = ("instagram.com", "tiktok.com", "facebook.com", "pinterest.com")
@@ -272,10 +272,27 @@ def extract_urls(text: Column) -> Column:
         F.filter(trimmed, lambda u: F.regexp_like(u, F.lit(r"(?i)^https?://"))))
 
 
-def first_url(text: Column) -> Column:
-    """First link of a pasted message (brackets end it), or NULL."""
-    found = F.regexp_extract(text, rf"""(?i)https?://(?:(?![<>"')]){NOT_WS})+""", 0)
-    return F.nullif(F.regexp_replace(found, r"[.,;)]+\z", ""), F.lit(""))
+def utf16_slice(text: Column, offset: Column, length: Column) -> Column:
+    """Part of a text by UTF-16 units, as chat services count; halves of a pair are dropped."""
+    digits = F.substring(F.hex(F.encode(text, "UTF-16BE")), 4 * offset + 1, 4 * length)
+    whole = F.regexp_replace(F.regexp_replace(digits, "^D[C-F]..", ""), "D[89AB]..$", "")
+    return F.decode(F.unhex(whole), "UTF-16BE")
+
+
+def message_urls(text: Column, entities: Column) -> Column:
+    """Links of a message, in order, without repeats.
+
+    ``entities`` (type, offset, length, url) are the spans the service marked: a
+    ``url`` is its visible text, a ``text_link`` brings an address of its own.
+    The text is only searched where they give none.
+    """
+    marked = F.filter(entities, lambda e: e["type"].isin("url", "text_link"))
+    raw = F.transform(marked, lambda e: F.when(e["type"] == "text_link", e["url"]).otherwise(
+        utf16_slice(text, e["offset"], e["length"])))
+    first = F.transform(raw, lambda u: F.regexp_replace(
+        F.regexp_extract(u, f"^{WS}*({NOT_WS}*)", 1), r"""[),.;:!?'"»”]+\z""", ""))
+    listed = F.array_distinct(F.filter(first, lambda u: F.regexp_like(u, F.lit(r"(?i)^https?://"))))
+    return F.when(F.size(listed) > 0, listed).otherwise(extract_urls(text))
 
 
 # IPv4 ranges that are not globally routable, as (first, prefix length).

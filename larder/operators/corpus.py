@@ -71,11 +71,18 @@ def distinct_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("lines", drop_repeats(lines))
 
 
-def route(rows: DataFrame, max_seconds: int = MAX_AUDIO_SECONDS) -> DataFrame:
+def route(rows: DataFrame, max_seconds: int = MAX_AUDIO_SECONDS, supplied: str | None = None) -> DataFrame:
     """Cheapest tier that can answer, with the trace of tiers tried.
 
     Only a duration known to be too long rules audio out; an unknown one does not.
+    Text that a person ``supplied`` ends the chain: it is structured as it is.
     """
+    if supplied:
+        given = non_blank(F.col(supplied))
+        pasted = rows.where(given.isNotNull()).withColumns({
+            "text": normalise_text(F.col(supplied)), "tier": F.lit("tier3"), "tiers": F.array(F.lit("tier1:supplied-text"))})
+        rest = route(rows.where(given.isNull()), max_seconds)
+        return rest.unionByName(scored(pasted), allowMissingColumns=True)
     judged = scored(rows)
     audio = (
         F.col("platform").isin(*VIDEO_PLATFORMS) & ~F.col("is_recipe")
@@ -89,11 +96,6 @@ def route(rows: DataFrame, max_seconds: int = MAX_AUDIO_SECONDS) -> DataFrame:
     return judged.withColumns({"tier": tier, "tiers": tiers})
 
 
-def split_by_tier(routed: DataFrame) -> dict[str, DataFrame]:
-    """One frame per tier, so tier-specific work runs only on its own rows."""
-    return {t: routed.where(F.col("tier") == t) for t in ("tier0", "tier2", "tier3")}
-
-
 def source_text(supplied: Column, stored: Column, fetched: Column) -> tuple[Column, Column]:
     """(text, label): pasted text beats stored text beats fetched text; blank counts as absent."""
     given = F.coalesce(non_blank(supplied), non_blank(stored))
@@ -126,6 +128,27 @@ def first_source(rows: DataFrame, routes: list[tuple[str, str, str | None, str |
         "reason": F.when(tier.isNull(), F.lit("no caption"))})
 
 
+def embed_then_metadata(rows: DataFrame) -> DataFrame:
+    """Photo-post chain: embed caption, else the description in the video metadata.
+
+    Columns e_text, e_author, e_thumbnail and m_description, m_author, m_thumbnail.
+    """
+    return first_source(rows, [
+        ("tier1:instagram-embed", "e_text", "e_author", "e_thumbnail"),
+        ("tier1:instagram-ytdlp", "m_description", "m_author", "m_thumbnail")])
+
+
+def oembed_then_metadata(rows: DataFrame) -> DataFrame:
+    """Short-video chain: oEmbed caption, else description or title in the video metadata.
+
+    Columns o_text, o_author, o_thumbnail and m_description, m_title, m_author, m_thumbnail.
+    """
+    spoken = rows.withColumn("_m_text", F.coalesce("m_description", "m_title"))
+    return first_source(spoken, [
+        ("tiktok-oembed", "o_text", "o_author", "o_thumbnail"),
+        ("tiktok-ytdlp", "_m_text", "m_author", "m_thumbnail")]).drop("_m_text")
+
+
 def caption_or_transcript(rows: DataFrame) -> DataFrame:
     """Video text: the description when it is a recipe, else with the transcript appended."""
     d = normalise_text(F.coalesce("description", F.lit("")))

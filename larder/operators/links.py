@@ -113,6 +113,13 @@ def resolve_shares(links: DataFrame, redirects: DataFrame, url: str = "url") ->
         (needs & ~found).alias("unresolved"))
 
 
+def links_in_messages(messages: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per link of a chat message, with its position; a caption counts where there is no text."""
+    body = F.coalesce("text", "caption")
+    return messages.withColumn("_body", body).select(
+        *keep, F.posexplode(U.message_urls(F.col("_body"), F.col("entities"))).alias("pos", "url"))
+
+
 def links_in_text(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per link found in free text, with its position."""
     return rows.select(*keep, F.posexplode(U.extract_urls(F.col(text))).alias("pos", "url"))

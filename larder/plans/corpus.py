@@ -175,17 +175,47 @@ def _(src):
     return src("jobs_v").select("id", text.alias("text"), label.alias("label"))
 
 
+def _metadata(src):
+    return R.scan_video_meta(src("vmeta_v")).select(
+        "id", F.col("description").alias("m_description"), F.col("title").alias("m_title"), F.col("author").alias("m_author"),
+        F.col("thumbnail_url").alias("m_thumbnail"))
+
+
+@query("x7_embed_chain", f"""WITH {META}, e AS (SELECT id, CASE WHEN id % 5 <> 0 THEN 'Dish ' || c || ' by @friend & co' || chr(10) || '1 cup rice' END AS caption,
+  CASE WHEN id % 5 <> 0 THEN 'cook' || c END AS author FROM (SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR) AS c FROM orders) o)
+SELECT e.id, CASE WHEN caption IS NOT NULL THEN 'tier1:instagram-embed' WHEN description IS NOT NULL THEN 'tier1:instagram-ytdlp' END AS tier,
+  coalesce(caption, description) AS text, CASE WHEN caption IS NOT NULL THEN e.author WHEN description IS NOT NULL THEN coalesce(m.author, e.author) END AS source_author,
+  CASE WHEN caption IS NULL AND description IS NULL THEN 'no caption' END AS reason FROM e JOIN m ON m.id = e.id""")
+def _(src):
+    e = R.scan_embeds(src("embed_v")).select("id", F.col("caption").alias("e_text"), F.col("author").alias("e_author"),
+                                              F.col("thumbnail_url").alias("e_thumbnail"))
+    return C.embed_then_metadata(e.join(_metadata(src), "id")).select("id", "tier", "text", "source_author", "reason")
+
+
+@query("x2_supplied_text", f"""WITH {SCORED('@gathered_v', 'id')},
+p AS (SELECT *, CASE id % 4 WHEN 0 THEN 'pasted words ' || CAST(id AS VARCHAR) END AS pasted FROM s)
+SELECT id, CASE WHEN pasted IS NOT NULL THEN 'tier3' WHEN has_json_ld THEN 'tier0' WHEN platform IN ('instagram', 'tiktok', 'youtube') AND raw < 4.0::DOUBLE
+  AND coalesce(duration_seconds, 0) <= 300 THEN 'tier2' ELSE 'tier3' END AS tier,
+  CASE WHEN pasted IS NOT NULL THEN 'tier1:supplied-text' ELSE CASE WHEN has_json_ld THEN 'tier0:json-ld' WHEN platform = 'web' THEN 'tier1:web-text' ELSE 'tier1:' || platform END
+  || CASE WHEN NOT has_json_ld AND platform IN ('instagram', 'tiktok', 'youtube') AND raw < 4.0::DOUBLE AND coalesce(duration_seconds, 0) <= 300 THEN '|tier2:audio' ELSE '' END END AS tiers,
+  pasted FROM p""")
+def _(src):
+    k = F.col("id") % 4
+    rows = src("gathered_v").withColumn("supplied", F.when(
+        k == 0, F.concat(F.lit(" pasted  words "), F.col("id").cast("string"), F.lit("\n"))).when(k == 1, F.lit("  ")))
+    routed = C.route(rows, supplied="supplied")
+    return routed.select("id", "tier", F.array_join("tiers", "|").alias("tiers"), F.when(k == 0, F.col("text")).alias("pasted"))
+
+
 @query("x7_first_source", f"""WITH {META}, {OEMBED}
 SELECT o.id, CASE WHEN o.caption IS NOT NULL THEN 'tiktok-oembed' WHEN coalesce(m.description, m.title) IS NOT NULL THEN 'tiktok-ytdlp' END AS tier,
   coalesce(o.caption, m.description, m.title) AS text, CASE WHEN o.caption IS NOT NULL THEN o.author ELSE
   CASE WHEN coalesce(m.description, m.title) IS NOT NULL THEN coalesce(m.author, o.author) END END AS source_author,
   CASE WHEN o.caption IS NULL AND coalesce(m.description, m.title) IS NULL THEN 'no caption' END AS reason FROM o JOIN m ON m.id = o.id""")
 def _(src):
-    o = R.scan_oembed(src("oembed_v")).select("id", F.col("caption").alias("o_text"), F.col("author").alias("o_author"))
-    m = R.scan_video_meta(src("vmeta_v")).select(
-        "id", F.coalesce("description", "title").alias("m_text"), F.col("author").alias("m_author"))
-    picked = C.first_source(o.join(m, "id", "inner"), [
-        ("tiktok-oembed", "o_text", "o_author", None), ("tiktok-ytdlp", "m_text", "m_author", None)])
+    o = R.scan_oembed(src("oembed_v")).select("id", F.col("caption").alias("o_text"), F.col("author").alias("o_author"),
+                                               F.col("thumbnail_url").alias("o_thumbnail"))
+    picked = C.oembed_then_metadata(o.join(_metadata(src), "id"))
     return picked.select("id", "tier", "text", "source_author", "reason")
 
 

@@ -61,6 +61,30 @@ def _(src):
     return L.links_in_text(src("messages_v"), "text", ["update_id"])
 
 
+@query("u3_message_entities", """SELECT event_id AS update_id, CAST(0 AS INTEGER) AS pos, CASE event_id % 5
+  WHEN 0 THEN 'https://a.example.com/r' || user_id WHEN 1 THEN 'https://hidden.example.com/' || user_id WHEN 2 THEN 'https://cap.example.com/' || user_id
+  ELSE 'https://plain.example.com/' || user_id END AS url FROM events WHERE event_id % 5 <> 4
+UNION ALL SELECT event_id, 1, 'https://b.example.com' FROM events WHERE event_id % 5 = 1""")
+def _(src):
+    """An emoji before a marked link, a hidden link beside a marked one, a caption, useless marks, no link."""
+    k, u = F.col("event_id") % 5, F.col("user_id").cast("string")
+    mark = lambda kind, at, n, url=F.lit(None): F.struct(
+        F.lit(kind).alias("type"), F.lit(at).alias("offset"), (n if not isinstance(n, int) else F.lit(n)).cast("int").alias("length"),
+        url.cast("string").alias("url"))
+    first = F.concat(F.lit("https://a.example.com/r"), u)
+    rows = src("events").select(
+        F.col("event_id").alias("update_id"),
+        F.when(k == 0, F.concat(F.lit("🍰🍰 "), first, F.lit("x).")))
+        .when(k == 1, F.lit("here and https://b.example.com, https://unmarked.example.com"))
+        .when(k == 3, F.concat(F.lit("see (https://plain.example.com/"), u, F.lit(").")))
+        .when(k == 4, F.lit("nothing")).alias("text"),
+        F.when(k == 2, F.concat(F.lit("dish https://cap.example.com/"), u)).alias("caption"),
+        F.when(k == 0, F.array(mark("url", 5, F.length(first))))
+        .when(k == 1, F.array(mark("text_link", 0, 4, F.concat(F.lit("https://hidden.example.com/"), u)), mark("url", 9, 22), mark("bold", 0, 4)))
+        .when(k == 3, F.array(mark("url", 0, 3))).alias("entities"))
+    return L.links_in_messages(rows, ["update_id"])
+
+
 @query("u4_unique_pages", KEYED_PAGES + """
  SELECT page_id, url, identity_key FROM u_key QUALIFY identity_key IS NULL
   OR row_number() OVER (PARTITION BY identity_key ORDER BY page_id) = 1""")

@@ -15,11 +15,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def read_stored_recipes(spark: SparkSession, path: str) -> DataFrame:
-    """Stored recipe rows with their nested columns decoded."""
-    return decode_nested(spark.read.schema(schemas.RECIPE_STORED).parquet(path))
-
-
 def json_or(text: Column, schema: str, fallback: Column) -> Column:
     """Parsed JSON text; empty, malformed or JSON ``null`` text gives the fallback."""
     return F.coalesce(F.from_json(text, schema), fallback)
