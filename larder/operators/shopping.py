@@ -15,13 +15,14 @@ from larder.operators.ordered import CHUNK, Chunked, previous_value
 _PARTS = sorted({round(n / d, 9): n / d for d in (8, 6, 10) for n in range(d)}.values())
 
 
-def ingredient_rows(recipes: DataFrame, keep: Sequence[str], factor: float = 1) -> DataFrame:
+def ingredient_rows(recipes: DataFrame, keep: Sequence[str | Column], factor: float = 1) -> DataFrame:
     """One row per scaled ingredient with its position, rendered line and merge key."""
     scaled = Q.scale_ingredients(F.col("ingredients"), factor)
     exploded = recipes.select(*keep, F.posexplode(scaled).alias("pos", "_i"))
+    kept = [c for c in exploded.columns if c not in ("pos", "_i")]
     return exploded.select(
-        *keep, "pos", Q.ingredient_line(F.col("_i")).alias("text"),
-        Q.merge_key(F.col("_i.item")).alias("key")).where(F.col("text") != "")
+        *kept, "pos", Q.ingredient_line(F.col("_i")).alias("text"),
+        F.coalesce(Q.merge_key(F.col("_i.item")), F.lit("")).alias("key")).where(F.col("text") != "")
 
 
 def consolidate(
@@ -131,6 +132,35 @@ def match_open_lines(
     return wanted.join(oldest, [owner, key], "inner").select(owner, key, "_line.*")
 
 
+def add_recipes(
+    requests: DataFrame, lines: DataFrame, request: str, owner: str, order: Sequence[str],
+    line_id: str = "id", chunks: int | None = None,
+) -> DataFrame:
+    """What adding each recipe to its owner's list changes: (request, action, line_id, pos, text).
+
+    ``requests`` are the scaled ingredients (request, owner, pos, text, key) as
+    ``ingredient_rows`` gives them, ``lines`` the lists as they are. The oldest
+    open line that names an ingredient owns it, else the ingredient's first
+    mention; checked lines are left alone. What measures alike is added up: an
+    open line gets an ``update`` with its new text, everything else a ``create``.
+    Requests see the lists as they were, not each other. If two ingredients
+    change one line, the one that comes later in the recipe stands.
+    """
+    matches = match_open_lines(lines, requests, owner, order, line_id)
+    wanted = requests.where("key <> ''").groupBy(request, owner, "key").agg(F.max("pos").alias("_last"))
+    owned = wanted.join(matches, [owner, "key"]).select(
+        request, "key", "line_id", "_last", F.lit(0).alias("_kind"), F.lit(-1).alias("pos"), F.col("line_text").alias("text"))
+    both = owned.select(request, "key", "_kind", "pos", "text").unionByName(
+        requests.select(request, "key", F.lit(1).alias("_kind"), "pos", "text"))
+    merged = consolidate(both, request, ["_kind", "pos"], chunks=chunks)
+    changed = merged.where("_kind = 0 and merged > 0").join(owned.select(request, "key", "line_id", "_last"), [request, "key"])
+    updates = changed.groupBy(request, "line_id").agg(F.max_by("text", F.struct("_last", "key")).alias("text")).select(
+        request, F.lit("update").alias("action"), "line_id", F.lit(None).cast("int").alias("pos"), "text")
+    none = F.lit(None).cast(updates.schema["line_id"].dataType)
+    return updates.unionByName(merged.where("_kind = 1").select(
+        request, F.lit("create").alias("action"), none.alias("line_id"), F.col("pos").cast("int").alias("pos"), "text"))
+
+
 def source_labels(
     items: DataFrame, owner: str, order: Sequence[str], title: str = "recipe_title",
     chunks: int | None = None,

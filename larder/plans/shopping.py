@@ -129,6 +129,61 @@ def _(src):
         F.count("*").alias("added"), F.sum("merged").alias("merged"))
 
 
+def _scaled(name, factor):
+    """SQL: rendered, scaled ingredients with their owner, as CTE ``name``."""
+    qty = D.parse_qty("g.quantity")
+    # A recipe as it is keeps the spelling of its quantities.
+    spelled = "g.quantity" if factor == 1 else f"CASE WHEN {qty} IS NULL THEN g.quantity ELSE {D.format_qty(qty + f' * {factor}')} END"
+    return f"""{name}_q AS (SELECT i.id, pos, {{'quantity': {spelled},
+  'unit': g.unit, 'item': g.item, 'note': g.note}} AS g, o.o_custkey AS owner, r.favorite AS checked, r.created_at
+  FROM i JOIN @recipes_v r ON r.id = i.id JOIN orders o ON o.o_orderkey = i.id),
+{name} AS (SELECT id, pos, owner, checked, created_at, {LINE} AS text, {D.merge_key('g.item')} AS key FROM {name}_q WHERE {LINE} <> '')"""
+
+
+ADDED = f"""{ING_ROWS}, {_scaled('li', 1)}, {_scaled('ad', 1.5)},
+op AS (SELECT *, id * 1000 + pos AS line_id, {D.merge_key('text')} AS norm FROM li WHERE NOT checked),
+own AS (SELECT a.id, a.owner, a.key, max(a.pos) AS last FROM ad a WHERE a.key <> '' GROUP BY ALL),
+mt AS (SELECT k.owner, k.key, op.line_id, op.text FROM (SELECT DISTINCT owner, key FROM own) k JOIN op ON op.owner = k.owner
+  AND (op.norm = k.key OR ends_with(op.norm, ' ' || k.key))
+  QUALIFY row_number() OVER (PARTITION BY k.owner, k.key ORDER BY op.created_at, op.id, op.pos) = 1),
+sq AS (SELECT own.id, own.key, 0 AS kind, -1 AS pos, mt.text, mt.line_id, own.last FROM own JOIN mt ON mt.owner = own.owner AND mt.key = own.key
+  UNION ALL SELECT id, key, 1, pos, text, NULL, NULL FROM ad),
+qs AS (SELECT *, {D.lead('text')} AS qty, {D.rest('text')} AS rest FROM sq),
+ns AS (SELECT *, row_number() OVER w AS rn, first_value(qty) OVER w AS fq, first_value(rest) OVER w AS fr
+  FROM qs WINDOW w AS (PARTITION BY id, key ORDER BY kind, pos)),
+ms AS (SELECT *, CASE WHEN key = '' THEN 'own' WHEN rn = 1 THEN 'head' WHEN qty IS NOT NULL AND fq IS NOT NULL AND lower(rest) = lower(fr) THEN 'merge' ELSE 'own' END AS role FROM ns),
+gs AS (SELECT id, key, list(qty ORDER BY rn) FILTER (WHERE role = 'merge') AS adds, any_value(fq) AS fq, any_value(fr) AS fr FROM ms WHERE role <> 'own' GROUP BY id, key),
+vs AS (SELECT *, coalesce(len(adds), 0) AS merged, list_reduce(list_concat([fq], adds), lambda a, b: {D.snap('a + b')}) AS total FROM gs),
+hs AS (SELECT ms.*, vs.merged, CASE WHEN merged = 0 THEN text ELSE trim({D.format_qty('total')} || ' ' || vs.fr) END AS now FROM ms JOIN vs ON vs.id = ms.id AND vs.key = ms.key WHERE role = 'head'),
+rs AS (SELECT id AS request, 'update' AS action, line_id, CAST(NULL AS INTEGER) AS pos, now AS text FROM hs WHERE kind = 0 AND merged > 0
+    QUALIFY row_number() OVER (PARTITION BY id, line_id ORDER BY last DESC, key DESC) = 1
+  UNION ALL SELECT id, 'create', NULL, CAST(pos AS INTEGER), now FROM hs WHERE kind = 1
+  UNION ALL SELECT id, 'create', NULL, CAST(pos AS INTEGER), text FROM ms WHERE role = 'own')"""
+
+
+def _added(src):
+    from larder.sources.tables import decode_nested
+
+    owners = src("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))
+    recipes = decode_nested(src("recipes_v")).join(owners, "id")
+    listed = S.ingredient_rows(recipes, ["id", "owner", F.col("favorite").alias("checked"), "created_at"])
+    listed = listed.withColumnRenamed("id", "recipe_id").withColumn("id", F.col("recipe_id") * 1000 + F.col("pos"))
+    wanted = S.ingredient_rows(recipes, [F.col("id").alias("request"), "owner"], 1.5)
+    return S.add_recipes(wanted, listed, "request", "owner", ["created_at", "recipe_id", "pos"])
+
+
+@query("a5_add_recipe", f"WITH {ADDED} SELECT * FROM rs")
+def _(src):
+    return _added(src)
+
+
+@query("a5_added_counts", f"""WITH {ADDED} SELECT request, count(*) FILTER (WHERE action = 'create') AS added,
+  count(*) FILTER (WHERE action = 'update') AS updated FROM rs GROUP BY request""")
+def _(src):
+    return _added(src).groupBy("request").agg(
+        F.count_if(F.col("action") == "create").alias("added"), F.count_if(F.col("action") == "update").alias("updated"))
+
+
 @query("j10_open_line_owners", f"""
 WITH g AS (SELECT *, {D.merge_key('text')} AS norm FROM @grocery_v WHERE NOT checked),
 k AS (SELECT DISTINCT list_owner, {D.merge_key('item')} AS key FROM @lines_v)
