@@ -184,15 +184,19 @@ def route_messages(messages: DataFrame, failed: DataFrame, allowed_chat: str) ->
 
 
 def enqueue(submitted: DataFrame, saved: DataFrame, jobs: DataFrame, key: str, saved_key: str,
-            job_key: str, row_id: str, *first: str) -> DataFrame:
+            job_key: str, url: str, row_id: str, *first: str) -> DataFrame:
     """Outcome of every submission: already saved, attached to an open job, or created.
 
-    Among submissions of one key only the earliest creates; later ones attach.
+    Saved is what is stored under the key or under the spelling in which one of
+    its submissions came. Among submissions of one key only the earliest
+    creates; later ones attach.
     """
     from larder.operators.keyed import attach
 
-    stored = saved.where(F.col(saved_key).isNotNull()).select(
-        F.col(saved_key).alias(key), F.lit(True).alias("_saved")).distinct()
+    spellings = submitted.where(F.col(key).isNotNull()).select(
+        key, F.explode(F.array_distinct(F.array(key, url))).alias("_seen")).distinct()
+    stored = spellings.join(saved.select(F.col(saved_key).alias("_seen")), "_seen", "left_semi").select(
+        key, F.lit(True).alias("_saved")).distinct()
     opened = jobs.where(F.col("status").isin("pending", "running")).groupBy(
         F.col(job_key).alias(key)).agg(F.max_by("id", F.struct("created_at", "id")).alias("_open"))
     facts = submitted.groupBy(key).agg(

@@ -88,7 +88,9 @@ def consolidate(
         def exit_of(part: Column) -> Column:
             at = F.array_position(
                 F.transform(parts, lambda p: F.round(p, 6)), F.round(part, 6)).cast("int")
-            return F.get(table, at - 1)
+            # A fraction outside the list would lose the quantity without a trace.
+            return F.when(at == 0, F.raise_error(F.lit("a quantity has a fraction that cannot be spelled")).cast("double")).otherwise(
+                F.get(table, at - 1))
 
         return F.floor(value + F.lit(1e-7)) + let(
             F.greatest(F.lit(0.0), value - F.floor(value + F.lit(1e-7))), exit_of)
@@ -117,14 +119,16 @@ def match_open_lines(
     """Oldest open line per ingredient key: equal to the key or ending in ``' ' + key``.
 
     A suffix test would be a nested loop. Every word suffix of a line becomes a
-    row instead, reduced to the oldest line per suffix before an equi join.
+    row instead, reduced to the oldest line per suffix before an equi join. Only
+    suffixes of as many words as the longest key are made.
     """
+    longest = keys.agg(F.max(F.size(F.split(key, " ")))).first()[0] or 1
     words = F.split(Q.merge_key(F.col(text)), " ")
     opened = lines.where(~F.col("checked")).select(
         owner, F.struct(*order).alias("_at"), F.col(line_id).alias("line_id"),
         F.col(text).alias("line_text"), words.alias("_w"))
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size("_w")),
+        F.sequence(F.greatest(F.lit(1), F.size("_w") - F.lit(longest - 1)), F.size("_w")),
         lambda i: F.array_join(F.slice(F.col("_w"), i, F.size("_w")), " "))
     oldest = opened.withColumn(key, F.explode(suffixes)).where(F.col(key) != "").groupBy(
         owner, key).agg(F.min_by(F.struct("line_id", "line_text"), "_at").alias("_line"))

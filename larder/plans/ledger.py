@@ -46,15 +46,17 @@ def _(src):
 
 
 @query("l1_enqueue", f"WITH {Q.identity_key('@links_v', 'url', 'identity_key')}" + """,
-o AS (SELECT DISTINCT regexp_replace(replace(url, 'www.', ''), '/$', '') AS k FROM @jobs_v WHERE status IN ('pending', 'running'))
-SELECT id, CASE WHEN identity_key IS NULL THEN 'rejected' WHEN identity_key IN (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NULL) THEN 'saved'
+o AS (SELECT DISTINCT regexp_replace(replace(url, 'www.', ''), '/$', '') AS k FROM @jobs_v WHERE status IN ('pending', 'running')),
+st AS (SELECT identity_key FROM u_key WHERE identity_key IN (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NULL)
+  OR url IN (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NULL))
+SELECT id, CASE WHEN identity_key IS NULL THEN 'rejected' WHEN identity_key IN (SELECT identity_key FROM st WHERE identity_key IS NOT NULL) THEN 'saved'
   WHEN identity_key IN (SELECT k FROM o) THEN 'attached'
   WHEN row_number() OVER (PARTITION BY identity_key ORDER BY submitted_at, id) = 1 THEN 'created' ELSE 'attached' END AS outcome FROM u_key""")
 def _(src):
     keyed = K.with_identity_key(src("links_v"))
     jobs = K.with_identity_key(src("jobs_v"), "url", "job_key")
     return L.enqueue(keyed, src("recipes_v"), jobs, "identity_key", "source_url", "job_key",
-                     "id", "submitted_at").select("id", "outcome")
+                     "url", "id", "submitted_at").select("id", "outcome")
 
 
 def job_events(src):
