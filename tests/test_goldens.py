@@ -164,6 +164,9 @@ def test_text_lists(apply):
 def test_hash_and_initials(apply):
     assert apply(D.fnv1a, ["abc", ""]) == [440920331, 2166136261]
     assert apply(D.monogram_initials, ["Crispy Shrimp Tacos", "Ragù", "", "15-minute Ramen"]) == ["CS", "RA", "?", "1M"]
+    assert apply(D.monogram_initials, ["Kőleves pörkölt", "Re\u0301gi Étel", "phở bò", "日本"]) == ["KP", "RE", "PB", "?"]
+    # By UTF-16 units: an emoji counts as two.
+    assert apply(D.fnv1a, ["🍰", ""]) == [2167330257, 2166136261]
 
 
 def test_parse_limit():
@@ -211,3 +214,47 @@ def test_instructions(spark, value, steps):
 def test_legacy_instruction_collapse(spark):
     df = spark.createDataFrame([("\"1. Boil water\\n2. Serve\"",)], "j string").select(F.parse_json("j").alias("node"))
     assert X.instruction_steps(df, "node", legacy_collapse=True).first()["steps"] == ["Boil water 2. Serve"]
+
+
+def test_score_counts_all_white_space_alike(apply):
+    plain = "2 cups flour, 1 1/2 tsp salt, 3 cloves garlic and 4 slices of bread. Mix, bake and serve."
+    thin = plain.replace("2 cups", "2\u2009cups").replace("1 1/2 tsp", "1\u20091/2\u2009tsp").replace("3 cloves", "3\u3000cloves")
+    from larder.functions import scoring
+
+    scores = apply(scoring.raw_score, [plain, thin])
+    assert scores[0] == scores[1] > 3
+
+
+def test_published_tables_are_read_at_one_version(spark, tmp_path):
+    from larder.sources import sinks
+
+    root, one = str(tmp_path / "root"), spark.range(1)
+    sinks.publish_tables({"a": one, "b": one}, root)
+    sinks.publish_tables({"a": spark.range(2), "b": spark.range(3)}, root)
+    now = sinks.read_published(spark, root, "a", "b")
+    assert (now["a"].count(), now["b"].count()) == (2, 3)
+    sinks.publish_tables({"a": spark.range(4)}, root)
+    with pytest.raises(KeyError):
+        sinks.read_published(spark, root, "a", "b")
+    assert set(sinks.read_published(spark, root)) == {"a"}
+
+
+def test_equal_submissions_are_told_apart_by_their_id(spark):
+    from larder.operators import links as K
+
+    rows = spark.createDataFrame([("k", "u", 1), ("k", "u", 2), (None, "raw", 3), (None, None, 4)], "key string, url string, id int")
+    saved = spark.createDataFrame([("k",), ("raw",)], "source string")
+    for how, want in (("left_semi", [1, 2, 3]), ("left_anti", [4])):
+        got = K.already_saved(rows, saved, "id", "url", "key", "source", how)
+        assert sorted(r["id"] for r in got.collect()) == want
+
+
+def test_places_over_all_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from larder.operators.ordered import numbered
+
+    rows = spark.range(5000).select(F.xxhash64("id").alias("h"), "id").repartition(7)
+    got = numbered(rows, [F.asc("h"), F.asc("id")], "place").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 5001))
+    assert [r["h"] for r in got] == sorted(r["h"] for r in got)
