@@ -45,13 +45,13 @@ def test_previous_value(events, chunks):
 
 @pytest.mark.parametrize("chunks", [1, 9, 40])
 def test_replay(events, chunks):
-    from larder.streaming.jobs import next_status
+    from test_streams import step
 
     rows, df = events
     got = {r["k"]: (r["status"], r["attempts"]) for r in ledger.replay(df, "k", ["n"], chunks=chunks).collect()}
     state = {}
     for k, _, _, event, _ in rows:
-        state[k] = next_status(*state.get(k, ("none", 0)), event)
+        state[k] = step(*state.get(k, ("none", 0)), event)
     assert got == state
 
 
