@@ -3,7 +3,8 @@
 Every line hash gets a HyperLogLog sketch of the sites it stands on; sketches
 merge on the input tasks and after the shuffle. Far from the threshold the
 estimate decides; lines within the error of a sketch get their sites counted
-exactly. Only the places of removed lines go back to the documents.
+exactly. Either the hashes of removed lines or, if they are too many, the places
+of these lines go back to the documents.
 
 * A line is what stands between line feeds, without white space at its ends;
   blank lines are never removed. Null texts count as empty.
@@ -14,10 +15,12 @@ exactly. Only the places of removed lines go back to the documents.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from larder.llm.common import SPACE, columns, fresh, whole
+from larder.llm.common import SPACE, columns, fresh, utf8, whole
 from larder.operators.keyed import attach
 from larder.session import materialise
 
@@ -26,6 +29,9 @@ MIN_SITES = 5
 # Registers of a sketch (power of two), and three standard errors of its estimate.
 REGISTERS = 10
 BAND = 3 * 1.04 / 2 ** (REGISTERS / 2)
+# Hashes of boilerplate that are sent to the tasks: 8 MB, about 60 MB as a set.
+MOST_SENT = 1_000_000
+_STRIP = b" \t\n\x0b\x0c\r"
 
 
 def trimmed(line: Column) -> Column:
@@ -59,10 +65,46 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, registers: int = R
 
 
 def without_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES,
-                         registers: int = REGISTERS, band: float = BAND) -> DataFrame:
-    """``docs`` without cross-site boilerplate, with columns n_lines and n_removed added."""
+                         registers: int = REGISTERS, band: float = BAND, most_sent: int = MOST_SENT) -> DataFrame:
+    """``docs`` without cross-site boilerplate, with columns n_lines and n_removed added.
+
+    Up to ``most_sent`` hashes of boilerplate, which is counted first, are sent
+    to the tasks, and texts stay where they are. More of them are joined to the
+    lines, and documents then meet the places of their removed lines by a shuffle.
+    """
     found = lines(docs, site)
     shared = boilerplate(found, min_sites, registers, band)
+    if shared.count() <= most_sent:
+        return _sent(docs, frozenset(shared.select("hash").toArrow()["hash"].to_pylist()))
+    return _joined(docs, found, shared)
+
+
+def _sent(docs: DataFrame, hashes: frozenset[int]) -> DataFrame:
+    def clean(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts:
+            every = text.as_py().split(b"\n")
+            bare = [line.strip(_STRIP) for line in every]
+            kept = [line for line, b in zip(every, bare) if not b or line_hash(b) not in hashes]
+            out.append({"text": b"\n".join(kept).decode() if len(kept) < len(every) else None,
+                        "n_lines": len(every), "n_removed": len(every) - len(kept)})
+        return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int64()), ("n_removed", pa.int64())]))
+
+    made, n_lines, n_removed = fresh(docs, "made", "n_lines", "n_removed")
+    cleaned = docs.withColumn(made, F.arrow_udf(clean, "text string, n_lines long, n_removed long")(utf8()))
+    out = cleaned.withColumns({
+        "text": F.coalesce(F.col(made)["text"], F.col("text")),
+        n_lines: F.col(made)["n_lines"], n_removed: F.col(made)["n_removed"]})
+    return out.select(*columns(docs), n_lines, n_removed)
+
+
+def line_hash(line: bytes) -> int:
+    """What ``xxhash64`` gives a string."""
+    value = xxh64_intdigest(line, 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def _joined(docs: DataFrame, found: DataFrame, shared: DataFrame) -> DataFrame:
     marked = shared.withColumn("hit", F.lit(True))
     row, gone, n_lines, n_removed, all_lines = fresh(docs, "row", "gone", "n_lines", "n_removed", "all_lines")
     hits = attach(found.select("row", "nth", "hash"), marked, ["hash"], "n_lines", spread=["row", "nth"]).where("hit")

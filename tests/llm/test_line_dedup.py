@@ -32,11 +32,12 @@ def corpus():
     return rows
 
 
+@pytest.mark.parametrize("most_sent", [0, line_dedup.MOST_SENT])
 @pytest.mark.parametrize("min_sites,band", [(5, line_dedup.BAND), (3, 0.5), (5, 10.0), (1, line_dedup.BAND)])
-def test_matches_brute_force(spark, tmp_path, min_sites, band):
+def test_matches_brute_force(spark, tmp_path, min_sites, band, most_sent):
     rows = corpus()
     df = stored(docs(spark, [t for t, _ in rows], clash=True, source=lambda i: rows[i][1]), tmp_path)
-    out = line_dedup.without_spread_lines(df, min_sites=min_sites, band=band)
+    out = line_dedup.without_spread_lines(df, min_sites=min_sites, band=band, most_sent=most_sent)
     assert out.columns == [*df.columns, "n_lines", "n_removed"]
     got = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect())
     assert got == [(i, *b) for i, b in enumerate(brute(rows, min_sites))]
