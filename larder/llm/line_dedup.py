@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larder.llm.common import SPACE, columns, fresh, utf8, whole
+from larder.llm.common import columns, fresh, utf8, whole
 from larder.operators.keyed import attach
 from larder.session import materialise
 
@@ -35,7 +35,7 @@ _STRIP = b" \t\n\x0b\x0c\r"
 
 
 def trimmed(line: Column) -> Column:
-    return F.regexp_replace(line, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(line, F.lit(_STRIP.decode()))
 
 
 def lines(docs: DataFrame, site: str) -> DataFrame:
