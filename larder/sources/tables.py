@@ -11,8 +11,14 @@ from larder.functions.text import non_blank, normalise_text
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder, file or folder of part files."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    """One Parquet table of a data folder, file or folder of part files.
+
+    Read as it lies, unless the session asks to deal rows out first
+    (``larder.read.partitions``): a file of one row group is one task.
+    """
+    rows = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    dealt = spark.conf.get("larder.read.partitions", None)
+    return rows.repartition(int(dealt)) if dealt else rows
 
 
 def json_or(text: Column, schema: str, fallback: Column) -> Column:
