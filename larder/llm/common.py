@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.session import materialise
+
 # The ASCII white space between words, as a character class body.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
@@ -42,5 +44,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(df: DataFrame, row: str) -> DataFrame:
+    """``df`` with a number of every row in the column ``row``, written out once.
+
+    Two scans may cut the same files differently, as splits follow the cores that are there
+    when a job starts. Whoever meets rows again by number reads this table on both sides.
+    """
+    return materialise(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+
+
 def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]

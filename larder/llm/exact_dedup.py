@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import columns, fresh, whole
+from larder.llm.common import columns, fresh, numbered, whole
 from larder.operators.keyed import attach
 from larder.session import materialise
 
@@ -53,14 +53,16 @@ def _marked(rows: DataFrame, bucket, buckets: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, every_hash: bool = False, prefix: int = PREFIX,
-           buckets: int = BUCKETS) -> DataFrame:
+           buckets: int = BUCKETS, number: str | None = None) -> DataFrame:
     """One row per document: doc_id, row (a number of the input row), keep_id, group_size, kept, sha256.
 
     ``sha256`` is binary, and null where the text was told apart before its
-    content had to be hashed; ``every_hash`` fills it all the same. ``docs``
-    must be a stored table: its rows are numbered by their place in the scan.
+    content had to be hashed; ``every_hash`` fills it all the same. ``number``
+    is the column of ``docs`` that numbers its rows; without it they are numbered here,
+    for this result only.
     """
-    rows = docs.select("doc_id", whole().alias("body"), F.monotonically_increasing_id().alias("row"))
+    place = F.col(number) if number else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", whole().alias("body"), place.alias("row"))
     found = surviving_buckets(rows, prefix, buckets)
     key = F.xxhash64(F.octet_length("body"), F.xxhash64(F.substring("body", 1, prefix)))
     marked = _marked(rows, F.pmod(key, F.lit(buckets)), found)
@@ -87,7 +89,7 @@ def copies(docs: DataFrame, every_hash: bool = False, prefix: int = PREFIX,
 def keep_one(docs: DataFrame, prefix: int = PREFIX, buckets: int = BUCKETS) -> DataFrame:
     """The documents that stay, with all their columns."""
     (row,) = fresh(docs, "row")
-    lost = materialise(copies(docs, False, prefix, buckets).where("not kept").select(
+    rows = numbered(docs, row)
+    lost = materialise(copies(rows, False, prefix, buckets, row).where("not kept").select(
         F.col("row").alias(row)), "lost")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(
-        lost, row, "left_anti").select(*columns(docs))
+    return rows.join(lost, row, "left_anti").select(*columns(docs))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from larder.llm.common import columns, fresh, utf8, whole
+from larder.llm.common import columns, fresh, numbered, utf8, whole
 from larder.operators.keyed import attach
 from larder.session import materialise
 
@@ -38,12 +38,13 @@ def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(_STRIP.decode()))
 
 
-def lines(docs: DataFrame, site: str) -> DataFrame:
-    """row, nth, site and hash of every line that is not blank."""
+def lines(docs: DataFrame, site: str, number: str | None = None) -> DataFrame:
+    """row (the column ``number``, or a number given here), nth, site and hash of every line that is not blank."""
     # A sketch passes over empty strings, so that the missing site needs a name.
     named = F.coalesce(F.concat(F.lit("="), F.col(site).cast("string")), F.lit("none"))
     # Rows are numbered before they are taken apart: a generator would number its output.
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), named.alias("site"), whole().alias("body"))
+    place = F.col(number) if number else F.monotonically_increasing_id()
+    rows = docs.select(place.alias("row"), named.alias("site"), whole().alias("body"))
     apart = rows.select("row", "site", F.posexplode(F.split("body", "\n")).alias("nth", "line"))
     plain = apart.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
     return plain.select("row", "nth", "site", F.xxhash64("line").alias("hash"))
@@ -76,7 +77,7 @@ def without_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     shared = boilerplate(found, min_sites, registers, band)
     if shared.count() <= most_sent:
         return _sent(docs, frozenset(shared.select("hash").toArrow()["hash"].to_pylist()))
-    return _joined(docs, found, shared)
+    return _joined(docs, site, shared)
 
 
 def _sent(docs: DataFrame, hashes: frozenset[int]) -> DataFrame:
@@ -104,13 +105,14 @@ def line_hash(line: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _joined(docs: DataFrame, found: DataFrame, shared: DataFrame) -> DataFrame:
+def _joined(docs: DataFrame, site: str, shared: DataFrame) -> DataFrame:
     marked = shared.withColumn("hit", F.lit(True))
     row, gone, n_lines, n_removed, all_lines = fresh(docs, "row", "gone", "n_lines", "n_removed", "all_lines")
-    hits = attach(found.select("row", "nth", "hash"), marked, ["hash"], "n_lines", spread=["row", "nth"]).where("hit")
+    rows = numbered(docs, row)
+    hits = attach(lines(rows, site, row).select("row", "nth", "hash"), marked, ["hash"], "n_lines", spread=["row", "nth"]).where("hit")
     places = materialise(hits.groupBy("row").agg(F.collect_list("nth").alias("gone")), "places")
     places = places.select(F.col("row").alias(row), F.col("gone").alias(gone))
-    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(places, row, "left")
+    joined = rows.join(places, row, "left")
     cut = joined.withColumn(all_lines, F.split(whole(), "\n"))
     at = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(gone))
     kept = F.array_join(F.transform(at, lambda i: F.get(F.col(all_lines), i)), "\n")

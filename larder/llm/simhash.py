@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from xxhash import xxh64_intdigest
 
-from larder.llm.common import columns, fresh, utf8
+from larder.llm.common import columns, fresh, numbered, utf8
 from larder.llm.components import components
 from larder.operators.keyed import attach
 from larder.session import materialise
@@ -164,15 +164,15 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return ordered.mapInArrow(_forest, "a long, b long").distinct()
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of the input row) and fp of every document."""
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"),
-                       fingerprint_of(utf8()).alias("fp"))
+def fingerprints(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """doc_id, row (the column ``number``, or a number given here) and fp of every document."""
+    place = F.col(number) if number else F.monotonically_increasing_id()
+    return docs.select("doc_id", place.alias("row"), fingerprint_of(utf8()).alias("fp"))
 
 
-def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def classes(docs: DataFrame, bucket: int = BUCKET, number: str | None = None) -> DataFrame:
     """doc_id, row, fp, root (of the fingerprint) and component_id of every document."""
-    marked = materialise(fingerprints(docs), "fingerprints")
+    marked = materialise(fingerprints(docs, number), "fingerprints")
     nodes = materialise(
         marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_docs")), "nodes")
     roots = components(links(nodes.select("fp"), bucket))
@@ -191,10 +191,10 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Of repeated rows with that id, and of a component without ids, the first row stays.
     """
     (row,) = fresh(docs, "row")
-    found = materialise(classes(docs, bucket), "members")
+    rows = numbered(docs, row)
+    found = materialise(classes(rows, bucket, row), "members")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(
         F.min("row").alias("row"))
     lost = materialise(found.select("row").join(first, "row", "left_anti").select(
         F.col("row").alias(row)), "lost")
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(
-        lost, row, "left_anti").select(*columns(docs))
+    return rows.join(lost, row, "left_anti").select(*columns(docs))

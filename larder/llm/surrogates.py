@@ -329,6 +329,13 @@ def rewrite(text: str, key: str = KEY, settled: dict[tuple[str, str], tuple[str,
     return "".join([*out, text[at:]]), kinds
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, body and row: a digest of id and text, the same in every scan. Repeated rows share it."""
+    body = whole()
+    return docs.select("doc_id", body.alias("body"), F.unhex(F.sha2(F.concat(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(" "), body), 256)).alias("row"))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """row, kind, hint and canon of the distinct entities of every document."""
 
@@ -339,11 +346,11 @@ def mentions(docs: DataFrame) -> DataFrame:
                 for item in sorted({e[2:] for e in entities(text.as_py())}):
                     rows.append(row)
                     got.append(item)
-            yield pa.record_batch([pa.array(rows, pa.int64()), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))],
+            yield pa.record_batch([pa.array(rows, pa.binary()), *(pa.array([g[i] for g in got], pa.string()) for i in range(3))],
                                   ["row", "kind", "hint", "canon"])
 
-    return docs.select(F.monotonically_increasing_id().alias("row"), whole().alias("body")).mapInArrow(
-        find, "row long, kind string, hint string, canon string")
+    return _named(docs).select("row", "body").mapInArrow(
+        find, "row binary, kind string, hint string, canon string")
 
 
 def assigned(found: DataFrame, key: str = KEY, collide=surrogate) -> DataFrame:
@@ -389,6 +396,5 @@ def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
         return pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64()), ("kinds", pa.string())]))
 
     made = F.arrow_udf(change, "text string, n long, kinds string")("body", "again")
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), whole().alias("body"))
-    return rows.join(per_row, "row", "left").select("doc_id", made.alias("made")).select(
+    return _named(docs).join(per_row, "row", "left").select("doc_id", made.alias("made")).select(
         "doc_id", "made.text", F.col("made.n").alias("n_entities"), "made.kinds")
