@@ -12,7 +12,9 @@ distributed, as rows (parameter, value), so the driver only gets one network.
 
 * Null, empty and wordless texts have no tokens and a log-likelihood of zero;
   their mean is null.
-* Texts are scored whole. Tokens outside the vocabulary are one token of it.
+* Texts are scored whole. A word outside the vocabulary has the probability of that
+  class of words in its place times that of its spelling: bytes, each given the two
+  before it, counted over all such words of the corpus.
 * Equal texts have equal scores but for the rounding of 32-bit sums. Over an empty table the result is empty.
 """
 
@@ -38,6 +40,13 @@ ROUNDS, MASKED = 2, 0.08
 STEP, RATE = 1024, 0.2
 # Tokens scored at a time.
 BLOCK = 1 << 14
+# Symbols of a spelling: the bytes that words have, from one; zero is the end of a word.
+_SPELLED = sorted(set(LETTERS) - {32})
+SYMBOLS = len(_SPELLED) + 1
+_SYMBOL = np.zeros(256, np.uint8)
+_SYMBOL[_SPELLED] = np.arange(1, SYMBOLS)
+# Weight of the shorter context in the longer one.
+BACK = 5.0
 # Distinct words a task counts before it passes them on.
 HELD = 1 << 18
 
@@ -84,17 +93,68 @@ class Known(dict):
 
 
 def tokens(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
-    """doc_id and the token ids of every document, as little-endian 16-bit numbers."""
+    """doc_id, the token ids of every document as little-endian 16-bit numbers, and its other words.
+
+    Each of the other words, in ``rare``, is ended by a space.
+    """
     known = Known(ids)
 
     def encode(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts:
             listed = words(text.as_py())
-            out.append(np.fromiter(map(known.__getitem__, listed), "<u2", len(listed)).tobytes())
-        return pa.array(out, pa.binary())
+            out.append({"ids": np.fromiter(map(known.__getitem__, listed), "<u2", len(listed)).tobytes(),
+                        "rare": b"".join(w + b" " for w in listed if w not in known)})
+        return pa.array(out, pa.struct([("ids", pa.binary()), ("rare", pa.binary())]))
+
+    made = F.arrow_udf(encode, "ids binary, rare binary")(utf8()).alias("made")
+    return docs.select("doc_id", made).select("doc_id", "made.ids", "made.rare")
+
+
+def _trigrams(rare: bytes):
+    """Numbers of (second last, last, next) symbol of spellings, in blocks; words do not see each other."""
+    s = np.concatenate([np.zeros(2, np.uint8), _SYMBOL[np.frombuffer(rare, np.uint8)]])
+    for at in range(2, len(s), BLOCK):
+        c = s[at:at + BLOCK].astype(np.int64)
+        b = s[at - 1:at - 1 + len(c)].astype(np.int64)
+        yield (np.where(b > 0, s[at - 2:at - 2 + len(c)], 0) * SYMBOLS + b) * SYMBOLS + c
+
+
+def spelling(coded: DataFrame) -> np.ndarray:
+    """Log-probability of every symbol after every two, from all words in ``rare``; a table of fixed size."""
+
+    def count(batches):
+        held = np.zeros(SYMBOLS ** 3, np.int64)
+        for batch in batches:
+            for rare in batch.column(0):
+                for at in _trigrams(rare.as_py()):
+                    np.add.at(held, at, 1)
+        at = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(at), pa.array(held[at])], ["at", "n"])
+
+    met = coded.select("rare").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    return smoothed(met["at"].to_numpy(), met["n"].to_numpy())
+
+
+def smoothed(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of trigrams as log-probabilities: no spelling is impossible but the empty one."""
+    three = np.zeros(SYMBOLS ** 3)
+    three[at] = n
+    three = three.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    two = three.sum(0)
+    one = two.sum(0) + 1
+    two += BACK * one / one.sum()
+    two /= two.sum(-1, keepdims=True)
+    three += BACK * two
+    three[0, 0, 0] = 0
+    three /= three.sum(-1, keepdims=True)
+    with np.errstate(divide="ignore"):
+        return np.log(three).astype(np.float32).ravel()
+
 
-    return docs.select("doc_id", F.arrow_udf(encode, "binary")(utf8()).alias("ids"))
+def spelled(table: np.ndarray, rare: bytes) -> float:
+    """Summed log-probability of the spellings in ``rare``."""
+    return sum(float(table[at].sum(dtype=np.float64)) for at in _trigrams(rare))
 
 
 def initial(seed: int = 1) -> Network:
@@ -246,11 +306,11 @@ def log_likelihood(net: Network, texts: list[np.ndarray]) -> np.ndarray:
 def scores(docs: DataFrame, size: int = SIZE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and mean_log_likelihood of every document."""
     coded = materialise(tokens(docs, vocabulary(docs, size)), "tokens")
-    # The network has a fixed size, a few hundred kilobytes.
-    values = flatten(train(coded, rounds))
+    # Network and spellings have a fixed size: a few hundred kilobytes, and 18 MB.
+    values, table = flatten(train(coded, rounds)), spelling(coded)
     held = {}
 
-    def score(ids: pa.Array) -> pa.Array:
+    def score(ids: pa.Array, rare: pa.Array) -> pa.Array:
         if not held:
             held["net"] = unflatten(values)
         out, group, held_tokens = [np.empty(0)], [], 0
@@ -261,9 +321,9 @@ def scores(docs: DataFrame, size: int = SIZE, rounds: int = ROUNDS) -> DataFrame
                 out.append(log_likelihood(held["net"], group))
                 group, held_tokens = [], 0
         out.append(log_likelihood(held["net"], group))
-        return pa.array(np.concatenate(out))
+        return pa.array(np.concatenate(out) + [spelled(table, r.as_py()) for r in rare])
 
     n = F.expr("octet_length(ids) div 2").cast("long")
-    rows = coded.select("doc_id", n.alias("n_tokens"), F.arrow_udf(score, "double")(F.col("ids")).alias("log_likelihood"))
+    rows = coded.select("doc_id", n.alias("n_tokens"), F.arrow_udf(score, "double")(F.col("ids"), F.col("rare")).alias("log_likelihood"))
     return rows.select("doc_id", "n_tokens", "log_likelihood", F.when(
         F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood"))

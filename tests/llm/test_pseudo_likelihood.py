@@ -90,3 +90,17 @@ def test_empty(spark, tmp_path):
     df = stored(docs(spark, ["a"]).limit(0), tmp_path)
     assert lm.scores(df).count() == 0
     assert [r["n_tokens"] for r in lm.scores(stored(docs(spark, [None, " "]), tmp_path, "blank")).collect()] == [0, 0]
+
+
+def test_other_words_have_their_own_probability(spark, tmp_path):
+    texts = ["the cat sat"] * 40 + ["the zebra sat", "the zqxjk sat", "the zebra's sat"]
+    df = stored(docs(spark, texts), tmp_path)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm.scores(df, size=5).collect()}
+    assert got[40] > got[41] and len({got[40], got[41], got[42]}) == 3
+    coded = stored(lm.tokens(df, lm.vocabulary(df, 5)), tmp_path, "coded")
+    table = lm.spelling(coded).astype(np.float64)
+    assert np.allclose(np.exp(table).reshape(-1, lm.SYMBOLS).sum(1), 1, atol=1e-5)
+    p = np.exp(table).reshape([lm.SYMBOLS] * 3)
+    a, b = lm._SYMBOL[ord("a")], lm._SYMBOL[ord("b")]
+    want = np.log(p[0, 0, a] * p[0, a, b] * p[a, b, 0] * p[0, 0, b] * p[0, b, 0])
+    assert abs(lm.spelled(table, b"ab b ") - want) < 1e-6 and lm.spelled(table, b"") == 0
