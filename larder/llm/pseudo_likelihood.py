@@ -5,10 +5,12 @@ their embeddings, one hidden layer, then the token's class and the token within
 its class. A document's score is the sum of the log-probabilities of all its
 tokens, each given both sides.
 
-Vocabulary, counts and training cover the whole corpus. Each round every
-partition trains on its own documents, a hash-chosen share of the positions
-masked, and the parameters are averaged by weight of the positions seen:
-distributed, as rows (parameter, value), so the driver only gets one network.
+Vocabulary, counts and training cover the whole corpus. The network starts from
+the frequencies of the tokens. Each round every partition trains on its own
+documents, a hash-chosen share of the positions masked; the shares of the rounds
+are disjoint and together all positions. The parameters are averaged by weight of the
+positions seen: distributed, as rows (parameter, value), so the driver only gets
+one network.
 
 * Null, empty and wordless texts have no tokens and a log-likelihood of zero;
   their mean is null.
@@ -36,7 +38,8 @@ EMBED, HIDDEN = 16, 32
 CLASSES, MEMBERS = 64, 32
 SIZE = CLASSES * MEMBERS
 PAD, OTHER = 0, 1
-ROUNDS, MASKED = 2, 0.08
+# Rounds times share is one: every position is a target once.
+ROUNDS, MASKED = 2, 0.5
 STEP, RATE = 1024, 0.2
 # Tokens scored at a time.
 BLOCK = 1 << 14
@@ -259,9 +262,33 @@ class Adagrad:
             self.net[k] -= RATE * g / np.sqrt(self.seen[k])
 
 
+def masks(text: np.ndarray, number: int, masked: float) -> np.ndarray:
+    """Targets of a round: they depend on the text and the round only, and rounds take one share after the other."""
+    place = np.random.default_rng(zlib.crc32(text.tobytes())).random(len(text))
+    return (place - number * masked) % 1.0 < masked
+
+
+def frequencies(coded: DataFrame) -> np.ndarray:
+    """How often each token is in the corpus, plus one."""
+
+    def count(batches):
+        held = np.zeros(SIZE, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                np.add.at(held, np.frombuffer(ids.as_py(), "<u2"), 1)
+        yield pa.record_batch([pa.array(np.arange(SIZE)), pa.array(held)], ["id", "n"])
+
+    met = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.ones(SIZE)
+    out[met["id"].to_numpy()] += met["n"].to_numpy()
+    return out
+
+
 def train(coded: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> Network:
     """One network from all documents of ``coded``."""
-    net = initial()
+    net, often = initial(), frequencies(coded).reshape(CLASSES, MEMBERS)
+    net["group_b"] = np.log(often.sum(1) / often.sum()).astype(np.float32)
+    net["member_b"] = np.log(often / often.sum(1, keepdims=True)).astype(np.float32)
     for number in range(rounds):
         start = flatten(net)
 
@@ -270,9 +297,7 @@ def train(coded: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> Net
             for batch in batches:
                 texts = [np.frombuffer(t.as_py(), "<u2") for t in batch.column(0)]
                 flat, places = padded(texts)
-                # Masks depend on the text and the round only.
-                keep = np.concatenate([np.empty(0, bool)] + [
-                    np.random.default_rng([number, zlib.crc32(t.tobytes())]).random(len(t)) < masked for t in texts])
+                keep = np.concatenate([np.empty(0, bool)] + [masks(t, number, masked) for t in texts])
                 chosen = places[keep]
                 for at in range(0, len(chosen), STEP):
                     learner.step(flat, chosen[at:at + STEP])

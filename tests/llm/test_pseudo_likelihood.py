@@ -104,3 +104,28 @@ def test_other_words_have_their_own_probability(spark, tmp_path):
     a, b = lm._SYMBOL[ord("a")], lm._SYMBOL[ord("b")]
     want = np.log(p[0, 0, a] * p[0, a, b] * p[a, b, 0] * p[0, 0, b] * p[0, b, 0])
     assert abs(lm.spelled(table, b"ab b ") - want) < 1e-6 and lm.spelled(table, b"") == 0
+
+
+def test_every_position_is_a_target_once():
+    for n in (0, 1, 5000):
+        text = np.arange(n, dtype="<u2")
+        assert (sum(lm.masks(text, r, lm.MASKED).astype(int) for r in range(lm.ROUNDS)) == np.ones(n)).all()
+
+
+def test_the_registered_training_beats_unigrams_and_shuffled_texts(spark, tmp_path):
+    """Held-out texts, with ROUNDS and MASKED as the query has them."""
+    rows = table(spark, DATA.replace("sf0.001", "sf0.01"), "documents")
+    df = rows.where("doc_id % 5 <> 0")
+    ids = lm.vocabulary(df)
+    coded = stored(lm.tokens(df, ids), tmp_path)
+    net = lm.train(coded)
+    out = [np.frombuffer(r["ids"], "<u2") for r in lm.tokens(rows.where("doc_id % 5 = 0"), ids).collect()]
+    counts = np.ones(lm.SIZE)
+    for r in coded.collect():
+        np.add.at(counts, np.frombuffer(r["ids"], "<u2"), 1)
+    unigram = sum(np.log(counts / counts.sum())[t].sum() for t in out)
+    rng = np.random.default_rng(3)
+    shuffled = lm.log_likelihood(net, [rng.permutation(t) for t in out]).sum()
+    ours, n = lm.log_likelihood(net, out).sum(), sum(map(len, out))
+    print("held out, a token:", ours / n, "unigrams", unigram / n, "shuffled", shuffled / n)
+    assert ours > unigram and ours > shuffled
