@@ -47,6 +47,12 @@ MALE_AFTER, FEMALE_AFTER = ("先生",), ("女士", "小姐")
 # Words around a secret.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "private_key", "key", "pwd")
 
+# What makes a number beside it an amount.
+CURRENCIES = ("EUR", "USD", "GBP", "CHF", "PLN", "CZK", "SEK", "NOK", "DKK", "HUF", "RUB", "JPY", "CNY", "INR", "zł", "Kč", "kr", "руб")
+UNITS = (
+    "km", "m", "cm", "mm", "ha", "kg", "g", "t", "l", "kWh", "MW", "GB", "MB", "KB", "bytes", "euros?", "dollars?", "pounds?", "yen", "roubles?",
+    "people", "times", "years?", "habitantes", "habitants", "Einwohner", "inhabitants", "tons?", "tonnes?", "metres?", "meters?", "miles?")
+
 # Syllables, and endings of given names by gender, for each script.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le li lo ma me mi mo na ne no pa pe ra re ro sa se so ta te to va ve wi".split(),
@@ -71,8 +77,12 @@ _TITLES = (*MALE, *FEMALE, *NEUTRAL, *MALE_AFTER, *FEMALE_AFTER)
 _DOMAIN = re.compile(r"@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]*[A-Za-z0-9])+")
 _NUMBER = re.compile(r"(?<![\w.])[+(]{0,2}\d[\d().\- ]*")
 _NO_PHONE = re.compile(r"\d{4}[-. ]\d\d?[-. ]\d\d?|\d\d?[-. ]\d\d?[-. ]\d{4}|\d{1,3}(?: \d{3})+")
+# Three groups of three digits are a phone number in some countries and an amount beside a unit or currency.
+_THREES = re.compile(r"\d{3} \d{3} \d{3}")
+_UNIT_BEFORE = re.compile(r"(?:[$€£¥₽]|\b(?:" + "|".join(CURRENCIES) + r"))[  ]?\Z")
+_UNIT_AFTER = re.compile(r"[  ]?(?:[$€£¥₽%°²³]|(?:" + "|".join((*CURRENCIES, *UNITS)) + r")\b)|[.,]\d")
 _IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")
-_IP6 = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){2,7}(?::?[0-9a-fA-F]{1,4}){1,7}(?![\w:])")
+_IP6 = re.compile(r"(?<![\w:])[0-9a-fA-F:]{3,}+(?!\w)")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SECRET = re.compile(r"[=:]\s*[\"']?([A-Za-z0-9_+/=.\-]{8,})")
 _SECRET_WORD = re.compile(rf"(?:{'|'.join(SECRET_WORDS)})[\"']?\s*\Z", re.IGNORECASE)
@@ -90,6 +100,24 @@ def _iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+def _is_ip6(run: str) -> bool:
+    """Whether a run of hex digits and colons is an address; two groups without a digit are names (``a::b``)."""
+    if len(run) > 39 or run.count(":") < 2 or (run.count(":") == 2 and not _DIGIT.search(run)):
+        return False
+    try:
+        ipaddress.IPv6Address(run)
+    except ValueError:
+        return False
+    return True
+
+
+def _amount(text: str, start: int, end: int) -> bool:
+    """Whether a number is a date or amount by its form and by what is beside it."""
+    if _THREES.fullmatch(text, start, end):
+        return bool(_UNIT_BEFORE.search(text, max(0, start - 5), start) or _UNIT_AFTER.match(text, end))
+    return bool(_NO_PHONE.fullmatch(text, start, end))
+
+
 def script(word: str) -> str:
     for c in word:
         name = unicodedata.name(c, "")
@@ -132,13 +160,11 @@ def entities(text: str) -> list[tuple]:
                 add(*m.span(1), "secret")
     if _DIGIT.search(text):
         _numeric(text, add)
-    if text.count(":") > 2:
+    if text.count(":") > 1:
         for m in _IP6.finditer(text):
-            try:
-                ipaddress.IPv6Address(m[0])
-            except ValueError:
-                continue
-            add(*m.span(), "ip")
+            found_ip = m[0] if m[0].endswith("::") else m[0].removesuffix(":")
+            if _is_ip6(found_ip):
+                add(m.start(), m.start() + len(found_ip), "ip")
     if any(t in text for t in _TITLES):
         _names(text, add)
     return sorted(found)
@@ -162,7 +188,7 @@ def _numeric(text: str, add) -> None:
             if 12 <= len(digits) <= 19 and not text[start:end].startswith(("+", "(")):
                 add(start, end, "card")
             elif 7 <= len(digits) <= 15 and (len(digits) > 8 or not text[start:end].isdigit()) and not (
-                    _NO_PHONE.fullmatch(text[start:end])):
+                    _amount(text, start, end)):
                 add(start, end, "phone")
 
 

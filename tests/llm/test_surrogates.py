@@ -105,3 +105,15 @@ def test_repeats_and_empty(spark, tmp_path):
     df = stored(docs(spark, [LINES[1]] * 3), tmp_path)
     assert len({r["text"] for r in s.replaced(df).collect()}) == 1
     assert s.replaced(stored(df.limit(0), tmp_path, "none")).count() == 0
+
+
+def test_grouped_phones_and_short_ipv6():
+    found = lambda text: [(text[a:b], kind) for a, b, kind, *_ in s.entities(text)]
+    assert found("llama al 612 345 678 hoy") == [("612 345 678", "phone")]
+    for address in ("fe80::1", "::1", "fd12::abcd:1", "2001:db8::", "2a02:8108::5:1", "1:2:3:4:5:6:7:8"):
+        assert found(f"host {address}, up") == [(address, "ip")], address
+        out = s.rewrite(f"host {address}, up")[0]
+        assert address not in out and found(out)[0][1] == "ip"
+    assert found("at fe80::1: refused") == [("fe80::1", "ip")]
+    for text in ("612 345 678 EUR", "€ 612 345 678", "612 345 678 km", "1 000 000 times", "12 345 678", "std::abc a::b 12:30:45 aa:bb:cc:dd:ee:ff"):
+        assert found(text) == [], text
