@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    bpe, exact_dedup, line_dedup, mixing, order_minhash, pseudo_likelihood, rollup, simhash, surrogates, toxicity)
+    bpe, decontamination, exact_dedup, line_dedup, mixing, order_minhash, pseudo_likelihood, rollup, simhash, surrogates,
+    toxicity, whitening)
 from larder.llm.common import table
 from larder.session import scratch_path, ship_package
 
@@ -90,3 +91,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         table(spark, folder, "documents"), table(spark, folder, "labels"), scratch_path(spark, "rollup"),
         ("byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.tiktoken")),
         ("byte_bpe_multi_50k", public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+
+
+@query("op11_decontamination", decontamination.SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
