@@ -305,12 +305,12 @@ def without_documents(docs: DataFrame, benchmark: DataFrame, most_share: float =
 
 SQL = r"""
 WITH lowered AS (
-  SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_extract_all(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 items AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, list_filter(regexp_extract_all(translate(coalesce(text, ''),
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
 sized AS (SELECT item, w, least(len(w), 10) AS size FROM items WHERE len(w) > 0),
 starts AS (SELECT item, w, size, unnest(generate_series(1, len(w) - size + 1)) AS p FROM sized),

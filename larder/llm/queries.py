@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
-    bpe, decontamination, exact_dedup, line_dedup, mixing, order_minhash, pseudo_likelihood, rollup, simhash, surrogates,
-    toxicity, whitening)
+    bpe, conversations, decontamination, exact_dedup, line_dedup, mixing, order_minhash, pseudo_likelihood, rollup, simhash,
+    surrogates, toxicity, whitening)
 from larder.llm.common import table
 from larder.session import scratch_path, ship_package
 
@@ -98,6 +98,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audited(conversations.damaged(table(spark, folder, "conversations")))
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
