@@ -35,55 +35,73 @@ BLOCK_CLOSERS = r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|blockquote)\
 _SENTINEL = "\ue000"
 
 
-def _code_point_text(n: Column) -> Column:
-    """Code point number to text; impossible and surrogate numbers give ''."""
-    usable = n.isNotNull() & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-    utf32 = F.unhex(F.lpad(F.hex(n), 8, "0"))
-    return F.when(usable, F.decode(utf32, "UTF-32")).otherwise(F.lit(""))
+# A reference is looked for only where it is whole: text is cut in front of nothing else.
+_HEX, _DECIMAL = r"&#[xX][0-9a-fA-F]+;", r"&#\d+;"
+_START = "\ue001"
 
 
-def _decode_pass(c: Column, pattern: str, decoded) -> Column:
-    """Replace references in one left-to-right pass by splitting at each ``&``."""
+def _utf8(n: Column) -> Column:
+    """Code point number to its character, put together as UTF-8 bytes; those that do not exist and surrogates give ''."""
+    def tail(shift: int) -> Column:
+        return F.shiftright(n, shift).bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80))
 
-    def piece(p: Column, i: Column) -> Column:
-        def replaced(ref: Column) -> Column:
-            rest = F.substring(p, F.char_length(ref) + 1, F.char_length(p))
-            body = F.when(ref != "", decoded(ref))
-            return F.coalesce(F.concat(body, rest), F.concat(F.lit("&"), p))
+    def joined(lead: int, first: int, shifts: tuple[int, ...]) -> Column:
+        out = F.shiftright(n, first).bitwiseOR(F.lit(lead))
+        for s in shifts:
+            out = F.shiftleft(out, 8).bitwiseOR(tail(s))
+        return out
 
-        return F.when(i == 0, p).otherwise(let(F.regexp_extract(p, pattern, 1), replaced))
+    number = (F.when(n < 0x80, n).when(n < 0x800, joined(0xC0, 6, (0,))).when(n.between(0xD800, 0xDFFF), F.lit(None))
+              .when(n < 0x10000, joined(0xE0, 12, (6, 0))).when(n <= 0x10FFFF, joined(0xF0, 18, (12, 6, 0))))
+    return F.coalesce(F.unhex(F.hex(number)).cast("string"), F.lit(""))
 
-    parts = F.transform(F.split(c, "&"), piece)
-    return F.array_join(parts, "")
 
+def _decode_numeric(c: Column, reference: str, digits_at: int, value) -> Column:
+    """Replace numeric references in one pass over the pieces that begin with one."""
+    # The first piece has a mark of its own in front, so every other one begins with a reference.
+    pieces = F.split(F.concat(F.lit(_START), c), f"(?={reference})")
 
-def decode_entities(c: Column) -> Column:
-    """Hexadecimal, then decimal, then named references; unknown names stay."""
+    def text(p: Column, i: Column) -> Column:
+        end = F.instr(p, ";")
+        return F.when(i == 0, p).otherwise(F.concat(
+            let(value(F.substring(p, F.lit(digits_at), end - digits_at)), _utf8), F.substring(p, end + 1, F.lit(1 << 30))))
 
-    def from_hex(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"^#[xX]0*([0-9a-fA-F]{1,6});$", 1)
-        n = F.when(digits != "", F.conv(digits, 16, 10).cast("long"))
-        return let(n, _code_point_text)
+    joined = F.array_join(F.transform(pieces, text), "")
+    return F.substring(joined, F.lit(2), F.lit(1 << 30))
 
-    def from_decimal(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"^#0*(\d{1,7});$", 1)
-        return let(F.when(digits != "", digits).cast("long"), _code_point_text)
 
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(NAMED_ENTITIES.items())])
+def _of_hex(digits: Column) -> Column:
+    # Numbers too long for a long saturate, which is out of range as well.
+    return F.when(F.char_length(digits) < 9, F.conv(digits, 16, 10).cast("long")).otherwise(
+        F.coalesce(F.conv(digits, 16, 10).try_cast("long"), F.lit(1 << 40)))
+
+
+def _of_decimal(digits: Column) -> Column:
+    return F.coalesce(digits.try_cast("long"), F.lit(1 << 40))
 
-    def from_name(ref: Column) -> Column:
-        return F.try_element_at(table, F.lower(F.rtrim(ref, F.lit(";"))))
 
+def decode_entities(c: Column) -> Column:
+    """Hexadecimal, then decimal, then named references; unknown names stay."""
     def numeric(s: Column) -> Column:
-        return F.when(F.contains(s, F.lit("&#")), _decode_pass(
-            _decode_pass(s, r"^(#[xX][0-9a-fA-F]+;)", from_hex), r"^(#\d+;)", from_decimal,
-        )).otherwise(s)
+        s = let(s, lambda t: F.when(F.regexp_like(t, F.lit(_HEX)), _decode_numeric(t, _HEX, 4, _of_hex)).otherwise(t))
+        s = let(s, lambda t: F.when(F.regexp_like(t, F.lit(_DECIMAL)), _decode_numeric(t, _DECIMAL, 3, _of_decimal)).otherwise(t))
+        return s
+
+    names = "|".join(n for n in NAMED_ENTITIES if n != "amp")
+    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(NAMED_ENTITIES.items())])
 
     def named(s: Column) -> Column:
-        return F.when(F.contains(s, F.lit("&")), _decode_pass(
-            s, r"^([A-Za-z][A-Za-z0-9]*;)", from_name)).otherwise(s)
+        # What a reference stands for never makes another one, but for an ampersand: those come last.
+        met = F.array_distinct(F.transform(
+            F.regexp_extract_all(s, F.lit(f"(?i)&({names});"), F.lit(1)), lambda n: F.lower(n)))
+        rest = F.aggregate(met, s, lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?i)&"), n, F.lit(";")), F.element_at(table, n)))
+        return F.regexp_replace(rest, "(?i)&amp;", "&")
+
+    def decoded(s: Column) -> Column:
+        numbers = let(s, lambda t: F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t))
+        return let(numbers, named)
 
-    return let(let(c, numeric), named)
+    return let(c, lambda s: F.when(F.contains(s, F.lit("&")), decoded(s)).otherwise(s))
 
 
 def _before_last(c: Column, closer: str, rewrite) -> Column:

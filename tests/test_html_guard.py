@@ -36,7 +36,7 @@ def test_drop_non_text_matches_a_scan(apply):
     assert apply(H.drop_non_text, pages) == [scan(p) for p in pages]
 
 
-PIECES = ["<script>", "<aside>", "<script", "<!--", "<", "<a ", "<li ", "&#x", "</script", "<title>", "<title", "</title>", "<meta ", "<meta name=",
+PIECES = ["<script>", "<aside>", "<script", "<!--", "<", "<a ", "<li ", "&#x", "&", "&a;", "&#", "&#65;", "&#x41;", "&amp;", "&Lt;", "&#x1F600;&#233;&eacute;", "</script", "<title>", "<title", "</title>", "<meta ", "<meta name=",
           "<meta content='", '<script type="application/ld+json">', "<script type=", '<a class="CaptionUsername">', '<a class="CaptionUsername"',
           '<div class="Caption">', '<img class="EmbeddedMediaImage" ', '<img src="', "<img ", '<span class="UsernameText">', "name = "]
 READERS = {
