@@ -13,7 +13,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from larder.functions.text import WORD_END, collapse, let, normalise_text, trim
+from larder.functions.text import WORD_END, collapse, let, let_sql, normalise_text, trim
 
 # Named character references that are decoded.
 NAMED_ENTITIES = {
@@ -37,79 +37,70 @@ _SENTINEL = "\ue000"
 
 # A reference is looked for only where it is whole: text is cut in front of nothing else.
 _HEX, _DECIMAL = r"&#[xX][0-9a-fA-F]+;", r"&#\d+;"
+# In front of the first piece of a text, so that every other one begins with a reference.
 _START = "\ue001"
 
 
-def _utf8(n: Column) -> Column:
+def _utf8(n: str) -> str:
     """Code point number to its character, put together as UTF-8 bytes; those that do not exist and surrogates give ''."""
-    def tail(shift: int) -> Column:
-        return F.shiftright(n, shift).bitwiseAND(F.lit(0x3F)).bitwiseOR(F.lit(0x80))
+    def joined(lead: int, shifts: tuple[int, ...]) -> str:
+        first = f"(shiftright({n}, {6 * len(shifts)}) | {lead})"
+        for i, s in enumerate(shifts):
+            first = f"(shiftleft({first}, 8) | (shiftright({n}, {s}) & 63 | 128))"
+        return first
 
-    def joined(lead: int, first: int, shifts: tuple[int, ...]) -> Column:
-        out = F.shiftright(n, first).bitwiseOR(F.lit(lead))
-        for s in shifts:
-            out = F.shiftleft(out, 8).bitwiseOR(tail(s))
-        return out
+    number = (f"CASE WHEN {n} < 128 THEN {n} WHEN {n} < 2048 THEN {joined(0xC0, (0,))} WHEN {n} BETWEEN 55296 AND 57343 THEN NULL "
+              f"WHEN {n} < 65536 THEN {joined(0xE0, (6, 0))} WHEN {n} <= 1114111 THEN {joined(0xF0, (12, 6, 0))} END")
+    return f"coalesce(CAST(unhex(hex({number})) AS STRING), '')"
 
-    number = (F.when(n < 0x80, n).when(n < 0x800, joined(0xC0, 6, (0,))).when(n.between(0xD800, 0xDFFF), F.lit(None))
-              .when(n < 0x10000, joined(0xE0, 12, (6, 0))).when(n <= 0x10FFFF, joined(0xF0, 18, (12, 6, 0))))
-    return F.coalesce(F.unhex(F.hex(number)).cast("string"), F.lit(""))
 
-
-def _decode_numeric(c: Column, reference: str, digits_at: int, value) -> Column:
+def _numeric(s: str, reference: str, digits_at: int, value) -> str:
     """Replace numeric references in one pass over the pieces that begin with one."""
-    # The first piece has a mark of its own in front, so every other one begins with a reference.
-    pieces = F.split(F.concat(F.lit(_START), c), f"(?={reference})")
-
-    def text(p: Column, i: Column) -> Column:
-        end = F.instr(p, ";")
-        return F.when(i == 0, p).otherwise(F.concat(
-            let(value(F.substring(p, F.lit(digits_at), end - digits_at)), _utf8), F.substring(p, end + 1, F.lit(1 << 30))))
+    code = value(f"substring(p, {digits_at}, instr(p, ';') - {digits_at})")
+    joined = (f"array_join(transform(split(concat('{_START}', {s}), r'(?={reference})'), (p, i) -> CASE WHEN i = 0 THEN p ELSE "
+              f"concat(get(transform(array({code}), n -> {_utf8('n')}), 0), substring(p, instr(p, ';') + 1)) END), '')")
+    return f"CASE WHEN regexp_like({s}, r'{reference}') THEN substring({joined}, 2) ELSE {s} END"
 
-    joined = F.array_join(F.transform(pieces, text), "")
-    return F.substring(joined, F.lit(2), F.lit(1 << 30))
 
+# Numbers that no long holds are out of range as well.
+_FAR = 1 << 40
 
-def _of_hex(digits: Column) -> Column:
-    # Numbers too long for a long saturate, which is out of range as well.
-    return F.when(F.char_length(digits) < 9, F.conv(digits, 16, 10).cast("long")).otherwise(
-        F.coalesce(F.conv(digits, 16, 10).try_cast("long"), F.lit(1 << 40)))
 
+def _of_hex(digits: str) -> str:
+    return f"coalesce(try_cast(conv({digits}, 16, 10) AS BIGINT), {_FAR})"
 
-def _of_decimal(digits: Column) -> Column:
-    return F.coalesce(digits.try_cast("long"), F.lit(1 << 40))
 
+def _of_decimal(digits: str) -> str:
+    return f"coalesce(try_cast({digits} AS BIGINT), {_FAR})"
 
-def decode_entities(c: Column) -> Column:
-    """Hexadecimal, then decimal, then named references; unknown names stay."""
-    def numeric(s: Column) -> Column:
-        s = let(s, lambda t: F.when(F.regexp_like(t, F.lit(_HEX)), _decode_numeric(t, _HEX, 4, _of_hex)).otherwise(t))
-        s = let(s, lambda t: F.when(F.regexp_like(t, F.lit(_DECIMAL)), _decode_numeric(t, _DECIMAL, 3, _of_decimal)).otherwise(t))
-        return s
 
+def _decoding() -> str:
+    numbers = (f"get(transform(array({_numeric('s', _HEX, 4, _of_hex)}), t -> {_numeric('t', _DECIMAL, 3, _of_decimal)}), 0)")
     names = "|".join(n for n in NAMED_ENTITIES if n != "amp")
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(NAMED_ENTITIES.items())])
+    quoted = ["'" + x.replace("'", "\\'") + "'" for x in chain.from_iterable(NAMED_ENTITIES.items())]
+    # What a reference stands for never makes another one, but for an ampersand: those come last.
+    met = f"array_distinct(transform(regexp_extract_all(u, r'(?i)&({names});', 1), n -> lower(n)))"
+    named = (f"regexp_replace(aggregate({met}, u, (t, n) -> regexp_replace(t, concat('(?i)&', n, ';'), "
+             f"element_at(map({', '.join(quoted)}), n))), '(?i)&amp;', '&')")
+    return (f"CASE WHEN contains(s, '&') THEN get(transform(array(CASE WHEN contains(s, '&#') THEN {numbers} ELSE s END), "
+            f"u -> {named}), 0) ELSE s END")
 
-    def named(s: Column) -> Column:
-        # What a reference stands for never makes another one, but for an ampersand: those come last.
-        met = F.array_distinct(F.transform(
-            F.regexp_extract_all(s, F.lit(f"(?i)&({names});"), F.lit(1)), lambda n: F.lower(n)))
-        rest = F.aggregate(met, s, lambda t, n: F.regexp_replace(t, F.concat(F.lit("(?i)&"), n, F.lit(";")), F.element_at(table, n)))
-        return F.regexp_replace(rest, "(?i)&amp;", "&")
 
-    def decoded(s: Column) -> Column:
-        numbers = let(s, lambda t: F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t))
-        return let(numbers, named)
+_DECODING = _decoding()
 
-    return let(c, lambda s: F.when(F.contains(s, F.lit("&")), decoded(s)).otherwise(s))
+
+def decode_entities(c: Column) -> Column:
+    """Hexadecimal, then decimal, then named references; unknown names stay."""
+    return let_sql(c, _DECODING)
 
 
 def _before_last(c: Column, closer: str, rewrite) -> Column:
     """Rewrite the text up to and including the last ``closer``; keep what follows it."""
 
     def parts(s: Column) -> Column:
-        return let(F.substring_index(s, closer, -1), lambda tail: F.concat(
+        rewritten = let(F.substring_index(s, closer, -1), lambda tail: F.concat(
             rewrite(F.substring(s, F.lit(1), F.char_length(s) - F.char_length(tail))), tail))
+        return F.when(F.contains(s, F.lit(closer)), rewritten).otherwise(s)
 
     return let(c, parts)
 

@@ -18,8 +18,6 @@ TEXT_KEYS = ("@value", "name", "text", "url")
 IMAGE_KEYS = ("url", "contentUrl", "@id")
 STEP_KEYS = ("text", "name", "description")
 STEP_DEPTH = 4
-# Nested values deeper than this give no text.
-LEAF_DEPTH = 3
 
 
 # The expressions below are SQL text: they nest deeply, and text is parsed once as a whole.
@@ -62,17 +60,27 @@ def scalar_text(v: str) -> str:
             f"AND abs({n}) < 1e15 THEN CAST(floor({n}) AS STRING) ELSE CAST({n} AS STRING) END END")
 
 
-def leaves(v: str, keys: Sequence[str], depth: int = LEAF_DEPTH) -> str:
-    """Texts inside a value, left to right; objects give what their first present key holds."""
-    x, y = f"x{depth}", f"y{depth}"
-    none = "CAST(array() AS array<string>)"
-    in_array = in_object = none
-    if depth:
-        in_array = f"flatten(transform({items(x)}, {y} -> {leaves(y, keys, depth - 1)}))"
-        in_object = leaves(first_of(x, keys), keys, depth - 1)
-    return (f"get(transform(array({v}), {x} -> CASE WHEN {x} IS NULL THEN {none} "
-            f"WHEN {items(x)} IS NOT NULL THEN {in_array} WHEN {is_object(x)} THEN {in_object} "
-            f"ELSE array_compact(array({scalar_text(x)})) END), 0)")
+def nesting(v: str) -> str:
+    """How deep containers are nested inside a value; 0 for a scalar.
+
+    Counted over the brackets of its JSON text, strings taken out.
+    """
+    bare = """regexp_replace(regexp_replace(j, '"(?:[^"\\\\\\\\]|\\\\\\\\.)*+"', ''), '[^{}\\\\[\\\\]]+', '')"""
+    return (f"get(transform(array(to_json({v})), j -> CASE WHEN left(j, 1) IN ('{{', '[') THEN "
+            f"aggregate(split({bare}, ''), named_struct('at', 0, 'most', 0), "
+            f"(d, b) -> CASE WHEN b IN ('{{', '[') THEN named_struct('at', d.at + 1, 'most', greatest(d.most, d.at + 1)) "
+            f"WHEN b IN ('}}', ']') THEN named_struct('at', d.at - 1, 'most', d.most) ELSE d END, d -> d.most) ELSE 0 END), 0)")
+
+
+def leaves(v: str, keys: Sequence[str]) -> str:
+    """Texts inside a value, left to right; objects give what their first present key holds.
+
+    A list of values, at first the value itself, is unwrapped as often as the row's own
+    value is nested: elements for an array, the held value for an object, in place.
+    """
+    unwrapped = f"flatten(transform(a, e -> coalesce({items('e')}, array(coalesce({first_of('e', keys)}, e)))))"
+    return (f"get(transform(array({v}), x -> array_compact(transform(aggregate(array_repeat(0, {nesting('x')}), "
+            f"filter(array(x), e -> e IS NOT NULL), (a, n) -> {unwrapped}), e -> {scalar_text('e')}))), 0)")
 
 
 def has_type(v: str, name: str) -> str:

@@ -39,6 +39,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def let_sql(value: Column, body: str) -> Column:
+    """``let`` with the body given as SQL text over ``s``: parsed at once, where Python builds node by node."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"s -> {body}")), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Strip any Unicode whitespace from both ends."""
     return F.btrim(c, F.lit(WS_CHARS))

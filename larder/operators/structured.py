@@ -25,19 +25,23 @@ def _walk(df: DataFrame, start: Column, children, levels: int, prefix: str) -> t
     return df, names
 
 
-def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
-    """Every JSON-LD object of a page with its path; paths sort in document order.
-
-    A malformed block is skipped without losing the others.
-    """
+def _with_values(pages: DataFrame, html: str, out: str) -> DataFrame:
+    """Every walked JSON-LD value of a page with its path."""
     blocks = F.filter(
         F.transform(H.json_ld_blocks(F.col(html)), lambda b, i: F.struct(
             F.array(i).alias("path"), F.try_parse_json(b).alias("node"))),
         lambda e: e["node"].isNotNull())
     keep = [F.col(c) for c in pages.columns]
     walked, levels = _walk(pages, blocks, J.nested_children, J.MAX_DEPTH, "_level")
-    objects = F.expr(f"filter(concat({', '.join(levels)}), e -> {J.is_object('e.node')})")
-    return walked.select(*keep, objects.alias(out))
+    return walked.select(*keep, F.concat(*levels).alias(out))
+
+
+def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
+    """Every JSON-LD object of a page with its path; paths sort in document order.
+
+    A malformed block is skipped without losing the others.
+    """
+    return _with_values(pages, html, out).withColumn(out, F.expr(f"filter({out}, e -> {J.is_object('e.node')})"))
 
 
 def first_of_type(nodes: str, name: str) -> Column:
@@ -51,7 +55,8 @@ def first_of_type(nodes: str, name: str) -> Column:
 
 
 def with_recipe_node(pages: DataFrame, html: str = "html") -> DataFrame:
-    found = with_nodes(pages, html)
+    # What has a type is an object.
+    found = _with_values(pages, html, "nodes")
     return pin(found.withColumn("node", first_of_type("nodes", "Recipe")).drop("nodes"))
 
 
@@ -99,21 +104,20 @@ def extract_recipes(pages: DataFrame, page_id: str = "page_id", html: str = "htm
         "_tags": F.flatten(F.slice("_fields", len(raw) + 1, len(TAG_KEYS))),
         "_image": F.get(F.filter(F.transform("_images", trim), lambda u: u != ""), F.lit(0)),
     }).drop("_fields", "_images")
-    stepped = instruction_steps(mapped, J.field(n, "recipeInstructions"))
     names = list(raw)
     text = lambda k: F.get("_texts", F.lit(names.index(k)))
-
-    def minutes(k: str, i: int) -> Column:
-        value = F.when(F.get("_num", F.lit(i)), F.concat(F.lit("PT"), text(k), F.lit("M"))).otherwise(text(k))
-        return J.duration_minutes(value)
-
-    prep, cook = minutes("prep", 1), minutes("cook", 2)
+    # The durations are read once each, as values of one column that is used several times.
+    timed = mapped.withColumn("_minutes", F.transform(
+        F.arrays_zip(F.slice("_texts", names.index("total") + 1, 3).alias("t"), F.col("_num").alias("n")),
+        lambda d: J.duration_minutes(F.when(d["n"], F.concat(F.lit("PT"), d["t"], F.lit("M"))).otherwise(d["t"])))).drop("_num")
+    stepped = pin(instruction_steps(timed, J.field(n, "recipeInstructions")).drop("node"))
+    total, prep, cook = (F.get("_minutes", F.lit(i)) for i in range(3))
     both = F.when(prep.isNotNull() | cook.isNotNull(),
                   F.coalesce(prep, F.lit(0)) + F.coalesce(cook, F.lit(0)))
     out = stepped.select(
         page_id, text("title").alias("title"), text("description").alias("description"),
         text("servings").alias("servings"), text("author").alias("author"),
-        F.coalesce(minutes("total", 0), both).alias("total_minutes"),
+        F.coalesce(total, both).alias("total_minutes"),
         F.filter(F.transform("_lines", parse_ingredient_line), lambda i: i.isNotNull()).alias("ingredients"),
         "steps", recipe_tags(F.col("_tags")).alias("tags"),
         F.coalesce("_image", H.meta_content(F.col(html), "og:image")).alias("image_url"),

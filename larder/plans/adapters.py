@@ -174,6 +174,17 @@ SELECT id AS page_id,
     ',"image":[{"@type":"ImageObject","url":"https://i.example.com/b.jpg"},"c.jpg"]' ELSE '' END || '}' ||
   CASE WHEN id % 13 = 0 THEN '}' ELSE '' END || CASE WHEN id % 3 = 0 THEN ']}' ELSE '' END ||
   CASE WHEN id % 11 = 0 THEN ']]>' ELSE '' END || '</script></head><body></body></html>' AS html
+FROM @recipes_v""",
+    "deep_pages_v": """
+SELECT id AS page_id, '<script type="application/ld+json">{"@type":"Recipe","name":' ||
+  repeat('[{"@value":null,"name":', CAST(id % 41 AS INT)) || '"' || title || ' {[&amp;"' || repeat('}]', CAST(id % 41 AS INT)) ||
+  ',"author":' || repeat('[', CAST(id % 9 AS INT)) || '{"@value":{"text":["' || title || '",7,true,null,{"url":"u' ||
+  CAST(id % 50 AS STRING) || '"}]},"name":"no"}' || repeat(']', CAST(id % 9 AS INT)) ||
+  ',"image":' || repeat('{"url":null,"contentUrl":[[],', CAST(id % 23 AS INT)) || '"https://i.example.com/' ||
+  CAST(id AS STRING) || '.jpg"' || repeat(']}', CAST(id % 23 AS INT)) ||
+  ',"recipeIngredient":[' || repeat('{"text":[', CAST(id % 7 AS INT)) || '"2 cups flour"' || repeat(']}', CAST(id % 7 AS INT)) || ']' ||
+  ',"recipeInstructions":[{"text":' || repeat('{"name":', CAST(id % 12 AS INT)) || '"Stir well."' || repeat('}', CAST(id % 12 AS INT)) ||
+  '}],"keywords":' || repeat('[', CAST(id % 15 AS INT)) || '"Thai, Soup"' || repeat(']', CAST(id % 15 AS INT)) || '}</script>' AS html
 FROM @recipes_v""",
     "raw_json_v": """
 SELECT o_orderkey AS id, CASE WHEN o_orderkey % 16 = 0 THEN 'not json' WHEN o_orderkey % 16 = 1 THEN '[1]' ELSE

@@ -76,6 +76,18 @@ def _(src):
         F.get("t", F.lit(2)).alias("servings"))
 
 
+@query("t9_deep_texts", """
+SELECT id AS page_id, title || ' {[&' AS title, title || ', 7, u' || CAST(id % 50 AS VARCHAR) AS author,
+  'https://i.example.com/' || CAST(id AS VARCHAR) || '.jpg' AS image_url, '2;cups;flour;' AS ingredients,
+  'Stir well.' AS steps, 'thai|soup' AS tags FROM @recipes_v""")
+def _(src):
+    r = S.extract_recipes(src("deep_pages_v"))
+    line = lambda i: F.concat_ws(";", *[F.coalesce(i[f], F.lit("")) for f in ("quantity", "unit", "item", "note")])
+    return r.select(
+        "page_id", "title", "author", "image_url", F.array_join(F.transform("ingredients", line), "|").alias("ingredients"),
+        F.array_join("steps", "|").alias("steps"), F.array_join("tags", "|").alias("tags"))
+
+
 @query("t10_durations", r"""
 SELECT id, CASE WHEN m > 0 THEN CAST(floor(m + 0.5) AS INTEGER) END AS minutes FROM (SELECT o_orderkey AS id,
   CASE o_orderkey % 6 WHEN 0 THEN o_custkey % 9 * 60 + o_custkey % 50 WHEN 1 THEN 1440.0 WHEN 2 THEN o_custkey % 4 + 0.5 WHEN 3 THEN NULL WHEN 4 THEN 0
