@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larder.functions.text import first_line, let, trim
 from larder.functions.urls import extract_urls
-from larder.operators.ordered import previous_value, replay_states
+from larder.operators import ordered
+from larder.operators.ordered import previous_value
+from larder.session import materialise
 
 # Retry and lease policy.
 BACKOFF_SECONDS = (5, 30, 120)
@@ -19,12 +21,13 @@ MAX_ERROR_CHARS = 400
 GENERIC_ERROR = "Something went wrong while importing that link."
 RETRYABLE = (429, 500, 503, 504)
 
-# States of a job are numbered status * base + attempts. Three attempts are the most without
-# leases; a lease that runs out gives a job back without using them up, so that their number is
-# only bounded by the base, at which it stays.
+# States of a job are numbered status * base + attempts, attempts from MAX_ATTEMPTS on being
+# alike: none of them is retried. Their whole number is counted beside the state.
 STATUSES = ("none", "pending", "running", "done", "not_recipe", "failed")
-BASE, LEASED_BASE = 4, 64
+BASE = MAX_ATTEMPTS + 1
 STATES = len(STATUSES) * BASE
+# Event that takes up a stored record.
+RESUME = "resume"
 
 
 def cooldown_seconds(attempts: Column) -> Column:
@@ -54,21 +57,33 @@ def next_job(jobs: DataFrame, now: Column) -> DataFrame:
     return with_eligibility(oldest, now).where("eligible").orderBy("created_at", "id").limit(1)
 
 
-def reclaim_stale(jobs: DataFrame, now: Column) -> DataFrame:
-    """Running jobs untouched for longer than the lease go back to pending."""
+def reclaim_stale(jobs: DataFrame, now: Column, flag: str | None = None) -> DataFrame:
+    """Running jobs untouched for longer than the lease go back to pending; ``flag`` names a column that marks them."""
     stale = (F.col("status") == "running") & (_age(now, F.col("updated_at")) > LEASE_SECONDS)
-    return _requeue(jobs, stale)
+    return _requeue(jobs, stale, flag)
 
 
-def requeue_running(jobs: DataFrame) -> DataFrame:
+def requeue_running(jobs: DataFrame, flag: str | None = None) -> DataFrame:
     """After a restart nothing can be running: every such job is pending again."""
-    return _requeue(jobs, F.col("status") == "running")
+    return _requeue(jobs, F.col("status") == "running", flag)
 
 
-def _requeue(jobs: DataFrame, which: Column) -> DataFrame:
+def _requeue(jobs: DataFrame, which: Column, flag: str | None) -> DataFrame:
     return jobs.withColumns({
         "status": F.when(which, F.lit("pending")).otherwise(F.col("status")),
-        "stage": F.when(~which, F.col("stage"))})
+        "stage": F.when(~which, F.col("stage")),
+        **({flag: F.coalesce(which, F.lit(False))} if flag else {})})
+
+
+def changed_rows(changed: DataFrame, flag: str) -> DataFrame:
+    """Write a changed table and return how many rows its ``flag`` marks, counted by the write itself.
+
+    The new version is what the shared folder keeps; the count comes with it, from one scan.
+    """
+    seen = Observation()
+    observed = changed.observe(seen, F.coalesce(F.sum(F.col(flag).cast("long")), F.lit(0)).alias(flag))
+    materialise(observed.drop(flag), "changed")
+    return changed.sparkSession.createDataFrame([(seen.get[flag],)], f"`{flag}` long")
 
 
 def claim(jobs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -94,46 +109,95 @@ def stage_changes(events: DataFrame, job: str, order: list[str], chunks: int | N
     return seen.where(~F.col("stage").eqNullSafe(F.col("_before"))).drop("_before")
 
 
-def transition(state: Column, event: Column, base: int = BASE) -> Column:
+def transition(state: Column, event: Column) -> Column:
     """Next state of a job.
 
     A finished job is only left by a new submission, which starts over. A failed
     attempt is retried until the attempts are used up or the failure is permanent.
     """
-    attempts = state % base
-    is_ = lambda name: F.floor(state / F.lit(base)) == STATUSES.index(name)
-    to = lambda name: F.lit(STATUSES.index(name) * base)
+    attempts = state % BASE
+    is_ = lambda name: F.floor(state / F.lit(BASE)) == STATUSES.index(name)
+    to = lambda name: F.lit(STATUSES.index(name) * BASE)
     idle = ~(is_("pending") | is_("running"))
     retry = F.when(attempts >= MAX_ATTEMPTS, to("failed") + attempts).otherwise(to("pending") + attempts)
     nxt = (
         F.when((event == "submit") & idle, to("pending"))
-        .when((event == "claim") & is_("pending"), to("running") + F.least(attempts + 1, F.lit(base - 1)))
+        .when((event == "claim") & is_("pending"), to("running") + F.least(attempts + 1, F.lit(MAX_ATTEMPTS)))
         .when((event == "succeed") & is_("running"), to("done") + attempts)
         .when((event == "not_recipe") & is_("running"), to("not_recipe") + attempts)
         .when((event == "fail") & is_("running"), retry)
         .when((event == "fail_permanent") & is_("running"), to("failed") + attempts)
         .when((event == "expire") & is_("running"), to("pending") + attempts)
-        # A stored state taken up again.
-        .when(F.startswith(event, F.lit("was:")), F.substring_index(event, ":", -1).try_cast("int"))
         .otherwise(state))
     return nxt.cast("int")
 
 
-def replay_step(state: Column, event: Column, base: int = BASE) -> Column:
-    return let(state, lambda s: transition(s, event, base))
+class Jobs(ordered.Machine):
+    """Jobs: state, attempts since the last submission, when submitted and when last changed.
+
+    A record: ``s``; ``n`` attempts, of a whole job where ``whole`` is set, else those to be
+    added; ``created`` and ``updated``, null where unknown. A ``resume`` event carries such
+    facts in ``held``.
+    """
+
+    states = STATES
+    HELD = "struct<s:int,n:bigint,created:timestamp,updated:timestamp>"
+    FIELDS = ("event", "held")
+
+    def start(self, state: Column) -> Column:
+        none = F.lit(None).cast("timestamp")
+        return F.struct(state.cast("int").alias("s"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("whole"),
+                        none.alias("created"), none.alias("updated"))
+
+    def step(self, record: Column, event: Column) -> Column:
+        taken, name, at = event["event"] == RESUME, event["event"], event["ts"].cast("timestamp")
+
+        def after(state: Column) -> Column:
+            moved = state != record["s"]
+            submitted = moved & (name == "submit")
+            n = F.when(submitted, F.lit(0)).otherwise(record["n"] + (moved & (name == "claim")).cast("int")).cast("long")
+            held = event["held"]
+            return F.when(taken, F.struct(
+                held["s"].alias("s"), held["n"].alias("n"), F.lit(True).alias("whole"), held["created"].alias("created"),
+                held["updated"].alias("updated"))).otherwise(F.struct(
+                    state.alias("s"), n.alias("n"), (record["whole"] | submitted).alias("whole"),
+                    F.when(submitted, at).otherwise(record["created"]).alias("created"),
+                    F.when(moved, at).otherwise(record["updated"]).alias("updated")))
+
+        return let(transition(record["s"], name), after)
+
+    def join(self, a: Column, b: Column) -> Column:
+        return F.struct(
+            b["s"].alias("s"), F.when(b["whole"], b["n"]).otherwise(a["n"] + b["n"]).alias("n"),
+            (a["whole"] | b["whole"]).alias("whole"), F.coalesce(b["created"], a["created"]).alias("created"),
+            F.coalesce(b["updated"], a["updated"]).alias("updated"))
+
+
+def plain_events(events: DataFrame) -> DataFrame:
+    """Events as ``Jobs`` takes them."""
+    return events.withColumn("held", F.lit(None).cast(Jobs.HELD))
+
+
+def replay(events: DataFrame, job: str, order: list[str], chunks: int | None = None) -> DataFrame:
+    """Current status and attempts of every job from its whole event history (``event``, ``ts``)."""
+    final = ordered.replay(plain_events(events), [job], order, Jobs.FIELDS, Jobs(), chunks)
+    return final.select(job, status_of(F.col("record.s")).alias("status"), F.col("record.n").cast("int").alias("attempts"), "events")
+
+
+def status_of(state: Column) -> Column:
+    return F.get(F.array(*[F.lit(s) for s in STATUSES]), F.floor(state / F.lit(BASE)).cast("int"))
 
 
-def replay(events: DataFrame, job: str, order: list[str], event: str = "event",
-           chunks: int | None = None) -> DataFrame:
-    """Current status and attempts of every job from its whole event history."""
-    final = replay_states(events, [job], order, event, STATES, replay_step, chunks)
-    return final.select(job, *decode_state(F.col("state")), "events")
+def retry_due(record: Column) -> Column:
+    """When a failed attempt may be tried again; null for a job that waits for nothing."""
+    waits = (status_of(record["s"]) == "pending") & (record["n"] > 0)
+    return F.when(waits, F.timestamp_micros(F.unix_micros(record["updated"]) + cooldown_seconds(record["n"]) * 1_000_000))
 
 
-def decode_state(state: Column, base: int = BASE) -> tuple[Column, Column]:
-    names = F.array(*[F.lit(s) for s in STATUSES])
-    return (F.get(names, F.floor(state / F.lit(base)).cast("int")).alias("status"),
-            (state % base).cast("int").alias("attempts"))
+def timeout_due(record: Column) -> Column:
+    """When the wait for an unfinished job ends."""
+    open_ = status_of(record["s"]).isin("pending", "running")
+    return F.when(open_, F.timestamp_micros(F.unix_micros(record["created"]) + F.lit(POLL_SECONDS * 1_000_000)))
 
 
 def classify_failures(rows: DataFrame) -> DataFrame:

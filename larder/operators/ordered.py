@@ -126,64 +126,87 @@ def floored_counter(
     return out.drop("_s", "_m", "_up", "_base", "_base_low", "_base_up", CHUNK)
 
 
-def replay_states(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], event: str,
-    states: int, step, chunks: int | None = None,
-) -> DataFrame:
-    """Final state per key after applying ``step(state, event)`` in order.
+class Machine:
+    """A finite state with facts beside it, stepped through events; the facts are not bounded.
 
-    States are small integers starting at 0. A chunk that is not the first of
-    its key cannot know its entry state, so it is summarised as a table from
-    every entry state to its exit state; the tables then compose in order. Work
-    per chunk is bounded by the chunk, and what is gathered per key is one short
-    table per chunk.
+    A record has the field ``s``, an integer state from zero, and the facts since its
+    ``start``. ``step(record, event)`` gives the next record. ``join(a, b)`` puts the
+    record ``b`` of a chunk behind the record ``a`` of everything before it, where the
+    chunk was entered in the state ``a`` ends in: what a chunk counts is relative.
     """
-    composed = _exit_tables(Chunked(rows, keys, order, chunks), event, states, step).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(CHUNK, "_exit"))).alias("_tables"),
-        F.sum("events").alias("events"))
-    final = F.aggregate(
-        F.col("_tables"), F.lit(0), lambda s, t: F.get(t["_exit"], s))
-    return composed.select(*keys, final.alias("state"), "events")
 
+    states = 1
+
+    def start(self, state: Column) -> Column:
+        return F.struct(state.alias("s"))
+
+    def step(self, record: Column, event: Column) -> Column:
+        raise NotImplementedError
+
+    def join(self, a: Column, b: Column) -> Column:
+        return b
 
-def _exit_tables(c: Chunked, event: str, states: int, step) -> DataFrame:
-    """Per chunk of a key its events in order and its exit state for every entry state."""
+
+def _exits(c: Chunked, fields: Sequence[str], machine: Machine) -> DataFrame:
+    """Per chunk of a key its events in order and the record it gives for every entry state.
+
+    A chunk that is not the first of its key cannot know its entry state, so it is
+    summarised for all of them; work per chunk is bounded by the chunk.
+    """
     firsts = c.rows.join(F.broadcast(c.split_keys), c.keys, "left_semi").groupBy(
         *c.keys).agg(F.min(CHUNK).alias("_first"))
     per_chunk = c.rows.groupBy(*c.keys, CHUNK).agg(F.array_sort(F.collect_list(
-        F.struct(*c.order, event))).alias("_events"), F.count("*").alias("events"))
+        F.struct(*c.order, *fields))).alias("_events"), F.count("*").alias("events"))
     per_chunk = per_chunk.join(F.broadcast(firsts), c.keys, "left")
 
     def fold(start: Column) -> Column:
-        return F.aggregate(F.col("_events"), start, lambda s, e: step(s, e[event]))
+        return F.aggregate(F.col("_events"), machine.start(start), machine.step)
 
     entry = F.when(
         F.coalesce(F.col("_first"), F.col(CHUNK)) == F.col(CHUNK), F.array(F.lit(0)),
-    ).otherwise(F.sequence(F.lit(0), F.lit(states - 1)))
+    ).otherwise(F.sequence(F.lit(0), F.lit(machine.states - 1)))
     return per_chunk.select(*c.keys, CHUNK, "_events", "events", F.transform(entry, fold).alias("_exit"))
 
 
-def states_at(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], event: str,
-    states: int, step, which: str, chunks: int | None = None,
+def _composed(tables: Column, machine: Machine) -> Column:
+    """The record after the given chunks of a key."""
+    return F.aggregate(tables, machine.start(F.lit(0)), lambda r, t: machine.join(r, F.get(t["_exit"], r["s"])))
+
+
+def _tables(exits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What is gathered per key: one short table per chunk."""
+    return exits.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(CHUNK, "_exit"))).alias("_tables"), F.sum("events").alias("events"))
+
+
+def replay(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
+    machine: Machine, chunks: int | None = None,
+) -> DataFrame:
+    """Final record per key after all its events in order, and their number."""
+    per_key = _tables(_exits(Chunked(rows, keys, order, chunks), fields, machine), keys)
+    return per_key.select(*keys, _composed(F.col("_tables"), machine).alias("record"), "events")
+
+
+def records_before(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str],
+    machine: Machine, which, chunks: int | None = None,
 ) -> DataFrame:
-    """Key, order and state before every event named ``which``, replayed as by ``replay_states``."""
+    """Key, order and record before every event for which ``which(event)`` holds."""
     c = Chunked(rows, keys, order, chunks)
-    tables = _exit_tables(c, event, states, step)
-    entries = tables.groupBy(*c.keys).agg(
-        F.array_sort(F.collect_list(F.struct(CHUNK, "_exit"))).alias("_tables")).select(
-        *c.keys, F.explode(F.transform(F.col("_tables"), lambda t, i: F.struct(
-            t[CHUNK].alias(CHUNK), F.aggregate(
-                F.slice("_tables", F.lit(1), i), F.lit(0), lambda s, b: F.get(b["_exit"], s)).alias("_entry")))).alias("_e"),
+    exits = _exits(c, fields, machine)
+    entries = _tables(exits, c.keys).select(*c.keys, F.explode(F.transform(F.col("_tables"), lambda t, i: F.struct(
+        t[CHUNK].alias(CHUNK), _composed(F.slice("_tables", F.lit(1), i), machine).alias("_entry")))).alias("_e"),
     ).select(*c.keys, "_e.*")
-    met = F.struct(*[F.col(f"_events.{o}")[0].alias(o) for o in c.order], F.lit(0).alias("state"))
-    start = F.struct(F.col("_entry").alias("s"), F.filter(F.array(met), lambda _: F.lit(False)).alias("met"))
+    met = F.struct(*[F.col(f"_events.{o}")[0].alias(o) for o in c.order], F.col("_entry").alias("record"))
+    # The entry record goes in as it is: from here on facts are whole, not relative.
+    start = F.struct(F.col("_entry").alias("r"), F.filter(F.array(met), lambda _: F.lit(False)).alias("met"))
 
     def walk(acc: Column, e: Column) -> Column:
-        now = F.struct(*[e[o].alias(o) for o in c.order], acc["s"].alias("state"))
-        return F.struct(step(acc["s"], e[event]).alias("s"), F.when(
-            e[event] == which, F.concat(acc["met"], F.array(now))).otherwise(acc["met"]).alias("met"))
+        now = F.struct(*[e[o].alias(o) for o in c.order], acc["r"].alias("record"))
+        return F.struct(machine.step(acc["r"], e).alias("r"), F.when(
+            which(e), F.concat(acc["met"], F.array(now))).otherwise(acc["met"]).alias("met"))
 
-    walked = tables.where(F.exists("_events", lambda e: e[event] == which)).join(entries, [*c.keys, CHUNK]).select(
+    walked = exits.where(F.exists("_events", which)).join(entries, [*c.keys, CHUNK]).select(
         *c.keys, F.explode(F.aggregate(F.col("_events"), start, walk)["met"]).alias("_m"))
     return walked.select(*c.keys, "_m.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions.urls import canonical_url
+from larder.operators import ledger as L
 from larder.operators.links import with_identity_key
 from larder.plans import duck as Q
 from larder.plans.ledger import SQL_EVENTS, job_events
@@ -47,7 +48,41 @@ r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, 'none' AS status, 0 AS at
 SELECT user_id, attempts, CAST(epoch_us(reclaimed_at) AS BIGINT) AS at_micros FROM r WHERE reclaimed_at IS NOT NULL""")
 def _(src):
     _, out = S.job_states(_job_stream(src), S.LEASE_SECONDS).run().result()
-    return out.select(F.col("job").alias("user_id"), "attempts", F.unix_micros("at").alias("at_micros"))
+    return _reached(out)
+
+
+def _reached(out):
+    return out.select(F.col("job").alias("user_id"), F.col("attempts").cast("int").alias("attempts"), F.unix_micros("at").alias("at_micros"))
+
+
+# Every event of a job with what is known of it afterwards, and when its next event comes.
+JOURNAL = f"""{SQL_EVENTS.replace("AS n FROM events", "AS n, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events")},
+wm AS (SELECT max(ts) - INTERVAL 15 MINUTE AS w FROM events),
+r AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, 'none' AS status, 0 AS attempts, CAST(NULL AS TIMESTAMP) AS created, CAST(NULL AS TIMESTAMP) AS updated, CAST(NULL AS TIMESTAMP) AS nxt FROM ev
+  UNION ALL SELECT user_id, n, now, CASE WHEN now = 'pending' AND event = 'submit' AND was <> now THEN 0 WHEN now = 'running' AND was = 'pending' THEN attempts + 1 ELSE attempts END,
+    CASE WHEN event = 'submit' AND was <> now THEN ts ELSE created END, CASE WHEN was <> now THEN ts ELSE updated END, nxt FROM (
+  SELECT r.user_id, e.n, e.ts, e.nxt, e.event, r.status AS was, r.attempts, r.created, r.updated, CASE WHEN event = 'submit' AND status NOT IN ('pending', 'running') THEN 'pending'
+    WHEN event = 'claim' AND status = 'pending' THEN 'running' WHEN status = 'running' AND event = 'succeed' THEN 'done'
+    WHEN status = 'running' AND event = 'not_recipe' THEN 'not_recipe' WHEN status = 'running' AND event = 'fail_permanent' THEN 'failed'
+    WHEN status = 'running' AND event = 'fail' THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END ELSE status END AS now
+  FROM r JOIN ev e ON e.user_id = r.user_id AND e.n = r.n + 1) s)"""
+
+
+@query("l3_retry_due_stream", f"""WITH RECURSIVE {JOURNAL},
+d AS (SELECT user_id, attempts, nxt, updated + to_seconds(CASE attempts WHEN 1 THEN 5 WHEN 2 THEN 30 ELSE 120 END) AS due FROM r WHERE status = 'pending' AND attempts > 0)
+SELECT DISTINCT user_id, attempts, CAST(epoch_us(due) AS BIGINT) AS at_micros FROM d WHERE due <= coalesce(nxt, (SELECT w FROM wm))""")
+def _(src):
+    _, out = S.timers(_job_stream(src), L.retry_due).run().result()
+    return _reached(out)
+
+
+@query("l7_timed_out_stream", f"""WITH RECURSIVE {JOURNAL},
+d AS (SELECT user_id, attempts, nxt, created + INTERVAL 180 SECOND AS due FROM r WHERE status IN ('pending', 'running')),
+f AS (SELECT user_id, due, attempts, nxt, row_number() OVER (PARTITION BY user_id, due ORDER BY nxt NULLS LAST) AS k FROM d WHERE due <= coalesce(nxt, (SELECT w FROM wm)))
+SELECT user_id, attempts, CAST(epoch_us(due) AS BIGINT) AS at_micros FROM f WHERE k = 1""")
+def _(src):
+    _, out = S.timers(_job_stream(src), L.timeout_due).run().result()
+    return _reached(out)
 
 
 @query("l8_stage_changes_stream", """WITH j AS (SELECT event_id, user_id, ts, CASE event_id % 4 WHEN 0 THEN 'fetching' WHEN 1 THEN 'transcribing' WHEN 2 THEN 'structuring' END AS stage

@@ -1,11 +1,17 @@
-"""Event streams folded in order: job states, leases, stage changes, counters, enqueue.
+"""Event streams folded in order: job states, leases, timers, stage changes, counters, enqueue.
 
 Each trigger is a batch of the operators that also run over whole histories, so
 hot keys are cut into chunks here as well and nothing runs row by row in Python.
 Events wait until the watermark has passed them and are applied in event order,
 whatever order they arrived in; events older than what has been applied go to a
-table of rejects. State, waiting events and outputs are tables numbered by
-trigger in the shared folder: a trigger that runs again replaces what it wrote.
+table of rejects.
+
+State is cut into buckets by hash of the key. A trigger reads and writes the buckets
+that its events fall into, and those in which a timer has come due; a manifest says
+which trigger wrote a bucket last and when its next timer is due. Idle keys are
+neither read nor written. State, manifest, waiting events and outputs are tables
+numbered by trigger in the shared folder: a trigger that runs again replaces what it
+wrote.
 """
 
 from __future__ import annotations
@@ -13,12 +19,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators import ledger as L
-from larder.operators.ordered import floored_counter, previous_value, replay_states, states_at
-from larder.session import scratch_path
+from larder.operators.ordered import floored_counter, previous_value, records_before, replay
+from larder.session import materialise, scratch_path
 
 LEASE_SECONDS = L.LEASE_SECONDS
 # How long events wait for earlier ones.
@@ -27,9 +33,12 @@ ORDER = ["ts", "event_id"]
 # A stored state comes before every event that follows it.
 STORED = -(1 << 63)
 LAST = (1 << 63) - 1
+# Parts that the state of a stream is cut into.
+BUCKETS = 256
+BUCKET = "_bucket"
 
-# (state so far, events in reach, watermark) -> (new state, output)
-Fold = Callable[[DataFrame, DataFrame, object], tuple[DataFrame, DataFrame]]
+# (state so far, events in reach, watermark before, watermark) -> (new state, output)
+Fold = Callable[[DataFrame, DataFrame, object, object], tuple[DataFrame, DataFrame]]
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema: str,
@@ -40,14 +49,26 @@ def event_stream(spark: SparkSession, folder: str, name: str, schema: str,
         f"{folder.rstrip('/')}/{name}[.]parquet")
 
 
+def bucket_of(key: str | Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
 class OrderedStream:
-    """A fold over an event stream, with its tables."""
+    """A fold over an event stream, with its tables. State and events have the key ``job``.
+
+    ``due`` gives, for a state row, when something happens to it without an event.
+    """
+
+    MANIFEST = "bucket INT, trigger INT, due TIMESTAMP"
 
     def __init__(self, events: DataFrame, fold: Fold, state: str, output: str,
-                 delay_seconds: int = DELAY_SECONDS, label: str = "stream"):
+                 delay_seconds: int = DELAY_SECONDS, label: str = "stream", due: Callable[[], Column] | None = None,
+                 buckets: int = BUCKETS):
         self.spark, self.events, self.fold = events.sparkSession, events, fold
         self.state_schema, self.output_schema = state, output
         self.delay, self.root = delay_seconds, scratch_path(self.spark, label)
+        self.due = due or (lambda: F.lit(None).cast("timestamp"))
+        self.buckets = buckets
 
     def _table(self, kind: str, number: int, schema) -> DataFrame:
         if number < 0:
@@ -61,6 +82,18 @@ class OrderedStream:
         """Watermark after a trigger: one value."""
         return self._table("mark", number, "mark timestamp").agg(F.max("mark")).first()[0]
 
+    def _state(self, manifest: list, touched: set[int] | None = None) -> DataFrame:
+        """The last version of the touched buckets, of all by default."""
+        paths = [f"{self.root}/state/trigger={r['trigger']}/{BUCKET}={r['bucket']}" for r in manifest
+                 if touched is None or r["bucket"] in touched]
+        if not paths:
+            return self.spark.createDataFrame([], self.state_schema)
+        return self.spark.read.schema(self.state_schema).parquet(*paths)
+
+    def _manifest(self, number: int) -> list:
+        """A row per bucket: bounded by their number."""
+        return self._table("manifest", number, self.MANIFEST).collect()
+
     def _trigger(self, batch: DataFrame, number: int) -> None:
         # What this trigger reads must not change if the source is read twice.
         self._write(batch, "arrived", number)
@@ -75,9 +108,24 @@ class OrderedStream:
         known = self._table("waiting", number - 1, schema).unionByName(arrived.where(~late))
         ready = F.col("ts") <= F.lit(mark) if mark is not None else F.lit(False)
         self._write(known.where(~ready), "waiting", number)
-        state, out = self.fold(self._table("state", number - 1, self.state_schema), known.where(ready), mark)
-        self._write(state, "state", number)
+        self._advance(known.where(ready), number, before, mark)
+
+    def _advance(self, ready: DataFrame, number: int, before, mark) -> None:
+        manifest = self._manifest(number - 1)
+        touched = {r[0] for r in ready.select(bucket_of("job", self.buckets)).distinct().collect()}
+        touched |= {r["bucket"] for r in manifest if r["due"] is not None and mark is not None and r["due"] <= mark}
+        state, out = self.fold(self._state(manifest, touched), ready, before, mark)
+        bucketed = state.withColumn(BUCKET, bucket_of("job", self.buckets))
+        bucketed.write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/state/trigger={number}")
         self._write(out, "output", number)
+        written = self.spark.read.schema(f"{self.state_schema}, {BUCKET} INT").parquet(f"{self.root}/state/trigger={number}")
+        # A timer that the watermark has passed has had its effect.
+        due = self.due()
+        due = F.when(due > F.lit(mark), due) if mark is not None else due
+        now = written.groupBy(F.col(BUCKET).alias("bucket")).agg(F.min(due).alias("due")).select(
+            "bucket", F.lit(number).alias("trigger"), "due")
+        kept = self.spark.createDataFrame([r for r in manifest if r["bucket"] not in touched], self.MANIFEST)
+        self._write(kept.unionByName(now).coalesce(1), "manifest", number)
 
     def run(self) -> "OrderedStream":
         """Process everything that is available."""
@@ -103,8 +151,8 @@ class OrderedStream:
         done = self._all("output", self.output_schema)
         if last < 0:
             return self.spark.createDataFrame([], self.state_schema), done
-        waiting = self._table("waiting", last, self.events.schema)
-        state, out = self.fold(self._table("state", last, self.state_schema), waiting, self._mark(last))
+        waiting, mark = self._table("waiting", last, self.events.schema), self._mark(last)
+        state, out = self.fold(self._state(self._manifest(last)), waiting, mark, mark)
         return state, done.unionByName(out)
 
     def rejects(self) -> DataFrame:
@@ -112,20 +160,26 @@ class OrderedStream:
         return self._all("rejects", self.events.schema)
 
 
-JOB_STATE = "job BIGINT, ts TIMESTAMP, code INT"
-JOB_OUTPUT = "job BIGINT, attempts INT, at TIMESTAMP"
+JOB_STATE = "job BIGINT, ts TIMESTAMP, s INT, n BIGINT, created TIMESTAMP, updated TIMESTAMP"
+JOB_OUTPUT = "job BIGINT, attempts BIGINT, at TIMESTAMP"
 
 
-def _job_fold(lease_seconds: int | None, chunks: int | None) -> Fold:
-    base = L.LEASED_BASE
-    states = len(L.STATUSES) * base
+def _known(state: DataFrame, events: DataFrame) -> DataFrame:
+    """Stored jobs as events that come before all others, and the events."""
+    stored = state.select("job", "ts", F.lit(STORED).alias("event_id"), F.lit(L.RESUME).alias("event"),
+                          F.struct("s", "n", "created", "updated").alias("held"))
+    return stored.unionByName(L.plain_events(events.select("job", "ts", "event_id", "event")))
+
+
+def _final(known: DataFrame, since: DataFrame, chunks: int | None) -> DataFrame:
+    final = replay(known, ["job"], ORDER, L.Jobs.FIELDS, L.Jobs(), chunks)
+    return final.join(since, "job").select("job", "ts", "record.s", "record.n", "record.created", "record.updated")
 
-    def step(state, event):
-        return L.replay_step(state, event, base)
 
-    def fold(state: DataFrame, events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
-        stored = state.select("job", "ts", F.lit(STORED).alias("event_id"), F.concat(F.lit("was:"), F.col("code")).alias("event"))
-        known = stored.unionByName(events.select("job", "ts", "event_id", "event"))
+def _job_fold(lease_seconds: int | None, chunks: int | None) -> Fold:
+
+    def fold(state: DataFrame, events: DataFrame, before, mark) -> tuple[DataFrame, DataFrame]:
+        known = _known(state, events)
         since = known.groupBy("job").agg(F.max("ts").alias("ts"))
         out = known.sparkSession.createDataFrame([], JOB_OUTPUT)
         if lease_seconds is not None:
@@ -135,35 +189,69 @@ def _job_fold(lease_seconds: int | None, chunks: int | None) -> Fold:
                 "job", (F.col("before") + lease).alias("ts"), "event_id", F.lit("expire").alias("event"))
             ended = since.where(F.col("ts") + lease <= F.lit(mark)).select(
                 "job", (F.col("ts") + lease).alias("ts"), F.lit(LAST).alias("event_id"), F.lit("expire").alias("event"))
-            known = known.unionByName(expired).unionByName(ended)
-            met = states_at(known, ["job"], ORDER, "event", states, step, "expire", chunks)
-            status, attempts = L.decode_state(F.col("state"), base)
-            out = met.where(status == "running").select("job", attempts, F.col("ts").alias("at"))
-        final = replay_states(known, ["job"], ORDER, "event", states, step, chunks)
-        return final.join(since, "job").select("job", "ts", F.col("state").cast("int").alias("code")), out
+            known = known.unionByName(L.plain_events(expired.unionByName(ended)))
+            met = records_before(known, ["job"], ORDER, L.Jobs.FIELDS, L.Jobs(), lambda e: e["event"] == "expire", chunks)
+            out = met.where(L.status_of(F.col("record.s")) == "running").select(
+                "job", F.col("record.n").alias("attempts"), F.col("ts").alias("at"))
+        return _final(known, since, chunks), out
 
     return fold
 
 
 def current(state: DataFrame) -> DataFrame:
     """Status and attempts of every job."""
-    return state.select("job", *L.decode_state(F.col("code"), L.LEASED_BASE))
+    return state.select("job", L.status_of(F.col("s")).alias("status"), F.col("n").cast("int").alias("attempts"))
 
 
 def job_states(events: DataFrame, lease_seconds: int | None = None, delay_seconds: int = DELAY_SECONDS,
-               chunks: int | None = None) -> OrderedStream:
+               chunks: int | None = None, buckets: int = BUCKETS) -> OrderedStream:
     """Job states from (job, ts, event_id, event); output: leases that ran out.
 
     A lease runs out between two events more than the lease apart, or once the
     watermark is past it.
     """
-    return OrderedStream(events, _job_fold(lease_seconds, chunks), JOB_STATE, JOB_OUTPUT, delay_seconds, "job-states")
+    def due() -> Column:
+        running = L.status_of(F.col("s")) == "running"
+        return F.when(running, F.col("ts") + F.expr(f"INTERVAL {lease_seconds} SECOND"))
+
+    return OrderedStream(events, _job_fold(lease_seconds, chunks), JOB_STATE, JOB_OUTPUT, delay_seconds, "job-states",
+                         due if lease_seconds is not None else None, buckets)
+
+
+def timers(events: DataFrame, due: Callable[[Column], Column], delay_seconds: int = DELAY_SECONDS,
+           chunks: int | None = None, buckets: int = BUCKETS) -> OrderedStream:
+    """Output: (job, attempts, at) when a job's timer comes due, whether or not any event of it follows.
+
+    ``due(record)`` says when, from what is known of a job; a job that moves on before has
+    no timer any more. A timer goes off before events of the same time, each once: a
+    trigger gives those that its watermark has passed and the one before had not.
+    """
+
+    def fold(state: DataFrame, events: DataFrame, before, mark) -> tuple[DataFrame, DataFrame]:
+        known = materialise(_known(state, events), "timer-events")
+        since = known.groupBy("job").agg(F.max("ts").alias("ts"))
+        final = materialise(_final(known, since, chunks), "timer-states")
+        met = records_before(known, ["job"], ORDER, L.Jobs.FIELDS, L.Jobs(), lambda e: e["event"] != L.RESUME, chunks)
+        passed = met.withColumn("at", due(F.col("record"))).where(F.col("at") <= F.col("ts")).select(
+            "job", F.col("record.n").alias("attempts"), "at", *ORDER)
+        record = F.struct("s", "n", "created", "updated")
+        left = final.withColumn("record", record).withColumn("at", due(F.col("record"))).where(
+            F.col("at") <= F.lit(mark)).select("job", F.col("n").alias("attempts"), "at", "ts", F.lit(LAST).alias("event_id"))
+        # A timer that outlives several events is seen before each of them: the first tells the attempts.
+        out = passed.unionByName(left).groupBy("job", "at").agg(
+            F.min_by("attempts", F.struct(*ORDER)).alias("attempts")).select("job", "attempts", "at")
+        if before is not None:
+            out = out.where(F.col("at") > F.lit(before))
+        return final, out
+
+    return OrderedStream(events, fold, JOB_STATE, JOB_OUTPUT, delay_seconds, "timers",
+                         lambda: due(F.struct("s", "n", "created", "updated")), buckets)
 
 
 def stage_changes(events: DataFrame, delay_seconds: int = DELAY_SECONDS, chunks: int | None = None) -> OrderedStream:
     """Output: the events (job, ts, event_id, stage) that announce a new stage."""
 
-    def fold(state: DataFrame, events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
+    def fold(state: DataFrame, events: DataFrame, before, mark) -> tuple[DataFrame, DataFrame]:
         stored = state.withColumn("event_id", F.lit(STORED))
         known = stored.unionByName(events.where(F.col("stage").isNotNull()).select("job", "ts", "stage", "event_id"))
         seen = previous_value(known, ["job"], ORDER, "stage", "before", chunks)
@@ -178,7 +266,7 @@ def stage_changes(events: DataFrame, delay_seconds: int = DELAY_SECONDS, chunks:
 def floored_counts(events: DataFrame, delay_seconds: int = DELAY_SECONDS, chunks: int | None = None) -> OrderedStream:
     """State: floored counter and time of its last rise per job, from (job, ts, event_id, d)."""
 
-    def fold(state: DataFrame, events: DataFrame, mark) -> tuple[DataFrame, DataFrame]:
+    def fold(state: DataFrame, events: DataFrame, before, mark) -> tuple[DataFrame, DataFrame]:
         stored = state.select("job", F.col("last_cooked_at").alias("ts"), F.lit(STORED).alias("event_id"),
                               F.col("cooked_count").cast("int").alias("d"))
         known = stored.unionByName(events.select("job", "ts", "event_id", F.col("d").cast("int").alias("d")))
@@ -191,7 +279,7 @@ def floored_counts(events: DataFrame, delay_seconds: int = DELAY_SECONDS, chunks
 
 
 def enqueue(links: DataFrame, saved: DataFrame, jobs: DataFrame, key: str, saved_key: str, job_key: str,
-            label: str = "enqueue") -> DataFrame:
+            label: str = "enqueue", buckets: int = BUCKETS) -> DataFrame:
     """Keys to enqueue, each once: not saved, no open job, and not enqueued by an earlier trigger.
 
     A trigger compares with what the stream itself has written, so it makes no
@@ -206,17 +294,20 @@ def enqueue(links: DataFrame, saved: DataFrame, jobs: DataFrame, key: str, saved
 
     def written() -> DataFrame:
         try:
-            return spark.read.schema(f"{schema}, trigger INT").parquet(f"{root}/out")
+            return spark.read.schema(f"{schema}, {BUCKET} INT, trigger INT").parquet(f"{root}/out")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], f"{schema}, trigger INT")
+            return spark.createDataFrame([], f"{schema}, {BUCKET} INT, trigger INT")
 
     def trigger(batch: DataFrame, number: int) -> None:
-        before = written().where(F.col("trigger") < number).select(key)
-        fresh = batch.where(F.col(key).isNotNull()).select(key).distinct()
-        fresh.join(taken, key, "left_anti").join(before, key, "left_anti").write.mode("overwrite").parquet(
-            f"{root}/out/trigger={number}")
+        fresh = materialise(batch.where(F.col(key).isNotNull()).select(key).distinct().withColumn(
+            BUCKET, bucket_of(key, buckets)), "fresh")
+        touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
+        # Only the buckets of this trigger's keys are read; a trigger that runs again does not see itself.
+        before = written().where(F.col(BUCKET).isin(touched) & (F.col("trigger") < number)).select(key)
+        new = fresh.join(taken, key, "left_anti").join(before, key, "left_anti").withColumn("trigger", F.lit(number))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, "trigger").parquet(f"{root}/out")
 
     links.writeStream.foreachBatch(trigger).option("checkpointLocation", f"{root}/progress").trigger(
         availableNow=True).start().awaitTermination()

@@ -1,11 +1,13 @@
 """Streams in several triggers and any order of arrival, against a plain replay."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from larder.operators import ledger as L
 from larder.streaming import jobs as S
 
 SCHEMA = "job BIGINT, ts TIMESTAMP, event_id BIGINT, event STRING, stage STRING, d INT"
@@ -119,6 +121,92 @@ def test_floored_counts(spark, tmp_path, triggers, delay):
     assert {r["job"]: (r["cooked_count"], r["last_cooked_at"]) for r in stream.result()[0].collect()} == want
 
 
+def dues(rows, kind, mark):
+    """Timers that go off, by walking from event to event: (job, attempts, time)."""
+    jobs, out = {}, set()
+    for r in sorted(rows, key=lambda r: (r[1], r[2])):
+        jobs.setdefault(r[0], []).append(r)
+    for job, mine in jobs.items():
+        status, attempts, created, updated = "none", 0, None, None
+        for i, (_, ts, _, event, *_) in enumerate(mine):
+            before = status, attempts
+            status, attempts = step(status, attempts, event)
+            if (status, attempts) != before:
+                updated, created = ts, ts if event == "submit" else created
+            end = mine[i + 1][1] if i + 1 < len(mine) else mark
+            if kind == "retry" and status == "pending" and attempts:
+                due = updated + dt.timedelta(seconds=[5, 30, 120][min(attempts, 3) - 1])
+            elif kind == "timeout" and status in ("pending", "running"):
+                due = created + dt.timedelta(seconds=180)
+            else:
+                continue
+            if due <= end and not any(o[0] == job and o[2] == due for o in out):
+                out.add((job, attempts, due))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("kind", ["retry", "timeout"])
+def test_timers(spark, tmp_path, kind, triggers=2, chunks=3):
+    rows = events(3, 300, 3)
+    due = {"retry": L.retry_due, "timeout": L.timeout_due}[kind]
+    stream = S.timers(streamed(spark, tmp_path, rows, triggers), due, 30000, chunks, 3).run()
+    late = {r["event_id"] for r in stream.rejects().collect()}
+    mark = max(r[1] for r in rows) - dt.timedelta(seconds=30000)
+    want = dues([r for r in rows if r[2] not in late], kind, mark)
+    got = sorted((r["job"], r["attempts"], r["at"]) for r in stream.result()[1].collect())
+    assert got == want and want
+
+
+def in_files(spark, tmp_path, *frames):
+    """A folder of files, one per trigger."""
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    for i, df in enumerate(frames):
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{i}"))
+        for f in (tmp_path / f"part{i}").glob("part-*.parquet"):
+            f.rename(folder / f"{i:03d}.parquet")
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_a_timer_goes_off_when_nothing_of_the_job_follows(spark, tmp_path):
+    at = lambda s: START + dt.timedelta(seconds=s)
+    first = [(1, at(0), 1, "submit", None, 0), (2, at(1), 2, "submit", None, 0)]
+    other = [(3, at(5000), 3, "submit", None, 0)]
+    frames = [spark.createDataFrame(rows, SCHEMA) for rows in (first, other, [(3, at(9000), 4, "claim", None, 0)])]
+    stream = S.timers(in_files(spark, tmp_path, *frames), L.timeout_due, 60).run()
+    # The second trigger emits it: neither the end of the stream nor an event of the job is needed.
+    second = spark.read.parquet(f"{stream.root}/output/trigger=1").collect()
+    assert sorted((r["job"], r["at"]) for r in second) == [(1, at(180)), (2, at(181))]
+    assert sorted(r["job"] for r in stream.result()[1].collect()) == [1, 2, 3]
+
+
+def test_attempts_are_not_bounded(spark, tmp_path):
+    """A job that is claimed and left alone 200 times."""
+    rows = [(7, START, 0, "submit", None, 0)]
+    rows += [(7, START + dt.timedelta(hours=i + 1), i + 1, "claim", None, 0) for i in range(200)]
+    stream = S.job_states(streamed(spark, tmp_path, rows, 2), S.LEASE_SECONDS, YEARS, 5).run()
+    state, out = stream.result()
+    assert [tuple(r) for r in S.current(state).collect()] == [(7, "running", 200)]
+    assert sorted(r["attempts"] for r in out.collect()) == list(range(1, 200))
+
+
+def test_idle_keys_are_neither_read_nor_written(spark, tmp_path):
+    """A million idle jobs, then a trigger with three events."""
+    idle = spark.range(1_000_000).select(
+        F.col("id").alias("job"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"), F.col("id").alias("event_id"),
+        F.lit("submit").alias("event"), F.lit(None).cast("string").alias("stage"), F.lit(1).alias("d"))
+    few = spark.createDataFrame([(i, START + dt.timedelta(days=i), 2_000_000 + i, "claim", None, 1) for i in range(3)], SCHEMA)
+    stream = S.floored_counts(in_files(spark, tmp_path, idle, few), 0).run()
+
+    def size(trigger):
+        return sum(f.stat().st_size for f in (pathlib.Path(stream.root.removeprefix("file:")) / f"state/trigger={trigger}").rglob("*.parquet"))
+
+    touched = {r[0] for r in few.select(S.bucket_of("job", S.BUCKETS)).distinct().collect()}
+    assert 0 < size(1) < size(0) * 2 * len(touched) / S.BUCKETS
+    state, _ = stream.result()
+    assert state.count() == 1_000_000 and {r["job"] for r in state.where("cooked_count = 2").collect()} == {0, 1, 2}
+
+
 def test_enqueue_once_over_all_triggers(spark, tmp_path):
     rows = events(3, 60)
     keyed = streamed(spark, tmp_path, rows, 4).select(F.concat(F.lit("k"), (F.col("event_id") % 20).cast("string")).alias("key"))
