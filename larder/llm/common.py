@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,31 @@ def numbered(df: DataFrame, row: str) -> DataFrame:
 
 def columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
+
+
+# Matrices that are added up in one step, and how they travel.
+FAN = 64
+LINES = "line int, task int, values array<double>"
+
+
+def sent(matrix: np.ndarray) -> pa.RecordBatch:
+    """A task's matrix as rows ``LINES``."""
+    return pa.record_batch([
+        pa.array(range(len(matrix)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(matrix), pa.int32()),
+        pa.array(list(matrix), pa.list_(pa.float64()))], ["line", "task", "values"])
+
+
+def summed(parts: DataFrame, lines: int, width: int | None = None) -> np.ndarray:
+    """The matrices that tasks sent, added up; only one matrix reaches the driver."""
+
+    def add(table: pa.Table) -> pa.Table:
+        column = table.column("values").combine_chunks()
+        values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return pa.table({"line": table.column("line")[:1], "task": table.column("task")[:1],
+                         "values": pa.array([values.sum(axis=0)], pa.list_(pa.float64()))})
+
+    near = parts.withColumn("task", F.expr(f"task div {FAN}").cast("int")).groupBy("line", "task").applyInArrow(add, LINES)
+    out = np.zeros((lines, width or lines))
+    for r in near.groupBy("line").applyInArrow(add, LINES).collect():
+        out[r["line"]] = r["values"]
+    return out

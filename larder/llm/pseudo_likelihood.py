@@ -9,8 +9,8 @@ Vocabulary, counts and training cover the whole corpus. The network starts from
 the frequencies of the tokens. Each round every partition trains on its own
 documents, a hash-chosen share of the positions masked; the shares of the rounds
 are disjoint and together all positions. The parameters are averaged by weight of the
-positions seen: distributed, as rows (parameter, value), so the driver only gets
-one network.
+positions seen: distributed, as lines of parameters that are added up in two steps, so
+the driver only gets one network.
 
 * Null, empty and wordless texts have no tokens and a log-likelihood of zero;
   their mean is null.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import LETTERS, utf8
+from larder.llm.common import LETTERS, LINES, sent, summed, utf8
 from larder.session import materialise
 
 WINDOW = 2
@@ -40,7 +40,9 @@ SIZE = CLASSES * MEMBERS
 PAD, OTHER = 0, 1
 # Rounds times share is one: every position is a target once.
 ROUNDS, MASKED = 2, 0.5
-STEP, RATE = 1024, 0.2
+STEP, RATE = 4096, 0.2
+# Parameters that travel together.
+LINE = 1 << 12
 # Tokens scored at a time.
 BLOCK = 1 << 14
 # Symbols of a spelling: the bytes that words have, from one; zero is the end of a word.
@@ -194,9 +196,14 @@ def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 _AROUND = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability of one entry of every column, and the probabilities of all, made in place."""
+    x -= x.max(axis=0)
+    score = x[target, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    x /= total
+    return score - np.log(total), x
 
 
 def _runs(groups: np.ndarray):
@@ -208,47 +215,64 @@ def _runs(groups: np.ndarray):
 
 
 def forward(net: Network, flat: np.ndarray, places: np.ndarray):
-    """Log-probability of the tokens at ``places``, sorted by class, and what the gradient needs."""
+    """Log-probability of the tokens at ``places``, sorted by class, and what the gradient needs.
+
+    Classes and members stand in rows, tokens in columns: sums over them run along memory.
+    """
     targets = flat[places]
-    order = np.argsort(targets // MEMBERS, kind="stable")
+    order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
     places, targets = places[order], targets[order]
     around = flat[places[:, None] + _AROUND]
-    x = net["embed"][around].reshape(len(places), -1)
-    hidden = np.tanh(x @ net["inner"] + net["inner_b"])
+    x = net["embed"].take(around, axis=0).reshape(len(places), -1)
+    hidden = x @ net["inner"]
+    hidden += net["inner_b"]
+    np.tanh(hidden, out=hidden)
     group, member = targets // MEMBERS, targets % MEMBERS
-    of_group = _log_softmax(hidden @ net["group"] + net["group_b"])
-    of_member = np.empty((len(places), MEMBERS), np.float32)
-    for g, rows in _runs(group):
-        of_member[rows] = hidden[rows] @ net["member"][g] + net["member_b"][g]
-    of_member = _log_softmax(of_member)
+    of_group = net["group"].T @ hidden.T
+    of_group += net["group_b"][:, None]
+    of_member = np.empty((len(places), MEMBERS), hidden.dtype)
+    for g, some in _runs(group):
+        np.matmul(hidden[some], net["member"][g], out=of_member[some])
+        of_member[some] += net["member_b"][g]
+    # Sums over members run along memory as well.
+    of_member = np.ascontiguousarray(of_member.T)
     at = np.arange(len(places))
-    score = of_group[at, group] + of_member[at, member]
-    return score, order, (around, x, hidden, group, member, of_group, of_member)
-
-
-def gradient(net: Network, flat: np.ndarray, places: np.ndarray) -> Network:
-    """Gradient of the mean negative log-probability of the tokens at ``places``."""
-    _, _, (around, x, hidden, group, member, of_group, of_member) = forward(net, flat, places)
-    n, at = len(places), np.arange(len(places))
-    d_group, d_member = np.exp(of_group) / n, np.exp(of_member) / n
-    d_group[at, group] -= 1 / n
-    d_member[at, member] -= 1 / n
-    out = {"group": hidden.T @ d_group, "group_b": d_group.sum(0),
-           "member": np.zeros(SHAPES["member"], np.float32), "member_b": np.zeros(SHAPES["member_b"], np.float32)}
-    d_hidden = d_group @ net["group"].T
-    for g, rows in _runs(group):
-        out["member"][g] = hidden[rows].T @ d_member[rows]
-        out["member_b"][g] = d_member[rows].sum(0)
-        d_hidden[rows] += d_member[rows] @ net["member"][g].T
-    d_inner = d_hidden * (1 - hidden * hidden)
-    out["inner"], out["inner_b"] = x.T @ d_inner, d_inner.sum(0)
-    d_x = (d_inner @ net["inner"].T).reshape(-1, EMBED)
+    score, of_group = _softmax(of_group, at, group)
+    inside, of_member = _softmax(of_member, at, member)
+    return score + inside, order, (around, x, hidden, group, member, of_group, of_member)
+
+
+def gradient(net: Network, flat: np.ndarray, places: np.ndarray) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
+    """Gradient of the mean negative log-probability of the tokens at ``places``.
+
+    Per parameter the rows it touches and their values: words and classes that do not
+    occur have none.
+    """
+    _, _, (around, x, hidden, group, member, d_group, d_member) = forward(net, flat, places)
+    n, at, everything = len(places), np.arange(len(places)), slice(None)
+    d_group[group, at] -= 1
+    d_member[member, at] -= 1
+    d_group /= n
+    d_member /= n
+    runs = list(_runs(group))
+    classes = np.array([g for g, _ in runs])
+    d_hidden = (net["group"] @ d_group).T
+    d_member = np.ascontiguousarray(d_member.T)
+    of_class, of_class_b = (
+        np.empty((len(runs), *shape), hidden.dtype) for shape in ((HIDDEN, MEMBERS), (MEMBERS,)))
+    for i, (g, some) in enumerate(runs):
+        np.matmul(hidden[some].T, d_member[some], out=of_class[i])
+        d_member[some].sum(axis=0, out=of_class_b[i])
+        d_hidden[some] += d_member[some] @ net["member"][g].T
+    d_hidden *= 1 - hidden * hidden
+    d_x = (d_hidden @ net["inner"].T).reshape(-1, EMBED)
     ids = around.ravel()
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
     first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    out["embed"] = np.zeros(SHAPES["embed"], np.float32)
-    out["embed"][ids[order][first]] = np.add.reduceat(d_x[order], first)
-    return out
+    return {"group": (everything, (d_group @ hidden).T), "group_b": (everything, d_group.sum(axis=1)),
+            "member": (classes, of_class), "member_b": (classes, of_class_b),
+            "inner": (everything, x.T @ d_hidden), "inner_b": (everything, d_hidden.sum(0)),
+            "embed": (ids[order][first], np.add.reduceat(d_x.take(order, axis=0), first))}
 
 
 class Adagrad:
@@ -257,9 +281,9 @@ class Adagrad:
         self.seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in net.items()}
 
     def step(self, flat: np.ndarray, places: np.ndarray) -> None:
-        for k, g in gradient(self.net, flat, places).items():
-            self.seen[k] += g * g
-            self.net[k] -= RATE * g / np.sqrt(self.seen[k])
+        for k, (rows, g) in gradient(self.net, flat, places).items():
+            self.seen[k][rows] += g * g
+            self.net[k][rows] -= RATE * g / np.sqrt(self.seen[k][rows])
 
 
 def masks(text: np.ndarray, number: int, masked: float) -> np.ndarray:
@@ -303,17 +327,15 @@ def train(coded: DataFrame, rounds: int = ROUNDS, masked: float = MASKED) -> Net
                     learner.step(flat, chosen[at:at + STEP])
                 n += len(chosen)
             if n:
-                yield pa.record_batch([pa.array(np.arange(len(start)), pa.int32()),
-                                       pa.array(flatten(learner.net).astype(np.float64) * n),
-                                       pa.array(np.full(len(start), n, np.int64))], ["at", "value", "n"])
+                # The weight goes behind the parameters, and all of them as a few long lines.
+                sums = np.append(flatten(learner.net).astype(np.float64) * n, n)
+                yield sent(np.pad(sums, (0, -len(sums) % LINE)).reshape(-1, LINE))
 
-        sums = coded.select("ids").mapInArrow(local, "at int, value double, n long")
-        mean = sums.groupBy("at").agg((F.sum("value") / F.sum("n")).alias("value")).toArrow()
-        if not mean.num_rows:
+        lines = -(-(len(start) + 1) // LINE)
+        sums = summed(coded.select("ids").mapInArrow(local, LINES), lines, LINE).ravel()
+        if not sums[len(start)]:
             break
-        values = np.empty(len(start))
-        values[mean["at"].to_numpy()] = mean["value"].to_numpy()
-        net = unflatten(values)
+        net = unflatten(sums[:len(start)] / sums[len(start)])
     return net
 
 

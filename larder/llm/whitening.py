@@ -27,11 +27,11 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from larder.llm.common import LINES, sent, summed
 from larder.session import materialise, ship_package
 
 SCALE, SHIFT = 64, 1_000_000
@@ -40,8 +40,6 @@ COMPONENTS = 32
 FLAT = 1e-11
 # Eigenvalues nearer than this share of the norm are one cluster.
 CLUSTER = 1e-3
-# Matrices that are added up in one step.
-FAN = 64
 # Numbers that a task holds of vectors of other lengths before it sends them on.
 HELD = 1 << 20
 # Long range, less what is added to it.
@@ -102,29 +100,6 @@ def totals(rows: DataFrame, vector: str) -> tuple[int, list[int]]:
     return most["n"], [int(r["total"]) for r in found]
 
 
-def summed(parts: DataFrame, size: int) -> np.ndarray:
-    """Matrices sent as (line, task, values), added up; only one matrix reaches the driver."""
-
-    def add(table: pa.Table) -> pa.Table:
-        column = table.column("values").combine_chunks()
-        values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-        return pa.table({"line": table.column("line")[:1], "task": table.column("task")[:1],
-                         "values": pa.array([values.sum(axis=0)], pa.list_(pa.float64()))})
-
-    shape = "line int, task int, values array<double>"
-    near = parts.withColumn("task", F.expr(f"task div {FAN}").cast("int")).groupBy("line", "task").applyInArrow(add, shape)
-    out = np.zeros((size, size))
-    for r in near.groupBy("line").applyInArrow(add, shape).collect():
-        out[r["line"]] = r["values"]
-    return out
-
-
-def _sent(matrix: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([
-        pa.array(range(len(matrix)), pa.int32()), pa.array([TaskContext.get().partitionId()] * len(matrix), pa.int32()),
-        pa.array(list(matrix), pa.list_(pa.float64()))], ["line", "task", "values"])
-
-
 def products(rows: DataFrame, vector: str, centre: np.ndarray) -> np.ndarray:
     """Sum over the vectors of the products of their centred entries."""
     size = len(centre)
@@ -137,9 +112,9 @@ def products(rows: DataFrame, vector: str, centre: np.ndarray) -> np.ndarray:
                     y = (fixed(c) - centre).astype(np.float64)
                     total += y.T @ y
         if total.any():
-            yield _sent(total)
+            yield sent(total)
 
-    return summed(rows.select(vector).mapInArrow(add, "line int, task int, values array<double>"), size)
+    return summed(rows.select(vector).mapInArrow(add, LINES), size)
 
 
 def tridiagonal(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -311,9 +286,9 @@ def identity_error(rows: DataFrame, model: Whitening, vector: str = "embedding")
                     z = np.pad(shared.value.project(fixed(c)), ((0, 0), (0, 1)), constant_values=1.0)
                     total, used = total + z.T @ z, True
         if used:
-            yield _sent(total)
+            yield sent(total)
 
-    sums = summed(rows.select(vector).mapInArrow(add, "line int, task int, values array<double>"), k + 1) / model.n
+    sums = summed(rows.select(vector).mapInArrow(add, LINES), k + 1) / model.n
     return float(np.abs(sums[:k, :k] - np.outer(sums[:k, k], sums[:k, k]) - np.eye(k)).max(initial=0.0))
 
 

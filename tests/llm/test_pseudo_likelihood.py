@@ -52,7 +52,10 @@ def test_gradient():
     net = {k: v.astype(np.float64) for k, v in lm.initial().items()}
     flat, places = lm.padded([rng.integers(1, lm.SIZE, 30), rng.integers(1, lm.SIZE, 0), rng.integers(1, lm.SIZE, 5)])
     assert len(places) == 35 and (flat[places] > 0).all()
-    grad = lm.gradient(net, flat, places)
+    grad = {}
+    for k, (rows, values) in lm.gradient(net, flat, places).items():
+        grad[k] = np.zeros(net[k].shape)
+        grad[k][rows] = values
     for k in lm.SHAPES:
         at = np.unravel_index(np.argmax(np.abs(grad[k])), grad[k].shape)
         ends = []
