@@ -9,7 +9,9 @@ gender and script. One entity has one replacement in all documents.
 Distinct entities may draw the same replacement, or one that is somebody's real
 datum. All entities of the corpus are therefore compared: of those that share a
 replacement one keeps it, the others, and those that hit a real entity, draw
-again until none is left. Only entities that had to draw again are handed to the
+again. Where a format is nearly used up, those left draw many replacements at once and
+share out the free ones; where a few thousand draws find none, the replacement gets
+longer (a name, a number, a mailbox, a secret), so there is always one. Only entities that had to draw again are handed to the
 documents, by a join; everything else a task draws by itself.
 
 * Null texts count as empty and become empty; texts without entities do not change.
@@ -28,7 +30,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import whole
@@ -36,8 +38,11 @@ from larder.session import materialise
 
 # Stands for the secret of an installation.
 KEY = "larder-surrogates"
-# Draws after which the format is taken to be exhausted.
-MOST_DRAWS = 40
+# Draws one by one; after them entities still without a replacement choose among many draws at once.
+DRAWS = 8
+MANY = (64, 512, 4096)
+# From this draw on a replacement is one character longer, from twice as many two.
+LONGER = 1 << 20
 
 # Forms of address by gender. Those of the last group follow the name.
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Signor", "господин", "г-н", "κύριος")
@@ -282,9 +287,9 @@ class Draw:
 
 def surrogate(key: str, kind: str, hint: str, canon: str, draw: int = 0) -> str:
     """Replacement of an entity in canonical spelling, the ``draw``-th one."""
-    rng = Draw(key, kind, canon, draw)
+    rng, more = Draw(key, kind, canon, draw), draw // LONGER
     if kind in ("phone", "card"):
-        digits = str(1 + rng.below(9)) + "".join(str(rng.below(10)) for _ in canon[1:])
+        digits = str(1 + rng.below(9)) + "".join(str(rng.below(10)) for _ in range(len(canon) - 1 + more))
         if kind == "card":
             digits = next(digits[:-1] + str(d) for d in range(10) if luhn(digits[:-1] + str(d)))
             if not luhn(canon):
@@ -299,14 +304,15 @@ def surrogate(key: str, kind: str, hint: str, canon: str, draw: int = 0) -> str:
         local, domain = canon.rsplit("@", 1)
         named = Draw(key, "domain", domain, 0)
         labels = domain.split(".")
-        return rng.like(local) + "@" + ".".join([*(named.like(part) for part in labels[:-1]), labels[-1]])
+        return rng.like(local + "a" * more) + "@" + ".".join([*(named.like(part) for part in labels[:-1]), labels[-1]])
     if kind == "secret":
-        return rng.like(canon)
+        return rng.like(canon + "0" * more)
+    more = min(draw // 8, 4) if draw < LONGER else more + 4
     table = SYLLABLES[script(canon)]
     if script(canon) == "han":
-        body = "".join(table[rng.below(len(table))] for _ in range(max(1, len(canon) - (kind == "given")) + draw // 8))
+        body = "".join(table[rng.below(len(table))] for _ in range(max(1, len(canon) - (kind == "given")) + more))
     else:
-        body = "".join(table[rng.below(len(table))] for _ in range(2 + draw // 8 + (kind == "surname")))
+        body = "".join(table[rng.below(len(table))] for _ in range(2 + more + (kind == "surname")))
     ends = ENDINGS[script(canon)][hint] if kind == "given" else FAMILY[script(canon)]
     return body + ends[rng.below(len(ends))]
 
@@ -330,12 +336,12 @@ def fit(original: str, kind: str, replacement: str) -> str:
     """The canonical replacement in the spelling of the place: separators and letter case."""
     if kind in ("phone", "card", "iban"):
         left = iter(replacement)
-        return "".join(next(left) if c.isalnum() else c for c in original)
+        return "".join(next(left) if c.isalnum() else c for c in original) + "".join(left)
     if kind in ("given", "surname"):
         if original.isupper() and len(original) > 1:
             return replacement.upper()
         return replacement[:1].upper() + replacement[1:] if original[:1].isupper() else replacement
-    if kind == "email":
+    if kind == "email" and len(original) == len(replacement):
         return "".join(r.upper() if o.isupper() else r for o, r in zip(original, replacement))
     return replacement
 
@@ -386,24 +392,56 @@ def assigned(found: DataFrame, key: str = KEY, collide=surrogate) -> DataFrame:
         return pa.array([collide(key, *row) for row in zip(*(c.to_pylist() for c in (kind, hint, canon, draw)))], pa.string())
 
     draw = F.arrow_udf(drawn, "string")("kind", "hint", "canon", "draw")
+    entity = ("kind", "hint", "canon", "draw", "surrogate")
     # A name met with different forms of address is one entity; a known gender wins.
     state = materialise(found.groupBy("kind", "canon").agg(F.max("hint").alias("hint")).withColumn(
         "draw", F.lit(0)).withColumn("surrogate", draw), "entities")
-    for _ in range(MOST_DRAWS):
-        folded = state.withColumn("seen", F.when(F.col("kind").isin("secret"), F.col("surrogate")).otherwise(F.lower("surrogate")))
+    real = state.select("kind", F.col("canon").alias("seen"))
+
+    def seen(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("seen", F.when(F.col("kind").isin("secret"), F.col("surrogate")).otherwise(F.lower("surrogate")))
+
+    def judge(rows: DataFrame) -> DataFrame:
+        """``redo``: the replacement is another entity's, or a real datum."""
+        folded = seen(rows)
         shared = folded.groupBy("kind", "seen").agg(
             F.count("*").alias("n"), F.min(F.struct("draw", "canon")).alias("owner")).where("n > 1")
-        real = folded.select("kind", F.col("canon").alias("seen"), F.lit(True).alias("real"))
-        judged = folded.join(shared, ["kind", "seen"], "left").join(real, ["kind", "seen"], "left")
+        hit = folded.join(shared, ["kind", "seen"], "left").join(real.withColumn("real", F.lit(True)), ["kind", "seen"], "left")
         redo = F.coalesce("real", F.lit(False)) | (F.col("n").isNotNull() & (F.col("owner.canon") != F.col("canon")))
-        judged = materialise(judged.select("kind", "hint", "canon", "draw", "surrogate", redo.alias("redo")), "judged")
-        if judged.where("redo").isEmpty():
-            return judged.drop("redo")
-        state = materialise(
-            judged.where("not redo").drop("redo").unionByName(
-                judged.where("redo").select("kind", "hint", "canon", (F.col("draw") + 1).alias("draw")).withColumn("surrogate", draw)),
-            "entities")
-    raise ValueError("a format has fewer replacements than entities")
+        return materialise(hit.select(*entity, redo.alias("redo")), "judged")
+
+    def again(judged: DataFrame, number: Column) -> DataFrame:
+        return materialise(judged.where("not redo").drop("redo").unionByName(judged.where("redo").select(
+            "kind", "hint", "canon", number.cast("int").alias("draw")).withColumn("surrogate", draw)), "entities")
+
+    while True:
+        for _ in range(DRAWS):
+            judged = judge(state)
+            if judged.where("redo").isEmpty():
+                return judged.drop("redo")
+            state = again(judged, F.col("draw") + 1)
+        judged = judge(state)
+        kept, left = judged.where("not redo").drop("redo"), judged.where("redo").select("kind", "hint", "canon", "draw")
+        for many in MANY:
+            while not left.isEmpty():
+                offers = seen(left.withColumn("draw", F.explode(F.sequence(F.col("draw") + 1, F.col("draw") + many))).withColumn(
+                    "surrogate", draw))
+                free = offers.join(seen(kept).select("kind", "seen"), ["kind", "seen"], "left_anti").join(
+                    real, ["kind", "seen"], "left_anti")
+                # A free replacement goes to one of those that drew it, by hash; each takes the first it got.
+                mine = free.groupBy("kind", "seen").agg(F.min_by(F.struct(*entity), F.xxhash64("seen", "canon", "draw")).alias("e"))
+                took = materialise(mine.groupBy(F.col("e.kind").alias("kind"), F.col("e.canon").alias("canon")).agg(
+                    F.min_by("e", "e.draw").alias("e")).select("e.*"), "taken")
+                if took.isEmpty():
+                    break
+                kept = materialise(kept.unionByName(took), "entities")
+                left = materialise(left.join(took, ["kind", "canon"], "left_anti").withColumn("draw", F.col("draw") + many), "left")
+        if left.isEmpty():
+            return kept
+        # These formats are full: the rest of their entities get longer replacements.
+        longer = (F.floor(F.col("draw") / LONGER) + 1) * LONGER
+        state = again(kept.withColumn("redo", F.lit(False)).unionByName(
+            left.withColumn("surrogate", F.lit("")).withColumn("redo", F.lit(True))), longer)
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:

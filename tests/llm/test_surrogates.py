@@ -60,11 +60,29 @@ def test_collisions_are_drawn_again(spark):
     assert any(r["draw"] for r in got) and any(not r["draw"] for r in got)
 
 
-def test_formats_that_run_out_are_reported(spark, monkeypatch):
-    monkeypatch.setattr(s, "MOST_DRAWS", 3)
-    found = spark.createDataFrame([(1, "phone", "", "1"), (2, "phone", "", "2")], "row long, kind string, hint string, canon string")
-    with pytest.raises(ValueError):
-        s.assigned(found, collide=lambda *a: "7")
+def test_dense_formats_are_shared_out(spark):
+    """All 26 one-letter mailboxes of each domain: as many places as there are mailboxes."""
+    canons = [f"{chr(97 + m)}@company{d:02d}.example.org" for d in range(8) for m in range(26)]
+    found = spark.createDataFrame([("email", "", c) for c in canons], "kind string, hint string, canon string")
+    got = {r["canon"]: r["surrogate"] for r in s.assigned(found).collect()}
+    assert sorted(got) == sorted(canons) and len(set(got.values())) == len(canons)
+    assert not set(got.values()) & set(canons)
+    assert all(len(got[c]) == len(c) for c in canons)
+
+
+def test_full_formats_get_longer(spark):
+    """The ten digits and a real datum among them: some must take another character."""
+    canons = [f"{i}@a.org" for i in range(10)] + [f"{i}@b.org" for i in range(10)]
+    found = spark.createDataFrame([("email", "", c) for c in canons], "kind string, hint string, canon string")
+
+    def crowded(key, kind, hint, canon, draw=0):
+        # Both domains are given the same surrogate domain.
+        return s.surrogate(key, kind, hint, canon, draw).split("@")[0] + "@q.org"
+
+    got = {r["canon"]: r["surrogate"] for r in s.assigned(found, s.KEY, crowded).collect()}
+    assert len(set(got.values())) == 20
+    assert sorted(len(v) for v in got.values()).count(7) >= 9
+    assert s.fit("1@A.org", "email", "23@q.org") == "23@q.org" and s.fit("(12) 3", "phone", "4567") == "(45) 67"
 
 
 def test_documents(spark, tmp_path):
