@@ -183,8 +183,8 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, window: i
     path = path or default_vocabulary()
     body, row, nth, coded = fresh(docs.select(*keep), "body", "row", "nth", "coded")
     kept = [F.col(f"`{c}`") for c in keep]
-    numbered = docs.select(*kept, utf8().alias(body), F.monotonically_increasing_id().alias(row))
-    short = numbered.where(F.octet_length(body) <= leaf).select(*kept, _coder(path, back)(F.col(body)).alias(coded)).select(
+    named = docs.select(*kept, utf8().alias(body))
+    short = named.where(F.octet_length(body) <= leaf).select(*kept, _coder(path, back)(F.col(body)).alias(coded)).select(
         *kept, f"{coded}.ids", f"{coded}.decoded")
 
     def cut(batches):
@@ -192,7 +192,7 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, window: i
         for batch in batches:
             for number, text in zip(batch.column(row).to_pylist(), batch.column(body)):
                 parts = vocab.leaves(text.as_py(), leaf)
-                yield pa.record_batch([pa.array([number] * len(parts), pa.int64()),
+                yield pa.record_batch([pa.array([number] * len(parts), pa.binary()),
                                        pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())], [row, nth, body])
 
     def grow(table: pa.Table) -> pa.Table:
@@ -201,12 +201,13 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, window: i
         return pa.table([table.column(row)[:1], pa.array([ids.tobytes()], pa.binary()),
                          pa.array([_text(vocab, ids) if back else None], pa.string())], [row, "ids", "decoded"])
 
-    long = numbered.where(F.octet_length(body) > leaf)
-    leaves = long.select(row, body).mapInArrow(cut, f"`{row}` long, `{nth}` long, `{body}` binary")
+    # A long text goes by its digest, which is the same in every scan; copies of it are encoded once.
+    long = named.where(F.octet_length(body) > leaf).withColumn(row, F.unhex(F.sha2(body, 256)))
+    leaves = long.select(row, body).mapInArrow(cut, f"`{row}` binary, `{nth}` long, `{body}` binary")
     # Dealt by leaf, not by text: the leaves of one long text are encoded in parallel.
-    tokens = leaves.repartition(row, nth).select(row, nth, _coder(path, False)(F.col(body)).alias(coded)).select(
+    tokens = leaves.dropDuplicates([row, nth]).select(row, nth, _coder(path, False)(F.col(body)).alias(coded)).select(
         row, nth, f"{coded}.ids")
-    grown = tokens.groupBy(row).applyInArrow(grow, f"`{row}` long, ids binary, decoded string")
+    grown = tokens.groupBy(row).applyInArrow(grow, f"`{row}` binary, ids binary, decoded string")
     return short.unionByName(grown.join(long.drop(body), row).select(*kept, "ids", "decoded"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from larder.llm import common, exact_dedup, line_dedup, simhash, surrogates
+from larder.llm import bpe, common, exact_dedup, line_dedup, simhash, surrogates
 from helpers import docs, prose
 
 CUT = "spark.sql.files.maxPartitionBytes"
@@ -61,3 +61,17 @@ def test_lines_and_redraws_reach_their_own_documents(spark, tmp_path, restless,
     restless(first)
     out = surrogates.replaced(spark.read.parquet(str(tmp_path / "ip"))).select(F.countDistinct("text")).first()[0]
     assert out == 120
+
+
+def test_tokens_reach_their_own_documents(spark, tmp_path):
+    """Long texts are met again by content: no number of a scan is in the plan, and copies are encoded once."""
+    texts = [prose(i % 7, 60) if i % 3 else f"short {i}" for i in range(60)]
+    df = many_files(spark, tmp_path, texts)
+    coded = bpe.encode(df, leaf=64, back=True)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "monotonically_increasing_id" not in plan
+    vocab = bpe.vocabulary(bpe.default_vocabulary())
+    got = coded.collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(60))
+    for r in got:
+        assert bytes(r["ids"]) == vocab.encode(texts[r["doc_id"]].encode()).tobytes() and r["decoded"] == texts[r["doc_id"]]
