@@ -41,6 +41,8 @@ PAD, OTHER = 0, 1
 # Rounds times share is one: every position is a target once.
 ROUNDS, MASKED = 2, 0.5
 STEP, RATE = 4096, 0.2
+# Greatest logit.
+TOP = 60.0
 # Parameters that travel together.
 LINE = 1 << 12
 # Tokens scored at a time.
@@ -196,14 +198,17 @@ def padded(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 _AROUND = np.array([d for d in range(-WINDOW, WINDOW + 1) if d])
 
 
-def _softmax(x: np.ndarray, at: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of one entry of every column, and the probabilities of all, made in place."""
-    x -= x.max(axis=0)
-    score = x[target, at]
+def _softmax(x: np.ndarray, of: tuple[np.ndarray, np.ndarray], axis: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of the entries ``of`` along an axis; exponentials of all, in place; their sums.
+
+    Logits are cut at ``TOP``, which no trained network comes near: their exponentials
+    then need no scaling.
+    """
+    np.minimum(x, TOP, out=x)
+    score = x[of]
     np.exp(x, out=x)
-    total = x.sum(axis=0)
-    x /= total
-    return score - np.log(total), x
+    total = x.sum(axis=axis, keepdims=True)
+    return score - np.log(total.ravel()), x, total
 
 
 def _runs(groups: np.ndarray):
@@ -217,7 +222,7 @@ def _runs(groups: np.ndarray):
 def forward(net: Network, flat: np.ndarray, places: np.ndarray):
     """Log-probability of the tokens at ``places``, sorted by class, and what the gradient needs.
 
-    Classes and members stand in rows, tokens in columns: sums over them run along memory.
+    Classes stand in rows and tokens in columns, so that sums over classes run along memory.
     """
     targets = flat[places]
     order = np.argsort((targets // MEMBERS).astype(np.uint8), kind="stable")
@@ -226,7 +231,7 @@ def forward(net: Network, flat: np.ndarray, places: np.ndarray):
     x = net["embed"].take(around, axis=0).reshape(len(places), -1)
     hidden = x @ net["inner"]
     hidden += net["inner_b"]
-    np.tanh(hidden, out=hidden)
+    np.maximum(hidden, 0, out=hidden)
     group, member = targets // MEMBERS, targets % MEMBERS
     of_group = net["group"].T @ hidden.T
     of_group += net["group_b"][:, None]
@@ -234,12 +239,10 @@ def forward(net: Network, flat: np.ndarray, places: np.ndarray):
     for g, some in _runs(group):
         np.matmul(hidden[some], net["member"][g], out=of_member[some])
         of_member[some] += net["member_b"][g]
-    # Sums over members run along memory as well.
-    of_member = np.ascontiguousarray(of_member.T)
     at = np.arange(len(places))
-    score, of_group = _softmax(of_group, at, group)
-    inside, of_member = _softmax(of_member, at, member)
-    return score + inside, order, (around, x, hidden, group, member, of_group, of_member)
+    score, of_group, groups = _softmax(of_group, (group, at), 0)
+    inside, of_member, members = _softmax(of_member, (at, member), 1)
+    return score + inside, order, (around, x, hidden, group, member, of_group, groups, of_member, members)
 
 
 def gradient(net: Network, flat: np.ndarray, places: np.ndarray) -> dict[str, tuple[np.ndarray | slice, np.ndarray]]:
@@ -248,23 +251,24 @@ def gradient(net: Network, flat: np.ndarray, places: np.ndarray) -> dict[str, tu
     Per parameter the rows it touches and their values: words and classes that do not
     occur have none.
     """
-    _, _, (around, x, hidden, group, member, d_group, d_member) = forward(net, flat, places)
+    _, _, (around, x, hidden, group, member, d_group, groups, d_member, members) = forward(net, flat, places)
     n, at, everything = len(places), np.arange(len(places)), slice(None)
-    d_group[group, at] -= 1
-    d_member[member, at] -= 1
-    d_group /= n
-    d_member /= n
+    groups *= n
+    members *= n
+    d_group /= groups
+    d_member /= members
+    d_group[group, at] -= 1 / n
+    d_member[at, member] -= 1 / n
     runs = list(_runs(group))
     classes = np.array([g for g, _ in runs])
-    d_hidden = (net["group"] @ d_group).T
-    d_member = np.ascontiguousarray(d_member.T)
+    d_hidden = d_group.T @ net["group"].T
     of_class, of_class_b = (
         np.empty((len(runs), *shape), hidden.dtype) for shape in ((HIDDEN, MEMBERS), (MEMBERS,)))
     for i, (g, some) in enumerate(runs):
         np.matmul(hidden[some].T, d_member[some], out=of_class[i])
         d_member[some].sum(axis=0, out=of_class_b[i])
         d_hidden[some] += d_member[some] @ net["member"][g].T
-    d_hidden *= 1 - hidden * hidden
+    d_hidden *= hidden > 0
     d_x = (d_hidden @ net["inner"].T).reshape(-1, EMBED)
     ids = around.ravel()
     order = np.argsort(ids.astype(np.uint16), kind="stable")
