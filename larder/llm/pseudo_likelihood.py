@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -92,26 +93,19 @@ def _counts(held: Counter) -> pa.RecordBatch:
     return pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
 
-class Known(dict):
-    """Ids of words; any other word is one token."""
-
-    def __missing__(self, word: bytes) -> int:
-        return OTHER
-
-
 def tokens(docs: DataFrame, ids: dict[bytes, int]) -> DataFrame:
     """doc_id, the token ids of every document as little-endian 16-bit numbers, and its other words.
 
     Each of the other words, in ``rare``, is ended by a space.
     """
-    known = Known(ids)
 
     def encode(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts:
             listed = words(text.as_py())
-            out.append({"ids": np.fromiter(map(known.__getitem__, listed), "<u2", len(listed)).tobytes(),
-                        "rare": b"".join(w + b" " for w in listed if w not in known)})
+            found = np.fromiter(map(ids.get, listed, repeat(OTHER)), "<u2", len(listed))
+            rare = [listed[i] for i in np.flatnonzero(found == OTHER).tolist()]
+            out.append({"ids": found.tobytes(), "rare": b" ".join([*rare, b""])})
         return pa.array(out, pa.struct([("ids", pa.binary()), ("rare", pa.binary())]))
 
     made = F.arrow_udf(encode, "ids binary, rare binary")(utf8()).alias("made")
@@ -292,7 +286,10 @@ class Adagrad:
 
 def masks(text: np.ndarray, number: int, masked: float) -> np.ndarray:
     """Targets of a round: they depend on the text and the round only, and rounds take one share after the other."""
-    place = np.random.default_rng(zlib.crc32(text.tobytes())).random(len(text))
+    mixed = (np.arange(1, len(text) + 1, dtype=np.uint64) + np.uint64(zlib.crc32(text.tobytes()) << 20)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    place = (mixed >> np.uint64(11)) / 2.0**53
     return (place - number * masked) % 1.0 < masked
 
 
@@ -303,7 +300,7 @@ def frequencies(coded: DataFrame) -> np.ndarray:
         held = np.zeros(SIZE, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                np.add.at(held, np.frombuffer(ids.as_py(), "<u2"), 1)
+                held += np.bincount(np.frombuffer(ids.as_py(), "<u2"), minlength=SIZE)
         yield pa.record_batch([pa.array(np.arange(SIZE)), pa.array(held)], ["id", "n"])
 
     met = coded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
