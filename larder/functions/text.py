@@ -49,6 +49,11 @@ def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS_CHARS))
 
 
+def trim_sql(text: str) -> str:
+    """``trim`` as SQL text."""
+    return f"btrim({text}, '{WS_CHARS}')"
+
+
 def trim_end(c: Column) -> Column:
     return F.rtrim(c, F.lit(WS_CHARS))
 

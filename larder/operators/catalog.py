@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import clean_line
 from larder.schemas import JOB_STATUSES
-from larder.operators.keyed import lookup
+from larder.operators.keyed import lookup, spread_lookup
 
 # Sort orders are total: every one ends in the id.
 ORDERS = {
@@ -187,7 +187,7 @@ def attach_open_job(submitted: DataFrame, jobs: DataFrame) -> DataFrame:
     """Submissions with the newest open job of their URL; NULL means create one."""
     opened = jobs.where(F.col("status").isin("pending", "running")).groupBy("url").agg(
         F.max_by("id", F.struct("created_at", "id")).alias("open_job_id"))
-    return submitted.join(opened, "url", "left")
+    return spread_lookup(submitted, opened, "url")
 
 
 def unknown_ids(requested: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -203,7 +203,7 @@ def keep_known(rows: DataFrame, ids: str, known: DataFrame, known_id: str = "id"
     exploded = rows.select("id", F.struct(F.lit(1), *rest).alias("_rest"), F.posexplode_outer(ids).alias("_pos", "_id"))
     live = known.select(F.col(known_id).alias("_id"), F.lit(True).alias("_live")).distinct()
     kept = F.when(F.col("_live"), F.struct("_pos", "_id"))
-    whole = lookup(exploded, live, ["_id"]).groupBy("id").agg(
+    whole = spread_lookup(exploded, live, "_id", spread=["id", "_pos"]).groupBy("id").agg(
         F.any_value("_rest").alias("_rest"), F.array_sort(F.collect_list(kept)).alias("_kept"))
     column = {"id": F.col("id"), ids: F.col("_kept")["_id"].alias(ids)}
     return whole.select(*[column.get(c, F.col(f"_rest.{c}")) for c in rows.columns])

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import materialise
+
 # Rows of one key that a single task may receive.
 ROWS_PER_TASK = 1_000_000
 
@@ -58,6 +60,38 @@ def lookup(rows: DataFrame, per_key: DataFrame, keys: Sequence[str]) -> DataFram
     return joined.unionByName(rows.where(keyless), allowMissingColumns=True)
 
 
+# Keys that a sketch of the rows keeps apart, and the most of them that are treated as hot.
+TRACKED, HOTTEST = 20_000, 1_000
+
+
+def heavy_keys(rows: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Keys with more than ``rows_per_task`` rows, at most ``HOTTEST``, and the copies to deal each over.
+
+    Found by one sketch of bounded size that tasks merge: the rows are not grouped.
+    Written out, as both sides of a join must see the same.
+    """
+    top = rows.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {HOTTEST}, {TRACKED})").alias("_top"))
+    met = top.select(F.explode("_top").alias("_t")).select(F.col("_t.item").alias(key), F.col("_t.count").alias("_n"))
+    return materialise(met.where(F.col("_n") > rows_per_task).select(
+        key, F.ceil(F.col("_n") / F.lit(rows_per_task)).cast("int").alias("_salts")), "heavy-keys")
+
+
+def spread_lookup(rows: DataFrame, per_key: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK,
+                  spread: Sequence[str] = ()) -> DataFrame:
+    """``lookup`` by one column where a key may hold any share of the rows, known to ``per_key`` or not.
+
+    Rows of a hot key are dealt by the columns ``spread``, by default all, over as many
+    copies of its fact; all other keys are joined as they are.
+    """
+    hot = heavy_keys(rows, key, rows_per_task)
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    dealt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread or rows.columns]), salts).cast("int")
+    left = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left").withColumn("_salt", dealt).drop("_salts")
+    right = per_key.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    joined = left.join(right, [key, "_salt"], "left").drop("_salt")
+    return joined.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+
+
 def pin(rows: DataFrame) -> DataFrame:
     """Rows whose expensive columns are computed once, whatever is filtered on later.
 

@@ -179,8 +179,12 @@ def plain_events(events: DataFrame) -> DataFrame:
 
 
 def replay(events: DataFrame, job: str, order: list[str], chunks: int | None = None) -> DataFrame:
-    """Current status and attempts of every job from its whole event history (``event``, ``ts``)."""
-    final = ordered.replay(plain_events(events), [job], order, Jobs.FIELDS, Jobs(), chunks)
+    """Current status and attempts of every job from its whole event history."""
+    events, fields = plain_events(events), Jobs.FIELDS
+    if "ts" not in order:
+        # Times are not asked for here.
+        events, fields = events.withColumn("ts", F.lit(None).cast("timestamp")), (*fields, "ts")
+    final = ordered.replay(events, [job], order, fields, Jobs(), chunks)
     return final.select(job, status_of(F.col("record.s")).alias("status"), F.col("record.n").cast("int").alias("attempts"), "events")
 
 

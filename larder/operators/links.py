@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions import urls as U
-from larder.operators.keyed import attach, pin
+from larder.operators.keyed import attach, pin, spread_lookup
+from larder.session import materialise
 from larder.session import materialise
 
 
@@ -73,8 +74,10 @@ def save_if_absent(new: DataFrame, saved: DataFrame, key: str, url: str, row_id:
 
     A stored row beats every new one, be it stored under the identity or under
     the spelling in which one of the rows of that identity was submitted; among
-    new rows the earliest wins.
+    new rows the earliest wins. The new rows are read three times and are stored first:
+    they are mostly the outcome of costly column functions.
     """
+    new = materialise(new, "to-save")
     known = saved.where(F.col(saved_key).isNotNull()).groupBy(
         F.col(saved_key).alias("_seen")).agg(F.min(saved_id).alias("_id"))
     spellings = new.where(F.col(key).isNotNull()).select(
@@ -97,10 +100,12 @@ def resolve_shares(links: DataFrame, redirects: DataFrame, url: str = "url") ->
     link without one needs a redirect to a post of the same platform; otherwise
     it is rejected.
     """
-    judged = classify_links(links, url).where("ok").drop("ok", "reason", "host")
-    targets = redirects.select(
-        F.col("url").alias("canonical_url"), U.classify(F.col("final_url")).alias("_t"))
-    joined = judged.join(targets, "canonical_url", "left")
+    # Stored, as it is read for the hot keys, for the join and for the links without a key.
+    judged = materialise(classify_links(links, url).where("ok").drop("ok", "reason", "host"), "judged-links")
+    # A link that is listed twice is followed to one place.
+    targets = redirects.groupBy(F.col("url").alias("canonical_url")).agg(F.min("final_url").alias("_final")).select(
+        "canonical_url", U.classify(F.col("_final")).alias("_t"))
+    joined = spread_lookup(judged, targets, "canonical_url")
     t = F.col("_t")
     needs = F.col("post_id").isNull() & (F.col("platform") != "web")
     found = F.coalesce(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from larder.functions import html as H
 from larder.functions import jsonld as J
 from larder.functions.ingredients import parse_ingredient_line
-from larder.functions.text import let, trim
+from larder.functions.text import let, trim, trim_sql
 from larder.operators.keyed import pin
 
 # Fields that hold tags.
@@ -131,7 +131,7 @@ def ingredient_lines(value: str) -> Column:
     return F.expr(f"""filter(get(transform(array({value}), v -> coalesce(
         transform({J.items('v')}, e -> array_join({J.leaves('e', J.TEXT_KEYS)}, ', ')),
         CASE WHEN {J.is_scalar('v')} THEN split({J.scalar_text('v')}, '\\n+') END,
-        CAST(array() AS array<string>))), 0), l -> trim(l) <> '')""")
+        CAST(array() AS array<string>))), 0), l -> {trim_sql('l')} <> '')""")
 
 
 def tag_leaves(node: str) -> Column:

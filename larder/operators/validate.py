@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import WS, cap, js_round, let, trim
+from larder.functions.text import WS, cap, js_round, let, trim, trim_sql
 from larder.operators.keyed import pin
 from larder.schemas import WRITABLE_RECIPE_FIELDS
 
@@ -87,7 +87,7 @@ def ingredient_error(v: str) -> Column:
     return F.expr(f"""get(filter(transform(try_variant_get({v}, '$.ingredients', 'array<variant>'), (x, i) -> CASE
         WHEN try_variant_get(x, '$', 'map<string,variant>') IS NULL THEN concat('`ingredients[', i, ']` must be an object.')
         WHEN coalesce(schema_of_variant(try_variant_get(x, '$.item', 'variant')) <> 'STRING'
-          OR trim(try_variant_get(x, '$.item', 'string')) = '', true)
+          OR {trim_sql("try_variant_get(x, '$.item', 'string')")} = '', true)
           THEN concat('`ingredients[', i, '].item` must be a non-empty string.')
         ELSE concat('`ingredients[', i, '].', get(filter(array('quantity', 'unit', 'note'), k ->
           coalesce(schema_of_variant(element_at(try_variant_get(x, '$', 'map<string,variant>'), k))
@@ -97,7 +97,7 @@ def ingredient_error(v: str) -> Column:
 
 def clean_ingredients(v: str) -> Column:
     """Well-formed ingredients with trimmed fields; blank ones are absent."""
-    field = lambda k: f"nullif(trim(try_variant_get(x, '$.{k}', 'string')), '') AS {k}"
+    field = lambda k: f"""nullif({trim_sql(f"try_variant_get(x, '$.{k}', 'string')")}, '') AS {k}"""
     return F.expr(
         f"transform(try_variant_get({v}, '$.ingredients', 'array<variant>'), x -> struct("
         + ", ".join(field(k) for k in ("quantity", "unit", "item", "note")) + "))")

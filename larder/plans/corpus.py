@@ -303,6 +303,18 @@ def _(src):
     return V.validate_writes(src("orders").select(F.col("o_orderkey").alias("id"), body.alias("body"))).select("id", "reason")
 
 
+@query("v2_ingredient_white_space", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 < 2 THEN '`ingredients[0].item` must be a non-empty string.' END AS reason,
+  CASE o_orderkey % 5 WHEN 2 THEN 'rice' WHEN 3 THEN 'fish cake' WHEN 4 THEN 'plain' END AS item, CASE o_orderkey % 5 WHEN 3 THEN '2' END AS quantity FROM orders""")
+def _(src):
+    k = F.col("o_orderkey") % 5
+    item = (F.when(k == 0, "\\t\\n").when(k == 1, "\u00a0 \u3000").when(k == 2, "\\trice\\r\\n")
+            .when(k == 3, "\u2003fish cake \ufeff").otherwise("plain"))
+    body = F.concat(F.lit('{"ingredients":[{"item":"'), item, F.lit('","quantity":"'), F.when(k == 3, " 2\\t").otherwise("\\t"), F.lit('"}]}'))
+    checked = V.validate_writes(src("orders").select(F.col("o_orderkey").alias("id"), body.alias("body")))
+    first = F.when(F.col("reason").isNull(), F.get("ingredients", F.lit(0)))
+    return checked.select("id", "reason", first["item"].alias("item"), first["quantity"].alias("quantity"))
+
+
 @query("m1_patched_recipes", r"""WITH b AS (SELECT id, title, servings, total_minutes, favorite, description, CASE WHEN n > 0 AND n < 1000 THEN CAST(floor(n + 0.5) AS INTEGER) END AS servings_count
   FROM (SELECT *, TRY_CAST(regexp_extract(servings, '(\d+(\.\d+)?)', 1) AS DOUBLE) AS n FROM @recipes_v) x), p AS (SELECT *, recipe_id % 12 AS k FROM @patches_v)
 SELECT b.id, CASE WHEN k = 0 THEN trim(p.body ->> '$.title') ELSE title END AS title, CASE WHEN k IN (2, 3) THEN p.body ->> '$.servings' ELSE servings END AS servings,

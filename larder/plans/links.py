@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larder.functions import text as T
 from larder.functions import urls as U
 from larder.operators import links as L
+from larder.operators import redaction
 from larder.plans import duck as D
 from larder.plans.registry import query
 
@@ -132,6 +133,14 @@ def _(src):
     return src("documents").select("doc_id", T.redact(F.col("text"), SECRETS).alias("text"))
 
 
+@query("u7_redacted_by_table", """WITH l AS (SELECT list_sort(list_distinct(flatten(list(regexp_extract_all(text, '[A-Za-z]{8,}'))))) AS s FROM benchmark)
+SELECT doc_id, list_reduce([text] || s, lambda t, w: replace(t, w, '***')) AS text FROM documents, l""")
+def _(src):
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)))
+    secrets = src("benchmark").select(words.alias("secret")).distinct()
+    return redaction.redact(src("documents").select("doc_id", "text"), secrets, order="secret")
+
+
 SAVED = "saved AS (SELECT source_url FROM @recipes_v WHERE source_url IS NOT NULL)"
 
 

@@ -122,3 +122,54 @@ def test_link_to_winner(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, None), (4, None), (5, "b")], "id int, key string")
     got = {r["id"]: (r["winner_id"], r["is_winner"]) for r in links.link_to_winner(df, "key", "id").collect()}
     assert got == {1: (1, True), 3: (1, False), 2: (2, True), 4: (4, True), 5: (5, True)}
+
+
+def test_spread_lookup_deals_a_hot_key_over_tasks(spark, monkeypatch):
+    """One URL on a third of the rows, known to no per-key table, and rows without a key on another third."""
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"u{i % 50}") for i in range(9000)]
+    df = spark.createDataFrame(rows, "id int, url string").repartition(6)
+    facts = spark.createDataFrame([(f"u{i}", i) for i in range(0, 50, 2)] + [("hot", 7)], "url string, fact int")
+    known = {f"u{i}": i for i in range(0, 50, 2)} | {"hot": 7}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for per_key, want in ((facts, known), (facts.where("url <> 'hot'"), {k: v for k, v in known.items() if k != "hot"})):
+            out = keyed.spread_lookup(df, per_key, "url", rows_per_task=300)
+            got = {r["id"]: r["fact"] for r in out.collect()}
+            assert got == {i: want.get(u) for i, u in rows}
+            largest = out.where("url is not null").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+            assert largest < 2400, largest
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_redirect_listed_twice_keeps_the_rows(spark):
+    rows = spark.createDataFrame([(1, "https://vm.tiktok.com/ZMabc/"), (2, None), (3, "https://vm.tiktok.com/ZMabc/")], "id int, url string")
+    to = "https://www.tiktok.com/@u/video/7212345678901234567"
+    listed = links.classify_links(rows.where("id = 1"), "url").first()["canonical_url"]
+    redirects = spark.createDataFrame([(listed, to)] * 3, "url string, final_url string")
+    assert sorted(r["id"] for r in links.resolve_shares(rows, redirects).collect()) == [1, 3]
+
+
+def test_many_secrets_in_list_order(spark):
+    """Ten thousand secrets, overlapping ones and such as only a replacement makes, in one block and in many."""
+    from larder.operators import redaction
+
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(6, 14))) for _ in range(10_000)]
+    words += ["x***yyyy", "xabcdabcdyyyy", "abcdabcd", None, "short"]
+    texts = [" ".join(rnd.choice([w or "" for w in words]) for _ in range(30)) for _ in range(40)] + [None, "", "xabcdabcdyyyy " * 3]
+
+    def plain(text):
+        for w in words:
+            if w and len(w) >= 8 and text is not None:
+                text = text.replace(w, "***")
+        return text
+
+    secrets = spark.createDataFrame(list(enumerate(words)), "position int, secret string").repartition(5)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for block_bytes in (1 << 24, 200_000):
+        got = {r["id"]: r["text"] for r in redaction.redact(df, secrets, block_bytes=block_bytes).collect()}
+        assert got == {i: plain(t) for i, t in enumerate(texts)}
