@@ -1,4 +1,12 @@
-"""Corpus pipeline: toxicity, exact dedup, near dedup, mixing, BPE; each stage reads what the last one wrote."""
+"""Corpus pipeline: toxicity, exact dedup, near dedup, mixing, BPE; each stage reads what the last one wrote.
+
+* Null texts count as empty everywhere: never toxic, equal to each other and to empty texts, of no words
+  and so not taken by the mix. Texts are read whole, whatever their length.
+* Of repeated rows one is left by the exact stage; documents the mix takes several times are repeated rows.
+* Null ids are smaller than any other; a null source is a source of its own.
+* All columns of documents, extra ones too, are kept until the last stage, whatever their names.
+* An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 

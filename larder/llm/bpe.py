@@ -13,6 +13,8 @@ does. The joined tokens equal those of the whole text, not approximately but exa
 
 * Null texts count as empty and have no tokens.
 * Strings of special tokens are cut out first and never split; they become their id.
+* Repeated rows each get their row. An empty table gives an empty result. Only the columns
+  named by ``keep`` are carried, so extra ones cannot clash.
 * Tokens travel as bytes: little-endian unsigned 32-bit ids.
 * The vocabulary is a file outside the repository, named by path.
 """

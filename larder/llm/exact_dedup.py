@@ -7,7 +7,8 @@ hashed. Group tables are reduced on the input tasks first; no text is shuffled.
 * Null texts count as empty. Texts are equal when identical, byte for byte.
 * Of equal texts the row with the largest ``doc_id`` stays (null is smaller than
   any id); of repeated rows with that id exactly one.
-* An empty table gives an empty result.
+* Texts are hashed whole, whatever their length. An empty table gives an empty result.
+* Extra columns are kept by ``keep_one`` whatever their names; ``copies`` does not read them.
 """
 
 from __future__ import annotations

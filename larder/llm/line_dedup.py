@@ -10,7 +10,7 @@ of these lines go back to the documents.
   blank lines are never removed. Null texts count as empty.
 * A null site is a site of its own. Repeated rows add no site.
 * The lines that stay are kept byte for byte and in order.
-* An empty table gives an empty result.
+* Texts are read whole, whatever their length. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ cut how often it is taken.
   inside the document that the budget cuts. Rows that agree in key, id and size
   share what is left there equally, rounded down.
 * A null source is a source of its own, last in order; null ids count as one id.
-* An empty table, or one without words, gives targets of zero.
+* Texts are counted whole, whatever their length. An empty table, or one without words, gives targets of zero.
 """
 
 from __future__ import annotations

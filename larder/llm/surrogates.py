@@ -18,7 +18,7 @@ documents, by a join; everything else a task draws by itself.
 * Kinds: email, ip, card (12 to 19 digits), phone, iban, secret, given name, surname.
   Names are recognised behind or before a form of address; a name that is
   recognised is replaced throughout its document.
-* Repeated rows are replaced alike. An empty table gives an empty result.
+* Texts are read whole, whatever their length. Repeated rows are replaced alike. An empty table gives an empty result.
 """
 
 from __future__ import annotations
