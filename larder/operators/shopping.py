@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larder.functions import quantity as Q
 from larder.functions.text import clean_line, let, trim
 from larder.operators.ordered import CHUNK, Chunked, previous_value
+from larder.session import materialise
 
 # Fractional parts a spelled quantity can have: eighths, sixths and tenths.
 _PARTS = sorted({round(n / d, 9): n / d for d in (8, 6, 10) for n in range(d)}.values())
@@ -164,6 +165,55 @@ def add_recipes(
     return updates.unionByName(merged.where("_kind = 1").select(
         request, F.lit("create").alias("action"), none.alias("line_id"), F.col("pos").cast("int").alias("pos"), "text"))
 
+def add_recipe_series(
+    requests: DataFrame, lines: DataFrame, request: str, owner: str, order: Sequence[str],
+    line_id: str = "id", chunks: int | None = None,
+) -> DataFrame:
+    """The lists after several recipes were added one after the other: (owner, action, line_id, request, pos, text).
+
+    Each request, in order of ``request``, finds the list the one before it left. The line
+    that owns an ingredient is the oldest open one that names it: of the list as it was
+    or, where none does, the first line that an earlier request put there; inside the
+    request that names it first, its first mention. What an owner takes in over all
+    requests is one ordered fold per line, whatever their number; lines that took nothing
+    in are not listed unless they are new.
+    """
+    known = match_open_lines(lines, requests, owner, order, line_id)
+    wanted = materialise(requests.select(owner, request, "pos", "text", "key").join(
+        known.withColumnRenamed("line_id", "_line"), [owner, "key"], "left"), "series")
+    fresh = wanted.where("key <> '' and _line is null")
+    mention = F.struct(F.col(request).alias("request"), F.col("pos").alias("pos"))
+    put = fresh.select(owner, request, "pos", "text", F.lit(False).alias("checked"), mention.alias("_mention"))
+    first = match_open_lines(put, fresh, owner, [request, "pos"], "_mention").select(
+        owner, "key", F.col("line_id.request").alias("_first"), F.col("line_id.pos").alias("_at"))
+    own = fresh.groupBy(owner, request, "key").agg(F.min("pos").alias("_own"))
+    aimed = wanted.join(first, [owner, "key"], "left").join(own, [owner, request, "key"], "left")
+
+    def named(kind: str, *parts: Column) -> Column:
+        return F.concat(F.lit(kind), F.concat_ws(":", *[p.cast("string") for p in parts]))
+
+    target = (
+        F.when(F.col("key") == "", "").when(F.col("_line").isNotNull(), named("line ", F.col("_line")))
+        .when(F.col(request) > F.col("_first"), named("new ", F.col("_first"), F.col("_at")))
+        .otherwise(named("new ", F.col(request), F.col("_own"))))
+    rows = aimed.select(
+        owner, target.alias("target"), F.lit(1).alias("_kind"), request, "pos", "text", "_line")
+    none = F.lit(None).cast(requests.schema[request].dataType)
+    # A line of the list stands before all requests, whichever it is dated by.
+    heads = wanted.where("_line is not null").groupBy(owner, "_line", "line_text").agg(F.min(request).alias(request)).select(
+        owner, named("line ", F.col("_line")).alias("target"), F.lit(0).alias("_kind"), request,
+        F.lit(-1).alias("pos"), F.col("line_text").alias("text"), "_line")
+    merged = consolidate(heads.drop("_line").unionByName(rows.drop("_line")), owner, ["_kind", request, "pos"], key="target", chunks=chunks)
+    made = merged.where("_kind = 1").select(
+        owner, F.lit("create").alias("action"), F.lit(None).cast(known.schema["line_id"].dataType).alias("line_id"),
+        request, F.col("pos").cast("int").alias("pos"), "text")
+    changed = merged.where("_kind = 0 and merged > 0").select(owner, "target", "text").join(
+        heads.select(owner, "target", "_line"), [owner, "target"]).select(
+        owner, F.lit("update").alias("action"), F.col("_line").alias("line_id"), none.alias(request),
+        F.lit(None).cast("int").alias("pos"), "text")
+    return changed.unionByName(made)
+
+
 
 def source_labels(
     items: DataFrame, owner: str, order: Sequence[str], title: str = "recipe_title",

@@ -161,7 +161,7 @@ rs AS (SELECT id AS request, 'update' AS action, line_id, CAST(NULL AS INTEGER)
   UNION ALL SELECT id, 'create', NULL, CAST(pos AS INTEGER), text FROM ms WHERE role = 'own')"""
 
 
-def _added(src):
+def _added(src, add=S.add_recipes):
     from larder.sources.tables import decode_nested
 
     owners = src("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner"))
@@ -169,7 +169,7 @@ def _added(src):
     listed = S.ingredient_rows(recipes, ["id", "owner", F.col("favorite").alias("checked"), "created_at"])
     listed = listed.withColumnRenamed("id", "recipe_id").withColumn("id", F.col("recipe_id") * 1000 + F.col("pos"))
     wanted = S.ingredient_rows(recipes, [F.col("id").alias("request"), "owner"], 1.5)
-    return S.add_recipes(wanted, listed, "request", "owner", ["created_at", "recipe_id", "pos"])
+    return add(wanted, listed, "request", "owner", ["created_at", "recipe_id", "pos"])
 
 
 @query("a5_add_recipe", f"WITH {ADDED} SELECT * FROM rs")
@@ -177,6 +177,34 @@ def _(src):
     return _added(src)
 
 
+SERIES = f"""{ADDED.split('sq AS (')[0]}
+sm AS (SELECT a.*, {D.merge_key('a.text')} AS norm, mt.line_id, mt.text AS line_text FROM ad a LEFT JOIN mt ON mt.owner = a.owner AND mt.key = a.key),
+sf AS (SELECT * FROM sm WHERE key <> '' AND line_id IS NULL),
+fm AS (SELECT k.owner, k.key, m.id AS rid, m.pos AS rpos FROM (SELECT DISTINCT owner, key FROM sf) k JOIN sf m ON m.owner = k.owner
+  AND (m.norm = k.key OR ends_with(m.norm, ' ' || k.key)) QUALIFY row_number() OVER (PARTITION BY k.owner, k.key ORDER BY m.id, m.pos) = 1),
+ow AS (SELECT owner, id, key, min(pos) AS kpos FROM sf GROUP BY ALL),
+tg AS (SELECT sm.owner, sm.id, sm.pos, sm.text, sm.line_id, sm.line_text, CASE WHEN sm.key = '' THEN '' WHEN sm.line_id IS NOT NULL THEN 'L' || sm.line_id
+  WHEN sm.id > fm.rid THEN 'M' || fm.rid || ':' || fm.rpos ELSE 'M' || sm.id || ':' || ow.kpos END AS target
+  FROM sm LEFT JOIN fm ON fm.owner = sm.owner AND fm.key = sm.key LEFT JOIN ow ON ow.owner = sm.owner AND ow.id = sm.id AND ow.key = sm.key),
+sq AS (SELECT DISTINCT owner, target, 0 AS kind, CAST(NULL AS BIGINT) AS id, -1 AS pos, line_text AS text, line_id FROM tg WHERE line_id IS NOT NULL
+  UNION ALL SELECT owner, target, 1, id, pos, text, NULL FROM tg),
+qs AS (SELECT *, {D.lead('text')} AS qty, {D.rest('text')} AS rest FROM sq),
+ns AS (SELECT *, row_number() OVER w AS rn, first_value(qty) OVER w AS fq, first_value(rest) OVER w AS fr
+  FROM qs WINDOW w AS (PARTITION BY owner, target ORDER BY kind, id, pos)),
+ms AS (SELECT *, CASE WHEN target = '' THEN 'own' WHEN rn = 1 THEN 'head' WHEN qty IS NOT NULL AND fq IS NOT NULL AND lower(rest) = lower(fr) THEN 'merge' ELSE 'own' END AS role FROM ns),
+gs AS (SELECT owner, target, list(qty ORDER BY rn) FILTER (WHERE role = 'merge') AS adds, any_value(fq) AS fq, any_value(fr) AS fr FROM ms WHERE role <> 'own' GROUP BY owner, target),
+vs AS (SELECT *, coalesce(len(adds), 0) AS merged, list_reduce(list_concat([fq], adds), lambda a, b: {D.snap('a + b')}) AS total FROM gs),
+hs AS (SELECT ms.*, vs.merged, CASE WHEN merged = 0 THEN text ELSE trim({D.format_qty('total')} || ' ' || vs.fr) END AS now FROM ms JOIN vs ON vs.owner = ms.owner AND vs.target = ms.target WHERE role = 'head')
+SELECT owner, 'update' AS action, line_id, CAST(NULL AS BIGINT) AS request, CAST(NULL AS INTEGER) AS pos, now AS text FROM hs WHERE kind = 0 AND merged > 0
+UNION ALL SELECT owner, 'create', NULL, id, CAST(pos AS INTEGER), now FROM hs WHERE kind = 1
+UNION ALL SELECT owner, 'create', NULL, id, CAST(pos AS INTEGER), text FROM ms WHERE role = 'own'"""
+
+
+@query("a5_add_recipe_series", f"WITH {SERIES}")
+def _(src):
+    return _added(src, S.add_recipe_series)
+
+
 @query("a5_added_counts", f"""WITH {ADDED} SELECT request, count(*) FILTER (WHERE action = 'create') AS added,
   count(*) FILTER (WHERE action = 'update') AS updated FROM rs GROUP BY request""")
 def _(src):

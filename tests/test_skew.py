@@ -173,3 +173,38 @@ def test_many_secrets_in_list_order(spark):
     for block_bytes in (1 << 24, 200_000):
         got = {r["id"]: r["text"] for r in redaction.redact(df, secrets, block_bytes=block_bytes).collect()}
         assert got == {i: plain(t) for i, t in enumerate(texts)}
+
+
+def test_recipes_one_after_the_other(spark):
+    """Three recipes onto one list in one run, as three runs of which each sees what the last one left."""
+    requests = [(1, 1, 0, "2 cups flour", "flour"), (1, 1, 1, "1 tbsp olive oil", "olive oil"), (1, 1, 2, "1 tbsp oil", "oil"),
+                (1, 1, 3, "salt", "salt"), (1, 2, 0, "1 cups flour", "flour"), (1, 2, 1, "1 tbsp oil", "oil"), (1, 2, 2, "3 eggs", "eggs"),
+                (1, 3, 0, "100 g flour", "flour"), (1, 3, 1, "1 tbsp olive oil", "olive oil"), (1, 3, 2, "2 eggs", "eggs"),
+                (1, 3, 3, "", ""), (2, 3, 0, "1 lb shrimp", "shrimp"), (2, 4, 0, "1/2 lb shrimp", "shrimp")]
+    requests = [r for r in requests if r[3]]
+    lines = [(1, 90, 0, "1 cups flour", False), (1, 91, 1, "7 eggs", True), (2, 92, 0, "2 lb shrimp", False)]
+    wanted_schema, line_schema = "owner int, request int, pos int, text string, key string", "owner int, id int, at int, text string, checked boolean"
+
+    state, single = list(lines), []
+    for n in (1, 2, 3, 4):
+        mine = [r for r in requests if r[1] == n]
+        out = shopping.add_recipes(spark.createDataFrame(mine, wanted_schema), spark.createDataFrame(state, line_schema),
+                                   "request", "owner", ["at"]).collect()
+        owners = {r[0] for r in mine}
+        for r in sorted(out, key=lambda r: r["pos"] if r["pos"] is not None else -1):
+            if r["action"] == "update":
+                state = [(*x[:3], r["text"], x[4]) if x[1] == r["line_id"] else x for x in state]
+        for owner in owners:
+            for r in sorted((r for r in out if r["action"] == "create"), key=lambda r: r["pos"]):
+                if any(m[0] == owner and m[2] == r["pos"] for m in mine) and len(owners) == 1:
+                    state.append((owner, n * 1000 + r["pos"], n * 1000 + r["pos"], r["text"], False))
+                elif any(m[0] == owner and m[2] == r["pos"] and m[3] == r["text"] for m in mine):
+                    state.append((owner, n * 1000 + r["pos"], n * 1000 + r["pos"], r["text"], False))
+    final = sorted((x[0], x[3]) for x in state)
+
+    out = shopping.add_recipe_series(spark.createDataFrame(requests, wanted_schema), spark.createDataFrame(lines, line_schema),
+                                     "request", "owner", ["at"]).collect()
+    changed = {r["line_id"]: r["text"] for r in out if r["action"] == "update"}
+    series = [(x[0], changed.get(x[1], x[3])) for x in lines] + [(r["owner"], r["text"]) for r in out if r["action"] == "create"]
+    assert sorted(series) == final
+    assert (1, "4 cups flour") in series and (2, "3 1/2 lb shrimp") in series and (1, "5 eggs") in series
