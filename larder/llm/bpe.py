@@ -34,6 +34,8 @@ from larder.llm.common import fresh, utf8
 
 # Bytes of a leaf.
 LEAF = 1 << 14
+# Bytes of names of long documents that are sent to every task; more are joined by a shuffle.
+SENT = 64 << 20
 # Tokens on each side of a join that are encoded again at first.
 WINDOW = 8
 IDS = np.dtype("<u4")
@@ -210,7 +212,12 @@ def encode(docs: DataFrame, path: str | None = None, leaf: int = LEAF, window: i
     tokens = leaves.dropDuplicates([row, nth]).select(row, nth, _coder(path, False)(F.col(body)).alias(coded)).select(
         row, nth, f"{coded}.ids")
     grown = tokens.groupBy(row).applyInArrow(grow, f"`{row}` binary, ids binary, decoded string")
-    return short.unionByName(grown.join(long.drop(body), row).select(*kept, "ids", "decoded"))
+    named_long = long.drop(body)
+    narrow = not any(t in named_long.schema[c].dataType.simpleString() for c in keep for t in ("string", "binary", "<"))
+    # Tokens stay where they were joined if the documents' names fit beside them: counted, and of fixed width.
+    if narrow and long.count() <= SENT // (64 + 16 * len(keep)):
+        named_long = F.broadcast(named_long)
+    return short.unionByName(grown.join(named_long, row).select(*kept, "ids", "decoded"))
 
 
 def digests(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:

@@ -63,10 +63,12 @@ def test_lines_and_redraws_reach_their_own_documents(spark, tmp_path, restless,
     assert out == 120
 
 
-def test_tokens_reach_their_own_documents(spark, tmp_path):
+@pytest.mark.parametrize("sent", [bpe.SENT, 0])
+def test_tokens_reach_their_own_documents(spark, tmp_path, monkeypatch, sent):
     """Long texts are met again by content: no number of a scan is in the plan, and copies are encoded once."""
     texts = [prose(i % 7, 60) if i % 3 else f"short {i}" for i in range(60)]
     df = many_files(spark, tmp_path, texts)
+    monkeypatch.setattr(bpe, "SENT", sent)
     coded = bpe.encode(df, leaf=64, back=True)
     plan = coded._jdf.queryExecution().executedPlan().toString()
     assert "monotonically_increasing_id" not in plan
